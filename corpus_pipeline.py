@@ -6,16 +6,46 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeseek.llm import simhash
+from lodeseek.llm import decontaminate, langid, mixing, sharding, simhash
 from lodeseek.llm.shared import stash
 
+#: A document stays if its language has at least this score; four equal languages would have 0.25.
+LEAST_LANGUAGE_SCORE = 0.35
+SHARDS = 24
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no language that the model can tell, go."""
+    return langid.identified(docs, langid.fit(docs), LEAST_LANGUAGE_SCORE)
+
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that with the smallest doc_id."""
     return simhash.keep_one(docs)
 
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [("simhash_near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which a window of a benchmark item occurs go."""
+    return decontaminate.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document comes as often as drawn for its source: not at all, once or repeatedly."""
+    return mixing.mix(docs, mixing.source_rates(docs)).select(*docs.columns)
+
+
+def kd_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row gets its shard and its slot there."""
+    return sharding.shard_documents(docs, SHARDS)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", language_id),
+    ("simhash_near_dedup", near_dedup),
+    ("benchmark_decontamination", decontamination),
+    ("source_mixing", source_mixing),
+    ("kd_tree_sharding", kd_sharding),
+]
 
 #: Language models and SimHash have no SQL form; tests/llm holds the pipeline against plain Python.
 ORACLE_SQL = None

@@ -7,21 +7,97 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import simhash
+from lodeseek.llm import decontaminate, langid, mixing, sharding, simhash
+
+SHARDS = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mixture: each document as often as drawn, with whole text; sources weigh as the square root of their bytes."""
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs.select("doc_id", "source", "text"), mixing.source_rates(docs))
+    return mixed.select("doc_id", "source", "text", F.col("_copy").cast("long").alias("copy"))
+
+
+OP1_SQL = """
+WITH RECURSIVE sized AS (
+  SELECT source, sum(coalesce(octet_length(encode(text)), 0) + 8)::DOUBLE AS bytes FROM documents GROUP BY source
+), rated AS (
+  SELECT source, sqrt(bytes) / (SELECT sum(sqrt(bytes)) FROM sized) * (SELECT sum(bytes) FROM sized) / bytes AS rate FROM sized
+), terms AS (
+  SELECT source, rate, 0 AS k, -rate AS log_p, exp(-rate) AS total FROM rated
+  UNION ALL
+  SELECT source, rate, k + 1, log_p + ln(rate) - ln(k + 1), total + exp(log_p + ln(rate) - ln(k + 1)) FROM terms WHERE k < ceil(rate + 12 * sqrt(rate) + 30)
+), drawn AS (
+  SELECT doc_id, source, text, ('0x' || substr(md5(concat_ws('|', 'mix-1', coalesce(doc_id::VARCHAR, ''), md5(coalesce(text, '')))), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents
+), counted AS (
+  SELECT d.doc_id, d.source, d.text, (SELECT count(*) FROM terms t WHERE t.source IS NOT DISTINCT FROM d.source AND t.total <= d.u) AS n FROM drawn d
+)
+SELECT doc_id, source, text, unnest(range(n)) AS copy FROM counted
+"""
+
+
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.find_benchmark(docs, benchmark, ["doc_id"])
+    n_hit = decontaminate.hit_words(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+OP3_SQL = r"""
+WITH item_words AS (
+  SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, array_to_string(list_slice(w, pos, pos + 9), ' ') AS pattern, least(len(w), 10) AS length
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS pos FROM item_words WHERE len(w) > 0)
+), doc_words AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents
+), places AS (
+  SELECT doc_id, length, pos, array_to_string(list_slice(w, pos, pos + length - 1), ' ') AS pattern
+  FROM (SELECT d.doc_id, d.w, l.length, unnest(range(1, len(d.w) - l.length + 2)) AS pos FROM doc_words d, (SELECT DISTINCT length FROM windows) l)
+), hits AS (
+  SELECT p.doc_id, p.pos, p.length, x.item_id FROM places p JOIN windows x USING (pattern, length)
+), covered AS (
+  SELECT doc_id, count(DISTINCT word) AS n_hit FROM (SELECT doc_id, unnest(range(pos, pos + length)) AS word FROM hits) GROUP BY doc_id
+), met AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN met USING (doc_id)
+"""
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs), ["doc_id"])
+    return found.select("doc_id", langid.held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+
+
+def op6_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_simhash_near_dedup": op9_simhash_near_dedup}
+    named = (op1_mix_sources, op3_benchmark_decontamination, op4_language_id, op6_kd_tree_sharding, op9_simhash_near_dedup)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mix_sources": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL}
