@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import decontaminate, langid, mixing, sharding, simhash
+from lodeseek.llm import decontaminate, fixity, langid, linechunks, mixing, pii, quality, sharding, simhash, tokencount
+from lodeseek.llm.shared import shared_folder
 
 SHARDS = 24
+TOKENIZER = "piece_bpe_32k.model"
+TOKEN_LIMIT = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +45,15 @@ SELECT doc_id, source, text, unnest(range(n)) AS copy FROM counted
 """
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against a cache of its own, which starts empty."""
+    import public_tokenizers
+
+    cache = f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}"
+    found = tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache, ["doc_id"])
+    return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     found = decontaminate.find_benchmark(docs, benchmark, ["doc_id"])
@@ -84,20 +97,79 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+
+
 def op6_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.assign_shards(table(spark, sf_dir, "documents"), SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op8_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document: counts, and the digest of its text."""
+    cleaned = linechunks.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
+    return cleaned.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_chunks").alias("n_chunks"), F.col("_gone").alias("n_removed_chunks"), F.col("_gone_lines").alias("n_removed_lines"), digest)
+
+
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages against a replica with bit rot: in one of 64 pages, by the hash of its id, each e of the
+    payload has become an f."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    rotten = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2).isin("00", "40", "80", "c0")
+    replica = pages.withColumn("html", F.when(rotten, F.translate("html", "e", "f")).otherwise(F.col("html")))
+    found = fixity.audit(pages, replica)
+    return found.select("page_id", "archive", "place", F.col("start").alias("start_byte"), F.col("stop").alias("stop_byte"), "digest", "intact")
+
+
+OP10_SQL = r"""
+WITH layout AS (
+  SELECT page_id,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(page_id::VARCHAR, '') || '>' || chr(13) || chr(10)
+      || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) || chr(10)
+      || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record,
+    substr(md5(page_id::VARCHAR), 1, 2) IN ('00', '40', '80', 'c0') AND contains(coalesce(html, ''), 'e') AS rotten,
+    (('0x' || substr(md5(concat_ws('|', coalesce(page_id::VARCHAR, ''), coalesce(url, ''))), 1, 8))::BIGINT
+      % greatest(1, ceil((SELECT sum(octet_length(encode(html))) FROM pages) / 8000000.0)::BIGINT))::INTEGER AS archive
+  FROM pages
+), placed AS (
+  SELECT page_id, archive, sha256(record) AS digest, octet_length(encode(record)) AS length, rotten FROM layout
+)
+SELECT page_id, archive, row_number() OVER w - 1 AS place,
+  (sum(length) OVER w - length)::BIGINT AS start_byte, (sum(length) OVER w)::BIGINT AS stop_byte, digest, NOT coalesce(rotten, false) AS intact
+FROM placed WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, digest ROWS UNBOUNDED PRECEDING)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (op1_mix_sources, op3_benchmark_decontamination, op4_language_id, op6_kd_tree_sharding, op9_simhash_near_dedup)
+    named = (
+        op1_mix_sources,
+        op2_token_counts,
+        op3_benchmark_decontamination,
+        op4_language_id,
+        op5_personal_data,
+        op6_kd_tree_sharding,
+        op7_quality_rules,
+        op8_line_chunk_dedup,
+        op9_simhash_near_dedup,
+        op10_warc_fixity_audit,
+    )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op10_warc_fixity_audit": OP10_SQL}
