@@ -115,7 +115,9 @@ def _model(counts: list[tuple[str, int, str, int]]) -> Model:
     scores = np.zeros_like(tally)
     for known in places:
         own = np.fromiter(known.values(), np.int64, len(known))
-        scores[own] = np.log((tally[own] + SMOOTHING) / (tally[own].sum(0) + SMOOTHING * max(1, len(own))))
+        totals = tally[own].sum(0) + SMOOTHING * max(1, len(own))
+        unseen = np.log(SMOOTHING / totals.max(initial=SMOOTHING))  # alike for all: little data is no evidence
+        scores[own] = np.where(tally[own] > 0, np.log((tally[own] + SMOOTHING) / totals), unseen)
     return Model(languages, places[0], places[1:], scores.astype(np.float32))
 
 

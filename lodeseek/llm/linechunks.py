@@ -142,7 +142,8 @@ def _clean_batches(columns: list[str], text_col: str):
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs, the text without repeated chunks, and _lines, _chunks, _gone (chunks removed)
-    and _gone_lines."""
+    and _gone_lines, in place of columns with these names."""
+    docs = docs.drop("_lines", "_chunks", "_gone", "_gone_lines")
     plain = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # no name can clash
     own = docs.toDF(*plain.values()).withColumn(plain[text_col], F.col(plain[text_col]).cast("binary"))
     drops = repeated_chunks(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("drop").alias("_drop"))

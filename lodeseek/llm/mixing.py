@@ -73,7 +73,8 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, total_bytes:
 
 def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
     """The columns of docs with _copy (0 to the document's count, less one) and _place (a hash that rows
-    are in the order of, inside each partition)."""
+    are in the order of, inside each partition), in place of columns with these names."""
+    docs = docs.drop("_copy", "_place")
     plain = {c: c if c in ("doc_id", "text", "source") else f"_c{i}" for i, c in enumerate(docs.columns)}  # no name can clash
     own = docs.toDF(*plain.values())
     identity = (F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 KINDS = ("email", "ip", "card", "phone")
 #: Tokens of an entity, at most.
 LONGEST = 22
+#: Digits of an entity without an at-sign.
+LEAST_DIGITS, MOST_DIGITS = 4, 24
 #: Tokens looked at on either side of a stretch that can hold an entity.
 CONTEXT = 4
 
@@ -126,14 +128,15 @@ class Stretch:
         for i, token in enumerate(self.tokens):
             if not (token[0].isalnum() or token in "+("):
                 continue
-            digits = 0
+            digits = ats = 0
             for j in range(i, min(n, i + LONGEST)):
                 last = self.tokens[j]
-                if last == "\n":
-                    break
                 digits += len(last) if last[0] in "0123456789" else 0
-                if (last[0].isalnum() or last == ")") and (digits >= 7 or "@" in self.tokens[i + 1 : j] or AT_WORDS & {x.lower() for x in self.tokens[i + 1 : j]}):
+                if last == "\n" or ats > 1 or (digits > MOST_DIGITS and not ats):
+                    break
+                if (last[0].isalnum() or last == ")") and (digits >= LEAST_DIGITS or ats):
                     found.append((i, j + 1, self._features(i, j + 1)))
+                ats += j > i and (last == "@" or last.lower() in AT_WORDS)
         return found
 
     def _features(self, i: int, j: int) -> list[str]:

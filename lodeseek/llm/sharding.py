@@ -180,7 +180,8 @@ def assign_shards(docs: DataFrame, shards: int = 24, categories: tuple[str, ...]
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
-    """The documents with shard and slot."""
+    """The documents with shard and slot, in place of columns with these names."""
+    docs = docs.drop("shard", "slot")
     plain = {c: c if c in ("doc_id", "text", *categories) else f"_{i}" for i, c in enumerate(docs.columns)}  # no name can clash
     own = docs.toDF(*plain.values())
     keys = _keys(own, categories)
