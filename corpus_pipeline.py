@@ -31,7 +31,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document comes as often as drawn for its source: not at all, once or repeatedly."""
-    return mixing.mix(docs, mixing.source_rates(docs)).select(*docs.columns)
+    return mixing.mix(docs, mixing.source_rates(docs), numbered=False)
 
 
 def kd_sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

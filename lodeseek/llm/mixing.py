@@ -71,10 +71,11 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, total_bytes:
     return stash(rates.withColumn("cumulative", cumulative_poisson(F.col("rate"))), "rates")
 
 
-def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
-    """The columns of docs with _copy (0 to the document's count, less one) and _place (a hash that rows
+def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED, numbered: bool = True) -> DataFrame:
+    """The columns of docs, and if numbered with _copy (0 to the document's count, less one) and _place (a hash that rows
     are in the order of, inside each partition), in place of columns with these names."""
-    docs = docs.drop("_copy", "_place")
+    if numbered:
+        docs = docs.drop("_copy", "_place")
     plain = {c: c if c in ("doc_id", "text", "source") else f"_c{i}" for i, c in enumerate(docs.columns)}  # no name can clash
     own = docs.toDF(*plain.values())
     identity = (F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit("")).cast("binary")))
@@ -91,4 +92,4 @@ def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
     copies = counted.select(*own.columns, F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("_copy"))
     placed = copies.withColumn("_place", F.xxhash64(F.lit(seed), "doc_id", "text", "_copy"))
     mixed = placed.repartition(F.col("_place")).sortWithinPartitions("_place")
-    return mixed.select(*(F.col(new).alias(old) for old, new in plain.items()), "_copy", "_place")
+    return mixed.select(*(F.col(new).alias(old) for old, new in plain.items()), *(["_copy", "_place"] if numbered else []))

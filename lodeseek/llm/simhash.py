@@ -180,9 +180,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """One row of each component: that named by component_id, or where no row has an id that with the
     smallest text_key."""
+    plain = {c: c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)}  # no name can clash
+    own = docs.toDF(*plain.values()).withColumn("_text_key", F.xxhash64(F.col("text").cast("binary")))
     found = near_duplicates(docs, shingle=shingle, distance=distance)
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
     kept = found.groupBy("root").agg(F.min(first).alias("one")).select(F.col("one.doc_id").alias("_id"), F.col("one.text_key").alias("_key"))
-    own = docs.withColumn("_text_key", F.xxhash64(F.col("text").cast("binary")))
     met = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return met.dropDuplicates(["doc_id", "_text_key"]).drop("_text_key")
+    return met.dropDuplicates(["doc_id", "_text_key"]).select(*(F.col(new).alias(old) for old, new in plain.items()))

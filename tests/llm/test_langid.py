@@ -27,7 +27,7 @@ def test_held_out_rows_teach_nothing(spark, docs, rows):
 
 
 def test_backoff_uses_the_longest_known_gram():
-    counts = [("a", 0, "abcdef", 5), ("b", 0, "zzz", 5), ("a", 3, "bcd", 4), ("b", 2, "bc", 9), ("a", 1, "q", 1), ("b", 1, "q", 30)]
+    counts = [("a", 0, "abcdef", 5), ("b", 0, "zzz", 5), ("a", 3, "bcd", 4), ("b", 2, "bc", 9), ("a", 1, "q", 1), ("a", 1, "z", 40), ("b", 1, "q", 30)]
     scorer = langid.Scorer(langid._model(counts))
     assert scorer.predict("abcdef")[0] == "a"
     assert scorer.predict("xbcdx")[0] == "a"  # the trigram decides, not the bigram

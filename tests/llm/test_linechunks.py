@@ -43,7 +43,7 @@ def test_equals_brute_force(docs, rows):
     want = plain_clean(rows)
     got = lc.remove_repeated_chunks(docs).collect()
     assert len(got) == len(rows)
-    before = Counter((r[0], r[1] and len(r[1].split("\n"))) for r in rows)
+    before = Counter((r[0], None if r[1] is None else len(r[1].split("\n"))) for r in rows)
     assert before == Counter((r.doc_id, None if r.text is None else r._lines) for r in got)
     assert Counter((k[0], want[k]) for k in ((r[0], r[1]) for r in rows)) == Counter((r.doc_id, r.text) for r in got)
     assert any(r._gone for r in got)

@@ -16,12 +16,10 @@ def plain_mix(rows, weights=None):
     for r in rows:
         mean = weight[r[3]] / sum(weight.values()) * sum(size.values()) / size[r[3]]
         digest = hashlib.md5("|".join(["mix-1", "" if r[0] is None else str(r[0]), hashlib.md5((r[1] or "").encode()).hexdigest()]).encode()).hexdigest()
-        u, k, p = int(digest[:13], 16) / 2**52, 0, math.exp(-mean)
-        total = p
+        u, k, total = int(digest[:13], 16) / 2**52, 0, math.exp(-mean)
         while total <= u:
             k += 1
-            p *= mean / k
-            total += p
+            total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
         for copy in range(k):
             out[r[0], r[1], copy] += 1
     return out
