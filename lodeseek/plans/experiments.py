@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.config import load_config
-from lodeseek.functions import query as Q
 from lodeseek.operators import evaluation, ranking
 from lodeseek.plans.index import index_dataset
 from lodeseek.plans.search import PRESETS, Engine, Options, weight_trials
@@ -46,7 +45,7 @@ def tuned_weights(engine: Engine, dataset: Dataset, trials: int = 30, seed: int
     table = engine.spark.createDataFrame(rows, "trial int, " + ", ".join(f"{n} double" for n in names))
     validation, _ = split_queries(dataset.queries, seed)
     tables = engine._tables(engine.versions().collect()[-1].label)
-    featured = engine.featured(Q.understand(validation), tables, Options()).filter(F.col("rank") <= engine.config["ranking"]["rerank_top_n"])
+    featured = engine.featured(engine.understand(validation), tables, Options()).filter(F.col("rank") <= engine.config["ranking"]["rerank_top_n"])
     scored = weight_trials(featured, table, names).join(tables["chunks"].select("chunk_id", "doc_id"), "chunk_id")
     keyed = scored.select(F.concat_ws("|", "trial", "query_id").alias("query_id"), F.col("doc_id"), "score")
     judged = dataset.qrels.join(validation.select("query_id"), "query_id", "left_semi").crossJoin(table.select("trial")).select(F.concat_ws("|", "trial", "query_id").alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"), "rel")
@@ -59,7 +58,7 @@ def trained_reranker(engine: Engine, dataset: Dataset, seed: int = 0) -> ranking
     """Trees on the validation half's candidates, labelled by the judgements."""
     validation, _ = split_queries(dataset.queries, seed)
     tables = engine._tables(engine.versions().collect()[-1].label)
-    featured = engine.featured(Q.understand(validation), tables, Options())
+    featured = engine.featured(engine.understand(validation), tables, Options())
     judged = dataset.qrels.select("query_id", F.col("doc_id").cast("string").alias("doc_id"), "rel")
     labelled = featured.join(tables["chunks"].select("chunk_id", "doc_id"), "chunk_id").join(judged, ["query_id", "doc_id"], "left").withColumn("label", F.coalesce("rel", F.lit(0)))
     return ranking.TreeReranker().train(labelled)

@@ -65,6 +65,11 @@ class Engine:
             raise EmptyQueryError("a query without text")
         return self.spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
 
+    def understand(self, queries: DataFrame, options: Options = Options()) -> DataFrame:
+        """Kept, as every channel reads it."""
+        settings = self.config["query"]
+        return Q.understand(queries, settings["expand_concepts"] and options.use_query, settings["classify"] and options.use_query).persist()
+
     def _tables(self, label: str | None) -> dict[str, DataFrame]:
         names = ("chunks", "postings", "identifiers", "vectors")
         own = {n: self.store.read(n).filter(F.col("repository") == self.repository) for n in names}
@@ -109,8 +114,7 @@ class Engine:
             if whole or row.label == label:
                 checked_version(self.store, self.repository, row.label, self.encoder)
         tables = self._tables(label)
-        settings = self.config["query"]
-        understood = Q.understand(queries, settings["expand_concepts"] and options.use_query, settings["classify"] and options.use_query)
+        understood = self.understand(queries, options)
         rows = self._ranked(understood, tables, options).join(understood.select("query_id", "category"), "query_id")
         about = tables["chunks"].select("chunk_id", "file", "function", "class_name", "start_line", "end_line", "version", "code", "identity", "doc_id", "timestamp")
         rows = rows.join(about, "chunk_id").withColumn("also_in", F.array().cast("array<string>"))

@@ -47,7 +47,7 @@ def write_dataset(dataset: Dataset, folder: str) -> None:
 
 def titled(corpus: DataFrame) -> DataFrame:
     """doc_id and text of rows with a title: title, line end, text, without white space around."""
-    return corpus.select(F.col("doc_id").cast("string").alias("doc_id"), F.trim(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit("")))).alias("text"))
+    return corpus.select(F.col("doc_id").cast("string").alias("doc_id"), F.regexp_replace(F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))), r"^\s+|\s+$", "").alias("text"))
 
 
 def last_turns(conversations: DataFrame) -> DataFrame:
