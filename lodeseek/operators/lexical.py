@@ -38,13 +38,13 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, k1: float = K1, b:
     """chunk_id, term, tf, dl, df and impact.  With terms (a column term) only theirs: other tokens are left
     behind at the scan, before any shuffle, and the result is the same for queries of these terms.
 
-    A document's tokens are counted where they are read, as an aggregation inside the row, so that the only
-    shuffle is that of the document frequencies, which sums per task first."""
+    Term counts are shuffled once: the document frequencies are summed from the same exchange, which is why
+    they look at tf, though any row would count."""
     rows = docs.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
     if terms is not None:
         rows = rows.join(small_or_shuffled(terms.select("term").distinct()), "term", "left_semi")
     counted = rows.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
-    frequencies = counted.groupBy("term").agg(F.count("*").alias("df"))
+    frequencies = counted.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, F.lit(1).cast("long"))).alias("df"))
     whole = counted.join(frequencies, "term").crossJoin(F.broadcast(corpus_statistics(docs)))  # one row
     return whole.select("chunk_id", "term", "tf", "dl", "df", _impact(k1, b).alias("impact"))
 
