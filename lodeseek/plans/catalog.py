@@ -14,6 +14,7 @@ from lodeseek.functions import query as Q
 from lodeseek.functions import text as T
 from lodeseek.operators import dedup, dense, evaluation, fusion, identifiers, lexical, ranking, versions
 from lodeseek.sources import chunker, dataset
+from lodeseek.sources.scan import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -46,15 +47,9 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A table in fewer splits than there are cores is dealt out before costly work; larger ones stay."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """chunk_id and tokens."""
-    return _spread(_read(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("chunk_id"), T.ascii_tokens(F.col("text")).alias("tokens"))
+    return spread(_read(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("chunk_id"), T.ascii_tokens(F.col("text")).alias("tokens"))
 
 
 def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,7 +143,7 @@ def tokenize_ascii(spark, sf_dir):
 @query
 def tokenize_stems(spark, sf_dir):
     found = T.tokens(F.col("text"))
-    return _spread(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(found).cast("long").alias("n_tokens"), F.md5(F.array_join(found, " ").cast("binary")).alias("digest"))
+    return spread(_read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.size(found).cast("long").alias("n_tokens"), F.md5(F.array_join(found, " ").cast("binary")).alias("digest"))
 
 
 @query

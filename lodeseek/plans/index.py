@@ -23,6 +23,7 @@ from lodeseek.operators import identifiers, lexical, versions
 from lodeseek.operators.dense import LsaEncoder, load_encoder
 from lodeseek.sources.chunker import chunk_files
 from lodeseek.sources.repository import Repository
+from lodeseek.sources.scan import spread
 
 PARTS = ("repository", "version")
 STORED_CHUNKS = CHUNKS + ", chunk_id long, qualname string, identity string, cache_key string, tokens array<string>"
@@ -175,7 +176,7 @@ def index_dataset(spark: SparkSession, corpus: DataFrame, name: str, config: dic
     fixed |= {c: F.lit("") for c, t in blank.items() if t == "string"} | {c: F.array().cast(t) for c, t in blank.items() if t.startswith("array")}
     fixed |= {"repository": F.lit(name), "version": F.lit(version), "kind": F.lit("file"), "part": F.lit(0), "start_line": F.lit(1), "end_line": F.lit(1), "timestamp": F.lit(0.0)}
     fixed |= {"file": F.col("doc_id").cast("string"), "doc_id": F.col("doc_id").cast("string"), "code": F.coalesce("text", F.lit("")), "chash": T.content_hash(F.coalesce("text", F.lit("")))}
-    chunks = corpus.select(*(e.alias(c) for c, e in fixed.items()))
+    chunks = spread(corpus.select("doc_id", "text")).select(*(e.alias(c) for c, e in fixed.items()))
     stored = store.put(with_keys(chunks, config["representation"]), "chunks").filter((F.col("repository") == name) & (F.col("version") == version))
     stats = _finish(store, stored, name, version, config)
     store.append(spark.createDataFrame([(name, version, version, 0.0, stats["chunks"], stats["embedder"], config["representation"], None, int(time.time() * 1e6))], VERSIONS), "versions")
