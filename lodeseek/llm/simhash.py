@@ -34,6 +34,8 @@ from lodeseek.llm.shared import stash
 BITS = 64
 #: A bucket should hold at most this many other fingerprints by mere chance, over all tables.
 CHANCE_PER_FINGERPRINT = 0.25
+#: A bucket of more distinct fingerprints is cut into smaller ones.
+LARGE_BUCKET = 4096
 #: Hash values whose bits are counted at once.
 SLAB = 1 << 15
 
@@ -97,9 +99,9 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count((a ^ b).view(np.uint64))
 
 
-def bucket_components(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """(member, smallest member of its component) for each member but the smallest; members: distinct."""
-    left, found = np.sort(members), []
+def _reach(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """Breadth-first search among sorted members; each step looks at those not reached yet."""
+    left, found = members, []
     while left.size > 1:
         root, left = left[0], left[1:]
         frontier = [root]
@@ -113,6 +115,38 @@ def bucket_components(members: np.ndarray, distance: int) -> list[tuple[int, int
     return found
 
 
+def bucket_components(members: np.ndarray, distance: int) -> list[tuple[int, int]]:
+    """(member, smallest member of its component) for each member but the smallest; members: distinct.
+
+    A bucket of over LARGE_BUCKET is cut again: close members share one of distance + 1 blocks of the bits
+    that vary in it, and what the smaller buckets of all blocks connect is connected."""
+    members = np.sort(members)
+    if members.size <= LARGE_BUCKET:
+        return _reach(members, distance)
+    varying = int(np.bitwise_or.reduce((members ^ members[0]).view(np.uint64)))
+    bits = [bit for bit in range(BITS) if varying >> bit & 1]
+    if len(bits) <= distance:
+        return [(x, int(members[0])) for x in members[1:].tolist()]
+    parent = {x: x for x in members.tolist()}
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    for part in range(distance + 1):
+        mask = np.uint64(sum(1 << bit for bit in bits[part :: distance + 1]))
+        key = members.view(np.uint64) & mask
+        order = np.argsort(key, kind="stable")
+        runs = np.concatenate(([0], np.flatnonzero(np.diff(key[order])) + 1, [len(order)]))
+        for start, stop in zip(runs[:-1], runs[1:], strict=True):
+            if stop - start > 1:
+                for u, v in bucket_components(members[order[start:stop]], distance):
+                    low, high = sorted((root(u), root(v)))
+                    parent[high] = low
+    return [(x, root(x)) for x in parent if root(x) != x]
+
+
 def _bucket_links(masks: list[int], distance: int):
     """Rows come sorted by table and key; a bucket may go over the end of a batch."""
     lookup = np.array(masks, np.int64)

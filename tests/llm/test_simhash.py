@@ -1,6 +1,7 @@
 from collections import Counter
 
 import numpy as np
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -53,7 +54,14 @@ def test_one_of_each_group_stays(docs, clashing, rows):
 
 @given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=6), st.lists(st.tuples(st.integers(0, 5), st.sets(st.integers(0, 63), max_size=6)), max_size=60))
 @settings(max_examples=60, deadline=None)
-def test_bucket_components_equal_brute_force(centres, flips):
+@pytest.mark.parametrize("large", [4096, 5])
+def test_bucket_components_equal_brute_force(large, centres, flips):
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(simhash, "LARGE_BUCKET", large)
+        check_bucket(centres, flips)
+
+
+def check_bucket(centres, flips):
     members = sorted({centres[c % len(centres)] ^ sum(1 << b for b in bits) for c, bits in flips} | set(centres))
     signed = np.array(members, np.uint64).view(np.int64)
     found = simhash.bucket_components(signed, 4)
