@@ -7,12 +7,12 @@ from collections.abc import Iterator
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseek.config import load_config
-from lodeseek.operators import evaluation, ranking
-from lodeseek.plans.index import index_dataset
+from lodeseek.operators import evaluation, ranking, versions
+from lodeseek.plans.index import index_chunks, index_dataset
 from lodeseek.plans.search import PRESETS, Engine, Options, weight_trials
 from lodeseek.sources.dataset import Dataset
 
@@ -64,6 +64,27 @@ def trained_reranker(engine: Engine, dataset: Dataset, seed: int = 0) -> ranking
     return ranking.TreeReranker().train(labelled)
 
 
+def version_experiment(spark: SparkSession, units: DataFrame, queries: DataFrame, folder: str, share: float = 0.3, seed: int = 0) -> dict[str, float]:
+    """units: chunks of one version with doc_id; queries: query_id, text and the doc_id asked for.  A second
+    version has a share of the units renamed; both are searched together, with and without collapse."""
+    config = load_config(overrides={"index.dir": folder})
+    edited = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1000)) < int(share * 1000)
+    fixed = units.withColumns({"repository": F.lit("units"), "version": F.lit("v1"), "commit": F.lit("v1"), "timestamp": F.lit(1.0)})
+    later = versions.refactored(fixed, edited).withColumns({"version": F.lit("v2"), "commit": F.lit("v2"), "timestamp": F.lit(2.0)})
+    index_chunks(spark, fixed, "units", "v1", config, 1.0)
+    second = index_chunks(spark, later, "units", "v2", config, 2.0)
+    engine, out = Engine(spark, "units", config), {"computed_on_v2": second["embeddings_computed"], "cached_on_v2": second["embeddings_cached"]}
+    for name, history in (("all", True), ("collapsed", False)):
+        found = engine.search(queries.select("query_id", "text"), "all", 30, history=history).persist()
+        out[f"duplicate_rate_{name}"] = evaluation.duplicate_rate(found, "doc_id").agg(F.avg("duplicate_rate")).first()[0]
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("place"))
+        seen = found.groupBy("query_id", "doc_id").agg(F.min("rank").alias("place")).withColumn("place", place)
+        hit = queries.select("query_id", "doc_id").join(seen, ["query_id", "doc_id"], "left")
+        out[f"mrr_{name}"] = hit.agg(F.avg(F.when(F.col("place") <= 10, 1.0 / F.col("place")).otherwise(0.0))).first()[0]
+        found.unpersist()
+    return out
+
+
 def throughput(engine: Engine, queries: DataFrame, rounds: int = 3) -> list[dict[str, Any]]:
     """Seconds for all queries in one plan, after one round that doesn't count."""
     n, out = queries.count(), []

@@ -170,16 +170,22 @@ def _finish(store: Store, chunks: DataFrame, repository: str, label: str, config
 def index_dataset(spark: SparkSession, corpus: DataFrame, name: str, config: dict[str, Any] | None = None, version: str = "v1") -> dict[str, Any]:
     """corpus: doc_id and text, each document a unit of its own."""
     config = config or load_config()
-    store = Store(spark, config["index"]["dir"])
     blank = {f.split()[0]: f.split()[1] for f in CHUNKS.split(", ")}
     fixed = {c: F.lit(None).cast(t) for c, t in blank.items()}
     fixed |= {c: F.lit("") for c, t in blank.items() if t == "string"} | {c: F.array().cast(t) for c, t in blank.items() if t.startswith("array")}
     fixed |= {"repository": F.lit(name), "version": F.lit(version), "kind": F.lit("file"), "part": F.lit(0), "start_line": F.lit(1), "end_line": F.lit(1), "timestamp": F.lit(0.0)}
     fixed |= {"file": F.col("doc_id").cast("string"), "doc_id": F.col("doc_id").cast("string"), "code": F.coalesce("text", F.lit("")), "chash": T.content_hash(F.coalesce("text", F.lit("")))}
     chunks = spread(corpus.select("doc_id", "text")).select(*(e.alias(c) for c, e in fixed.items()))
+    return index_chunks(spark, chunks, name, version, config)
+
+
+def index_chunks(spark: SparkSession, chunks: DataFrame, name: str, version: str, config: dict[str, Any], timestamp: float = 0.0) -> dict[str, Any]:
+    """chunks: the columns of a stored chunk, of one repository and version."""
+    store = Store(spark, config["index"]["dir"])
     stored = store.put(with_keys(chunks, config["representation"]), "chunks").filter((F.col("repository") == name) & (F.col("version") == version))
     stats = _finish(store, stored, name, version, config)
-    store.append(spark.createDataFrame([(name, version, version, 0.0, stats["chunks"], stats["embedder"], config["representation"], None, int(time.time() * 1e6))], VERSIONS), "versions")
+    row = (name, version, version, timestamp, stats["chunks"], stats["embedder"], config["representation"], None, int(time.time() * 1e6))
+    store.append(spark.createDataFrame([row], VERSIONS), "versions")
     return stats | {"label": version}
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import ast
 import json
+import textwrap
 from pathlib import Path
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
+from lodeseek.sources.chunker import chunk_files
+from lodeseek.sources.repository import WORKTREE, Repository
 
 
 class Dataset(NamedTuple):
@@ -55,13 +60,42 @@ def last_turns(conversations: DataFrame) -> DataFrame:
     return conversations.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
 
 
+def without_docstring(code: str) -> str:
+    """The code of a function less the lines of its documentation; code that can't be parsed as it is."""
+    try:
+        head = ast.parse(textwrap.dedent(code)).body[0].body[0]
+    except (SyntaxError, ValueError, AttributeError, IndexError, RecursionError):
+        return code
+    match head:
+        case ast.Expr(value=ast.Constant(value=str())):
+            lines = code.splitlines()
+            return "\n".join(lines[: head.lineno - 1] + lines[head.end_lineno :])
+    return code
+
+
+def _bare(code: pd.Series) -> pd.Series:
+    return code.map(without_docstring)
+
+
+def functions_in_folder(spark: SparkSession, folder: str, limit: int, seed: int = 0) -> DataFrame:
+    """Different functions of 3 to 60 lines in a folder's Python files, as chunks; limit of them by a hash."""
+    repo = Repository(spark, folder)
+    files = repo.files(WORKTREE).filter(F.col("path").endswith(".py"))
+    named = repo.contents(WORKTREE, files).withColumn("file", T.short_path(F.col("file")))
+    units = fitting_functions(chunk_files(named, repo.name, WORKTREE, "worktree")).withColumn("doc_id", F.col("chash"))
+    return units.dropDuplicates(["chash"]).orderBy(F.xxhash64("chash", F.lit(seed))).limit(limit)
+
+
+def fitting_functions(chunks: DataFrame) -> DataFrame:
+    return chunks.filter(F.col("kind").isin("function", "method") & (F.col("end_line") - F.col("start_line") + 1).between(3, 60) & (F.length("code") >= 40))
+
+
 def benchmark_of(chunks: DataFrame, queries: int, seed: int = 0) -> Dataset:
-    """A dataset from documented functions: the first sentence of the documentation asks for the function."""
-    fitting = chunks.filter(F.col("kind").isin("function", "method") & (F.col("end_line") - F.col("start_line") + 1).between(3, 60) & (F.length("code") >= 40))
-    units = fitting.withColumn("doc_id", F.col("chash")).withColumn("asked", T.first_sentence(F.col("doc"))).dropDuplicates(["chash"])
-    bare = F.when(F.col("doc") != "", F.replace("code", F.col("doc"), F.lit(""))).otherwise(F.col("code"))
+    """A dataset from documented functions: the first sentence of the documentation asks for the function,
+    whose text has no documentation."""
+    units = fitting_functions(chunks).withColumn("doc_id", F.col("chash")).withColumn("asked", T.first_sentence(F.col("doc"))).dropDuplicates(["chash"])
     words = F.size(F.split("asked", " "))
-    asked = units.filter(words.between(6, 30) & ~F.lower("asked").startswith("return self") & ~F.lower("asked").startswith("see ")).dropDuplicates(["asked"])
-    chosen = asked.orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(queries)
+    fitting = units.filter(words.between(6, 30) & ~F.lower("asked").startswith("return self") & ~F.lower("asked").startswith("see "))
+    chosen = fitting.dropDuplicates(["asked"]).orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(queries)
     named = chosen.select(F.concat(F.lit("q"), "doc_id").alias("query_id"), F.col("asked").alias("text"), "doc_id")
-    return Dataset("functions", units.select("doc_id", bare.alias("text")), named.select("query_id", "text"), named.select("query_id", "doc_id", F.lit(1).alias("rel")))
+    return Dataset("functions", units.select("doc_id", F.pandas_udf(_bare, "string")("code").alias("text")), named.select("query_id", "text"), named.select("query_id", "doc_id", F.lit(1).alias("rel")))
