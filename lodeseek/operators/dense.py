@@ -18,6 +18,8 @@ from lodeseek.operators.lexical import top_k
 
 #: Query vectors multiplied at once.
 BLOCK_ROWS = 4096
+#: Vectors that such a block is multiplied with at once.
+SLICE = 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,33 +40,38 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
 
 
 def _partial_top_k(query_ids: list, matrix: np.ndarray, k: int, id_type: pa.DataType):
+    """The k best of each query in a task.  Kept are k rows a query at most, and the scores of SLICE vectors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = np.full((len(query_ids), 0), 0.0)
-        ids: list = []
+        kept = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))  # query's number, chunk_id, score
+        floor = np.full(len(query_ids), -np.inf)
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = np.round(matrix @ _matrix(batch["vector"], matrix.shape[1]).T, 9)
-            scores, ids = np.concatenate((scores, own), axis=1), ids + batch["chunk_id"].to_pylist()
-            if len(ids) > 4 * k + 10_000:
-                keep = np.unique(np.concatenate([_best(row, ids, k) for row in scores]))
-                scores, ids = scores[:, keep], [ids[i] for i in keep]
-        q, c, s = [], [], []
-        for row, query_id in zip(scores, query_ids, strict=True):
-            best = _best(row, ids, k)
-            q += [query_id] * len(best)
-            c += [ids[i] for i in best]
-            s += row[best].tolist()
-        yield pa.record_batch([pa.array(q, id_type), pa.array(c), pa.array(s, pa.float64())] if q else [pa.array([], t) for t in (id_type, pa.int64(), pa.float64())], ["query_id", "chunk_id", "score"])
+            ids, vectors = batch["chunk_id"].to_numpy(zero_copy_only=False), _matrix(batch["vector"], matrix.shape[1])
+            for at in range(0, len(ids), SLICE):
+                scores = np.round(matrix @ vectors[at : at + SLICE].T, 9)
+                kept = _best(kept, floor, scores, ids[at : at + SLICE], k)
+        numbers, chunks, scores = kept
+        asked = pa.array(query_ids, id_type).take(pa.array(numbers))
+        yield pa.record_batch([asked, pa.array(chunks), pa.array(scores)], ["query_id", "chunk_id", "score"])
 
     return run
 
 
-def _best(row: np.ndarray, ids: list, k: int) -> np.ndarray:
-    """Places of the k best, and of all that tie with the last of them."""
-    if len(row) <= k:
-        return np.arange(len(row))
-    return np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k])
+def _best(kept: tuple, floor: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple:
+    """kept and a slice's scores (a row for each query) to the k best of each query, the smaller id first where
+    scores are equal.  floor: each query's k-th best score so far, which is raised."""
+    least = floor
+    if len(ids) > k:
+        least = np.maximum(floor, np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k])
+    rows, columns = np.nonzero(scores >= least[:, None])
+    new = (rows, ids[columns], scores[rows, columns])
+    numbers, chunks, values = (np.concatenate(x) for x in zip(kept, new, strict=True))
+    order = np.lexsort((chunks, -values, numbers))
+    numbers = numbers[order]
+    place = np.arange(len(order)) - np.searchsorted(numbers, numbers)
+    order, numbers, place = order[place < k], numbers[place < k], place[place < k]
+    floor[numbers[place == k - 1]] = values[order[place == k - 1]]
+    return numbers, chunks[order], values[order]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -90,7 +97,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 
 def search_sql(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The same without Python code, for few queries: a join of all with the broadcast queries."""
+    """The same without Python code, for few queries: a join of all with the broadcast queries.  Over BLOCK_ROWS
+    queries are searched in blocks."""
+    if queries.limit(BLOCK_ROWS + 1).count() > BLOCK_ROWS:
+        return search(vectors, queries, k)
     pairs = vectors.select("chunk_id", "vector").crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))))
     return top_k(pairs.select("query_id", "chunk_id", dot(F.col("q"), F.col("vector")).alias("score")), k)
 
@@ -223,9 +233,37 @@ def load_encoder(settings: dict) -> LsaEncoder:
     return LsaEncoder(settings.get("lsa_dim", 128), settings.get("max_terms", 20_000), settings.get("fit_rows", 10_000))
 
 
-def threshold_pairs(vectors: DataFrame, least: float, group: str) -> DataFrame:
-    """Pairs a < b of one group whose inner product is at least that; the group is a join key."""
-    a, b = (vectors.select(F.col(group), F.col("chunk_id").alias(n), F.col("vector").alias(f"v{n}")) for n in ("a", "b"))
-    met = a.join(b, group).filter("a < b").withColumn("score", dot(F.col("va"), F.col("vb")))
-    return met.filter(F.col("score") >= least).select(group, "a", "b", "score")
+def _over(query_ids: list, groups: list, matrix: np.ndarray, least: float, id_type: pa.DataType):
+    asked, of = pa.array(query_ids, id_type), np.array(groups)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, own, vectors = batch["chunk_id"], batch["group"].to_numpy(zero_copy_only=False), _matrix(batch["vector"], matrix.shape[1])
+            for at in range(0, len(ids), SLICE):
+                scores = matrix @ vectors[at : at + SLICE].T
+                rows, columns = np.nonzero((scores >= least) & (of[:, None] == own[None, at : at + SLICE]))
+                found = [asked.take(pa.array(rows)), ids.take(pa.array(columns + at)), pa.array(scores[rows, columns])]
+                yield pa.record_batch(found, ["query_id", "chunk_id", "score"])
+
+    return run
 
+
+def threshold_search(vectors: DataFrame, queries: DataFrame, least: float, group: str) -> DataFrame:
+    """Rows of a query's group (an integer column of both tables) whose inner product with it is at least that:
+    query_id, chunk_id and score.  Blocks of queries go to the vectors, so that a hot group is dealt over all
+    tasks, and only what is found is written.  Rows without a group have no partners."""
+    asked = queries.filter(F.col(group).isNotNull()).select("query_id", F.col(group).cast("long").alias("group"), "vector")
+    rows = vectors.filter(F.col(group).isNotNull()).select(F.col("chunk_id").cast("long"), F.col(group).cast("long").alias("group"), "vector")
+    kind = asked.schema["query_id"].dataType.simpleString()
+    id_type = pa.string() if kind == "string" else pa.int64()
+    blocks = -(-asked.count() // BLOCK_ROWS) or 1
+    found = None
+    for block in range(blocks):
+        own = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()  # about BLOCK_ROWS
+        if own:
+            run = _over([r.query_id for r in own], [r.group for r in own], np.array([r.vector for r in own], np.float64), least, id_type)
+            part = rows.mapInArrow(run, f"query_id {kind}, chunk_id long, score double")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return asked.limit(0).select("query_id", F.lit(0).cast("long").alias("chunk_id"), F.lit(0.0).alias("score"))
+    return found

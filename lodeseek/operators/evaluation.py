@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeseek.operators.lexical import small_or_shuffled
+
+#: Items too short for a key that are looked for at once.
+SHORT_ITEMS = 1000
+#: Leading bits of a hash by which rows are counted to find the middle.
+COUNTED_BITS = 12
+
 
 def ranked_run(run: DataFrame, k: int) -> DataFrame:
     """run: query_id, doc_id, score.  The first k of each query; ties go to the smaller doc_id."""
@@ -51,3 +58,40 @@ def duplicate_rate(results: DataFrame, unit: str = "identity", k: int = 10) -> D
 def best_trial(scored: DataFrame) -> DataFrame:
     """trial and score of the best, the earliest among equals."""
     return scored.select(F.max_by(F.struct("trial", "score"), F.struct("score", -F.col("trial"))).alias("best")).select("best.*")
+
+
+def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """docs: doc_id, text; items: query_id, item.  query_id and doc_id wherever the text holds the item.
+
+    An item's second to fourth words stand between blanks in every text that holds it, so an equality join of
+    three-word keys, without texts, gives the candidates, and containment decides.  Items of fewer than five
+    words have no such key and are looked for in all texts, in blocks.  Empty items are in no text."""
+    words = F.split("item", " ")
+    asked = items.filter("length(item) > 0").withColumn("keyed", F.size(words) > 4)
+    keys = asked.filter("keyed").select("query_id", F.array_join(F.slice(words, 2, 3), " ").alias("key"))
+    triples = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
+    told = docs.select("doc_id", F.split("text", " ").alias("w")).filter("size(w) > 2").select("doc_id", F.explode(F.array_distinct(triples)).alias("key"))
+    pairs = told.join(small_or_shuffled(keys), "key").select("doc_id", "query_id").distinct()
+    whole = pairs.join(docs.select("doc_id", "text"), "doc_id").join(small_or_shuffled(asked.select("query_id", "item")), "query_id")
+    found = whole.filter(F.contains("text", F.col("item"))).select("query_id", "doc_id")
+    short = asked.filter("not keyed").select("query_id", "item")
+    blocks = -(-short.count() // SHORT_ITEMS)
+    for block in range(blocks):
+        own = short.filter(F.pmod(F.xxhash64("query_id", "item"), F.lit(blocks)) == block)  # about SHORT_ITEMS
+        found = found.unionByName(docs.join(F.broadcast(own), F.contains("text", F.col("item"))).select("query_id", "doc_id"))
+    return found.distinct()
+
+
+def halves(rows: DataFrame, key: str, bits: int, tie: str) -> DataFrame:
+    """Adds half: 1 for the first half of the rows by key (a hash of so many bits) and tie, 2 for the others; of
+    an odd number the first half has one more.  Rows are numbered inside ranges of the hash alone."""
+    ranged = rows.withColumn("_range", F.shiftright(F.coalesce(key, F.lit(0)), bits - COUNTED_BITS))
+    counts = sorted(ranged.groupBy("_range").count().collect())  # at most 2 ** COUNTED_BITS rows
+    left, middle = -(-sum(n for _, n in counts) // 2), 0
+    for middle, n in counts:
+        if n >= left:
+            break
+        left -= n
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key, tie))
+    first = (F.col("_range") < middle) | ((F.col("_range") == middle) & (F.col("_place") <= left))
+    return ranged.withColumn("_place", place).withColumn("half", F.when(first, 1).otherwise(2).cast("long")).drop("_range", "_place")

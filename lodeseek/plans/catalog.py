@@ -311,8 +311,11 @@ def cosine_topk_sql(spark, sf_dir):
 
 
 @query
-def cosine_threshold_pairs(spark, sf_dir):
-    return dense.threshold_pairs(_vectors(spark, sf_dir), 0.4, "label").select("label", "a", "b", F.round("score", 6).alias("score"))
+def cosine_threshold_search(spark, sf_dir):
+    """Vectors of the asking one's label with an inner product of 0.4 or more, itself left out."""
+    vectors = _vectors(spark, sf_dir)
+    asked = vectors.filter("chunk_id % 50 = 0").select(F.col("chunk_id").alias("query_id"), "vector", "label")
+    return dense.threshold_search(vectors, asked, 0.4, "label").filter("query_id <> chunk_id").select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
 @query
@@ -489,15 +492,9 @@ def evaluation_means(spark, sf_dir):
 
 @query
 def contained_benchmark(spark, sf_dir):
-    """Judgements by containment: items whose text a document holds.  Candidates share an item's ten first
-    words, as BM25's postings find them; containment decides."""
-    items = _read(spark, sf_dir, "benchmark").filter("length(text) > 0").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    spans = lambda text, n: F.split(text, n)
-    head = items.withColumn("head", F.array_join(F.slice(spans(F.col("item"), " "), 2, 3), " "))
-    grams = docs.withColumn("w", spans(F.col("text"), " ")).filter(F.size("w") > 2).select("doc_id", "text", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " ")))).alias("head"))
-    met = grams.join(F.broadcast(head) if items.count() < 10_000 else head, "head").filter(F.contains("text", F.col("item")))
-    return met.select("query_id", "doc_id", F.lit(1).alias("rel")).distinct()
+    """Judgements by containment: items whose text a document holds."""
+    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    return evaluation.containment(_read(spark, sf_dir, "documents").select("doc_id", "text"), items).withColumn("rel", F.lit(1))
 
 
 @query
@@ -509,7 +506,7 @@ def latency_percentiles(spark, sf_dir):
 @query
 def val_test_split(spark, sf_dir):
     rows = _read(spark, sf_dir, "benchmark").select("item_id", F.conv(F.substring(F.md5(F.col("item_id").cast("string").cast("binary")), 1, 8), 16, 10).cast("long").alias("h"))
-    return rows.select("item_id", F.ntile(2).over(Window.partitionBy(F.lit(0)).orderBy("h", "item_id")).cast("long").alias("half"))
+    return evaluation.halves(rows, "h", 32, "item_id").select("item_id", "half")
 
 
 @query

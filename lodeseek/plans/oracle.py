@@ -206,7 +206,7 @@ ORACLE: dict[str, str] = {
     "error_text_flag": f"WITH {UNDERSTOOD} SELECT query_id, has_error_text FROM understood",
     "cosine_topk": f"WITH s AS ({COSINE}), {_best('s', 10, 'best')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM best",
     "cosine_topk_sql": f"WITH s AS ({COSINE}), {_best('s', 5, 'best')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM best",
-    "cosine_threshold_pairs": "SELECT label, a.vec_id AS a, b.vec_id AS b, round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b USING (label) WHERE a.vec_id < b.vec_id AND list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4",
+    "cosine_threshold_search": "SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id % 50 = 0 AND q.vec_id <> v.vec_id AND list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) >= 0.4",
     "minmax_scores": f"WITH {SCORED}, {_best('scored', 10, 'best')} SELECT query_id, chunk_id, round(CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1.0 END, 6) AS normal FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM best WINDOW w AS (PARTITION BY query_id))",
     "candidates_full": f"WITH {CHANNELS} SELECT query_id, chunk_id, round(dense_n, 6) AS dense_n, round(bm25_n, 6) AS bm25_n, round(identifier_n, 6) AS identifier_n, method FROM gathered",
     "weighted_fusion": f"WITH {CHANNELS}, s AS {_fused.format(score='0.55 * dense_n + 0.30 * bm25_n + 0.15 * identifier_n')}, {_best('s', 10, 'best')} SELECT query_id, chunk_id, round(score, 5) AS score FROM best WHERE score > 0",

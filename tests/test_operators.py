@@ -55,6 +55,61 @@ def test_dense_search_is_exact(spark, monkeypatch):
         dense.search(table, spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<float>"), 5).collect()
 
 
+def test_dense_search_keeps_k_rows_and_orders_ties(spark, monkeypatch):
+    monkeypatch.setattr(dense, "SLICE", 3)
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)], "chunk_id long, vector array<float>").repartition(3)
+    asked = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "query_id string, vector array<float>")
+    rows = dense.search(same, asked, 4).collect()
+    assert {(r.query_id, r.chunk_id, r["rank"]) for r in rows} == {(q, i, i + 1) for q in "ab" for i in range(4)}
+    kept, floor = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.full(5, -np.inf)
+    rng = np.random.default_rng(1)
+    scores, ids = rng.integers(0, 9, (5, 60)) / 8, rng.permutation(60)
+    for at in range(0, 60, 7):
+        kept = dense._best(kept, floor, scores[:, at : at + 7], ids[at : at + 7], 6)
+        assert len(kept[0]) <= 5 * 6
+    for q in range(5):
+        want = sorted(range(60), key=lambda i: (-scores[q, i], ids[i]))[:6]
+        assert kept[1][kept[0] == q].tolist() == [ids[i] for i in want]
+
+
+def test_dense_search_in_sql_is_for_few_queries(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK_ROWS", 3)
+    v = unit_vectors(30, 4)
+    table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, vector array<float>")
+    asked = table.select(F.col("chunk_id").alias("query_id"), "vector")
+    key = lambda rows: {(r.query_id, r.chunk_id, r["rank"]) for r in rows.collect()}
+    assert key(dense.search_sql(table, asked, 3)) == key(dense.search(table, asked, 3))
+
+
+def test_threshold_search(spark, monkeypatch):
+    monkeypatch.setattr(dense, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(dense, "SLICE", 16)
+    v = unit_vectors(120, 4, 5)
+    rows = [(i, x.tolist(), None if i % 11 == 0 else i % 3) for i, x in enumerate(v)]
+    table = spark.createDataFrame(rows, "chunk_id long, vector array<double>, label int").repartition(4)
+    asked = table.filter("chunk_id < 20").withColumnRenamed("chunk_id", "query_id")
+    got = {(r.query_id, r.chunk_id) for r in dense.threshold_search(table, asked, 0.5, "label").collect()}
+    assert got == {(a, b) for a in range(20) for b in range(120) if rows[a][2] is not None and rows[a][2] == rows[b][2] and v[a] @ v[b] >= 0.5}
+    assert dense.threshold_search(table, asked.limit(0), 0.5, "label").count() == 0
+
+
+def test_containment_finds_short_and_long_items(spark):
+    texts = ["one two three four five six", "xone two three four fivex", "a b", "", None, "two  three\nfour one two three four five", "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    asked = ["one two three four five", "two three", "b", "", None, "two  three", "a b c d e f", "one two three four five"]
+    items = spark.createDataFrame(list(enumerate(asked)), "query_id long, item string")
+    got = sorted((r.query_id, r.doc_id) for r in evaluation.containment(docs, items).collect())
+    assert got == sorted((q, d) for q, item in enumerate(asked) for d, text in enumerate(texts) if item and text and item in text)
+
+
+def test_halves(spark):
+    for n in (0, 1, 2, 7, 40):
+        keys = [(i, (i * 37 % 11) << 27) for i in range(n)]
+        got = {r.i: r.half for r in evaluation.halves(spark.createDataFrame(keys, "i long, h long"), "h", 32, "i").collect()}
+        order = sorted(range(n), key=lambda i: (keys[i][1], i))
+        assert got == {i: 1 if at < (n + 1) // 2 else 2 for at, i in enumerate(order)}
+
+
 def test_lsh_recall(spark):
     v = unit_vectors(400, 16, 3)
     table = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "chunk_id long, vector array<float>")
