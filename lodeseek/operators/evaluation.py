@@ -19,30 +19,35 @@ def ranked_run(run: DataFrame, k: int) -> DataFrame:
     return run.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def per_query(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
-    """qrels: query_id, doc_id, rel.  query_id, ndcg, mrr and recall at k, for every judged query."""
-    met = qrels.join(ranked_run(run, k).select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left")
+def per_query(run: DataFrame, qrels: DataFrame, k: int, deeper: int | None = None) -> DataFrame:
+    """qrels: query_id, doc_id, rel.  query_id, ndcg, mrr and recall at k, for every judged query; with deeper
+    also deep_recall, at that rank."""
+    met = qrels.join(ranked_run(run, deeper or k).select("query_id", "doc_id", "rank"), ["query_id", "doc_id"], "left")
     ideal = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), "doc_id"))
     discount = lambda rank: F.log2(rank.cast("double") + 1)
-    rows = met.withColumn("ideal_rank", ideal)
+    rows = met.withColumn("ideal_rank", ideal).withColumn("near", F.when(F.col("rank") <= k, F.col("rank")))
+    positive = F.col("rel") > 0
+    share = lambda hits: F.when(F.col("positives") > 0, F.col(hits) / F.col("positives")).otherwise(0.0)
     return rows.groupBy("query_id").agg(
-        F.sum(F.when(F.col("rank").isNotNull(), F.col("rel") / discount(F.col("rank"))).otherwise(0.0)).alias("dcg"),
+        F.sum(F.when(F.col("near").isNotNull(), F.col("rel") / discount(F.col("near"))).otherwise(0.0)).alias("dcg"),
         F.sum(F.when(F.col("ideal_rank") <= k, F.col("rel") / discount(F.col("ideal_rank"))).otherwise(0.0)).alias("ideal"),
-        F.min(F.when(F.col("rel") > 0, F.col("rank"))).alias("first"),
-        F.count_if((F.col("rel") > 0) & F.col("rank").isNotNull()).alias("hits"),
-        F.count_if(F.col("rel") > 0).alias("positives"),
+        F.min(F.when(positive, F.col("near"))).alias("first"),
+        F.count_if(positive & F.col("near").isNotNull()).alias("hits"),
+        F.count_if(positive & F.col("rank").isNotNull()).alias("deep_hits"),
+        F.count_if(positive).alias("positives"),
     ).select(
         "query_id",
         F.when(F.col("ideal") > 0, F.col("dcg") / F.col("ideal")).otherwise(0.0).alias("ndcg"),
         F.coalesce(1.0 / F.col("first"), F.lit(0.0)).alias("mrr"),
-        F.when(F.col("positives") > 0, F.col("hits") / F.col("positives")).otherwise(0.0).alias("recall"),
+        share("hits").alias("recall"),
+        *([share("deep_hits").alias("deep_recall")] if deeper else []),
     )
 
 
 def evaluate(run: DataFrame, qrels: DataFrame) -> DataFrame:
     """One row: ndcg_at_10, mrr_at_10, recall_at_10, recall_at_100 and n_queries, means over judged queries."""
-    ten = per_query(run, qrels, 10).agg(F.avg("ndcg").alias("ndcg_at_10"), F.avg("mrr").alias("mrr_at_10"), F.avg("recall").alias("recall_at_10"), F.count("*").alias("n_queries"))
-    return ten.crossJoin(per_query(run, qrels, 100).agg(F.avg("recall").alias("recall_at_100")))  # one row each
+    means = {"ndcg_at_10": "ndcg", "mrr_at_10": "mrr", "recall_at_10": "recall", "recall_at_100": "deep_recall"}
+    return per_query(run, qrels, 10, 100).agg(*(F.avg(c).alias(name) for name, c in means.items()), F.count("*").alias("n_queries"))
 
 
 def percentiles(timings: DataFrame, value: str, by: list[str]) -> DataFrame:
@@ -70,7 +75,7 @@ def containment(docs: DataFrame, items: DataFrame) -> DataFrame:
     asked = items.filter("length(item) > 0").withColumn("keyed", F.size(words) > 4)
     keys = asked.filter("keyed").select("query_id", F.array_join(F.slice(words, 2, 3), " ").alias("key"))
     triples = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.array_join(F.slice("w", i, 3), " "))
-    told = docs.select("doc_id", F.split("text", " ").alias("w")).filter("size(w) > 2").select("doc_id", F.explode(F.array_distinct(triples)).alias("key"))
+    told = docs.select("doc_id", F.split("text", " ").alias("w")).filter("size(w) > 2").select("doc_id", F.explode(triples).alias("key"))
     pairs = told.join(small_or_shuffled(keys), "key").select("doc_id", "query_id").distinct()
     whole = pairs.join(docs.select("doc_id", "text"), "doc_id").join(small_or_shuffled(asked.select("query_id", "item")), "query_id")
     found = whole.filter(F.contains("text", F.col("item"))).select("query_id", "doc_id")

@@ -494,7 +494,7 @@ def evaluation_means(spark, sf_dir):
 def contained_benchmark(spark, sf_dir):
     """Judgements by containment: items whose text a document holds."""
     items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    return evaluation.containment(_read(spark, sf_dir, "documents").select("doc_id", "text"), items).withColumn("rel", F.lit(1))
+    return evaluation.containment(spread(_read(spark, sf_dir, "documents").select("doc_id", "text")), items).withColumn("rel", F.lit(1))
 
 
 @query
