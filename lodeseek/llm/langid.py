@@ -148,7 +148,7 @@ class Scorer(dict):
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
-        if not words or not self.model.languages:
+        if not self.model.languages or not any(c.isalpha() for word in words for c in word):  # ² is in a word, but no letter
             return "und", 0.0
         if self.used > len(self.model.scores) + MEMORY:
             self.clear()

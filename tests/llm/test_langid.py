@@ -34,7 +34,7 @@ def test_backoff_uses_the_longest_known_gram():
     assert scorer.predict("xbcx")[0] == "b"
     assert scorer.predict("q")[0] == "b"
     assert scorer.predict("ww") == ("a", 0.5)
-    assert scorer.predict("123 !") == ("und", 0.0)
+    assert scorer.predict("123 !") == scorer.predict("² ½") == ("und", 0.0)
 
 
 def test_memory_is_emptied(monkeypatch):
