@@ -9,6 +9,13 @@ Hashes only nominate.  The digests that repeat are found by an aggregation that
 bitmap of fixed size sent to all tasks lets a second reading pass on the texts of just those chunks (and
 of few more); equality is then decided on the bytes, as keys of an aggregation and a join.
 
+Repeated chunks alone leave the lines of a repeated passage that lie outside its shared chunks, and passages
+that share none.  ``remove_repeated_passages`` goes on from the verified chunks line by line: of equal pairs of
+neighbouring lines, all but the first are removed as well, found and compared in the same way.  A removed chunk
+has an earlier copy, so that pairs inside it can't be first; they are left out, and only what the chunks
+didn't settle is read as pairs.  Every line of a passage of two lines or more that came before goes; the
+first place of a line stays always.
+
 Defined results: a null text has no lines and stays null; lines end at line feeds and are compared with
 all their bytes; a chunk without any word is not removed; rows that agree in id and text are one document,
 each keeping what it keeps.  Columns besides id and text are left alone, whatever their names.
@@ -16,7 +23,7 @@ each keeping what it keeps.  Columns besides id and text are left alone, whateve
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +62,12 @@ def chunk_lines(lines: list[bytes], window: int = WINDOW, mean: int = MEAN_LINES
 
 def multi_line_chunks(raw: bytes | None) -> Iterator[tuple[int, bytes]]:
     """(number among all chunks, bytes) of chunks of two lines or more that have a word."""
+    for number, _, body in _placed_chunks(raw):
+        yield number, body
+
+
+def _placed_chunks(raw: bytes | None) -> Iterator[tuple[int, int, bytes]]:
+    """The same with the first line's number in the middle."""
     if raw is None:
         return
     lines = raw.split(b"\n")
@@ -62,7 +75,20 @@ def multi_line_chunks(raw: bytes | None) -> Iterator[tuple[int, bytes]]:
         if b - a > 1:
             body = b"\n".join(lines[a:b])
             if body.strip():
-                yield number, body
+                yield number, a, body
+
+
+def open_pairs(raw: bytes | None, closed: Callable[[bytes], bool]) -> Iterator[tuple[int, bytes]]:
+    """(first line, bytes) of neighbouring lines that have a word and aren't both in one closed chunk."""
+    if raw is None or b"\n" not in raw:
+        return
+    lines = raw.split(b"\n")
+    for a, b in chunk_lines(lines):
+        inside = b - a > 1 and (body := b"\n".join(lines[a:b])).strip() and closed(body)
+        for at in range(b - 1 if inside else a, min(b, len(lines) - 1)):
+            body = lines[at] + b"\n" + lines[at + 1]
+            if body.strip():
+                yield at, body
 
 
 def _digest(body: bytes) -> int:
@@ -70,26 +96,60 @@ def _digest(body: bytes) -> int:
     return value - (1 << 64) if value >> 63 else value
 
 
+BODY_NAMES = ["doc_id", "text_key", "number", "line", "digest", "body"]
+BODY_TYPES = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+BODY_SCHEMA = "doc_id long, text_key long, number int, line int, digest long, body binary"
+
+
+def _has(bitmap: Broadcast) -> Callable[[int], bool]:
+    bits = np.frombuffer(bitmap.value, np.uint8)
+    return lambda digest: bool(bits[digest % BITMAP_BITS >> 3] >> (digest & 7) & 1)
+
+
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         digests = [_digest(body) for raw in batch["text"] for _, body in multi_line_chunks(raw.as_py())]
         yield pa.record_batch([pa.array(digests, pa.int64())], ["digest"])
 
 
+def _body_batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [()] * len(BODY_NAMES)
+    return pa.record_batch([pa.array(c, t) for c, t in zip(columns, BODY_TYPES, strict=True)], BODY_NAMES)
+
+
 def _body_batches(bitmap: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(bitmap.value, np.uint8)
+        has = _has(bitmap)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, key, raw in zip(batch["doc_id"].to_pylist(), batch["text_key"].to_pylist(), batch["text"], strict=True):
-                for number, body in multi_line_chunks(raw.as_py()):
+                for number, line, body in _placed_chunks(raw.as_py()):
+                    digest = _digest(body)
+                    if has(digest):
+                        rows.append((doc_id, key, number, line, digest, body))
+            yield _body_batch(rows)
+
+    return run
+
+
+def _pair_batches(chunks: Broadcast | None, pairs: Broadcast | None):
+    """Pairs of lines, of texts but for the insides of nominated chunks, or if chunks is None, of such chunks' bodies (line:
+    where text begins in the document).  Gives digests, or with the pairs' bitmap those in it, numbered by first lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        in_chunks, in_pairs = chunks and _has(chunks), pairs and _has(pairs)
+        closed = (lambda body: in_chunks(_digest(body))) if chunks else (lambda body: False)
+        for batch in batches:
+            rows: list[tuple] = []
+            digests: list[int] = []
+            for doc_id, key, line, raw in zip(*(batch[c].to_pylist() for c in ("doc_id", "text_key", "line")), batch["text"], strict=True):
+                for at, body in open_pairs(raw.as_py(), closed):
                     digest = _digest(body)
-                    place = digest % BITMAP_BITS
-                    if bits[place >> 3] >> (place & 7) & 1:
-                        rows.append((doc_id, key, number, digest, body))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["doc_id", "text_key", "number", "digest", "body"])
+                    if not pairs:
+                        digests.append(digest)
+                    elif in_pairs(digest):
+                        rows.append((doc_id, key, line + at, line + at, digest, body))
+            yield _body_batch(rows) if pairs else pa.record_batch([pa.array(digests, pa.int64())], ["digest"])
 
     return run
 
@@ -104,26 +164,67 @@ def _bitmap(digests: DataFrame) -> bytes:
     return bytes(whole)
 
 
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+
+
+def _twice(digests: DataFrame, name: str) -> DataFrame:
+    return stash(digests.groupBy("digest").count().filter("count > 1").select("digest"), name)
+
+
+def _firsts(found: DataFrame) -> DataFrame:
+    """Each body with its first place and its number of places."""
+    place = F.struct("doc_id", "text_key", "number", "line")
+    return found.groupBy("digest", "body").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+
+
+def _later(found: DataFrame, firsts: DataFrame) -> DataFrame:
+    """The places of equal bodies but the first."""
+    place = F.struct("doc_id", "text_key", "number", "line")
+    return found.join(firsts.filter("n > 1").drop("n"), ["digest", "body"]).filter(~place.eqNullSafe(F.col("first")))
+
+
+def _nominated_chunks(rows: DataFrame) -> tuple[DataFrame, DataFrame, Broadcast]:
+    """Chunks in the bitmap, not yet joined with the digests; the digests that repeat; the bitmap."""
+    twice = _twice(rows.select("text").mapInArrow(_key_batches, "digest long"), "repeated-digests")
+    bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(twice))
+    return rows.mapInArrow(_body_batches(bitmap), BODY_SCHEMA), twice, bitmap
+
+
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key and drop, the numbers of chunks to remove, of the documents that have some."""
-    text = F.col(text_col).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
-    digests = rows.select("text").mapInArrow(_key_batches, "digest long")
-    twice = stash(digests.groupBy("digest").count().filter("count > 1").select("digest"), "repeated-digests")
-    bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(twice))
-    nominated = rows.mapInArrow(_body_batches(bitmap), "doc_id long, text_key long, number int, digest long, body binary")
+    nominated, twice, _ = _nominated_chunks(_texts(docs, id_col, text_col))
     found = stash(nominated.join(twice, "digest"), "repeated-chunks")
-    place = F.struct("doc_id", "text_key", "number")
-    first = found.groupBy("digest", "body").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    others = found.join(first, ["digest", "body"]).filter(~place.eqNullSafe(F.col("first")))
-    return others.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("number")).alias("drop"))
+    return _later(found, _firsts(found)).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("number")).alias("drop"))
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """repeated_chunks() with drop_pairs, the first lines of pairs to remove that aren't inside of such a chunk."""
+    rows = _texts(docs, id_col, text_col)
+    nominated, _, bitmap = _nominated_chunks(rows)
+    found = stash(nominated, "nominated-chunks")
+    firsts = stash(_firsts(found), "first-chunks")
+    chunks = _later(found, firsts).select("doc_id", "text_key", F.col("number").alias("chunk"), F.lit(None).cast("int").alias("pair"))
+    whole = rows.withColumn("line", F.lit(0))
+    inner = firsts.select("first.doc_id", "first.text_key", F.col("body").alias("text"), "first.line")
+
+    def pairs(schema: str, own: Broadcast | None) -> DataFrame:
+        return whole.mapInArrow(_pair_batches(bitmap, own), schema).unionByName(inner.mapInArrow(_pair_batches(None, own), schema))
+
+    twice = _twice(pairs("digest long", None), "repeated-pair-digests")
+    in_pairs = docs.sparkSession.sparkContext.broadcast(_bitmap(twice))
+    met = stash(pairs(BODY_SCHEMA, in_pairs).join(twice, "digest"), "repeated-pairs")
+    later = _later(met, _firsts(met)).select("doc_id", "text_key", F.lit(None).cast("int").alias("chunk"), F.col("number").alias("pair"))
+    sets = [F.sort_array(F.collect_set(c)).alias(name) for c, name in (("chunk", "drop"), ("pair", "drop_pairs"))]
+    return chunks.unionByName(later).groupBy("doc_id", "text_key").agg(*sets)
 
 
 def _clean_batches(columns: list[str], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, stats = [], []
-            for raw, drop in zip(batch[text_col], batch["_drop"].to_pylist(), strict=True):
+            for raw, drop, pairs in zip(batch[text_col], batch["_drop"].to_pylist(), batch["_drop_pairs"].to_pylist(), strict=True):
                 text = raw.as_py()
                 if text is None:
                     texts.append(None)
@@ -131,7 +232,8 @@ def _clean_batches(columns: list[str], text_col: str):
                     continue
                 lines = text.split(b"\n")
                 chunks, gone = chunk_lines(lines), set(drop or ())
-                kept = [line for number, (a, b) in enumerate(chunks) if number not in gone for line in lines[a:b]]
+                out = {line for at in pairs or () for line in (at, at + 1)}
+                kept = [lines[at] for number, (a, b) in enumerate(chunks) if number not in gone for at in range(a, b) if at not in out]
                 texts.append(b"\n".join(kept))
                 stats.append((len(lines), len(chunks), len(gone), len(lines) - len(kept)))
             new = [pa.array(texts, pa.binary()), *(pa.array([s[i] for s in stats], pa.int64()) for i in range(4))]
@@ -144,11 +246,21 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
     """The columns of docs, the text without repeated chunks, and _lines, _chunks, _gone (chunks removed)
     and _gone_lines, in place of columns with these names."""
     docs = docs.drop("_lines", "_chunks", "_gone", "_gone_lines")
+    return _removed(docs, repeated_chunks(docs, id_col, text_col).withColumn("drop_pairs", F.lit(None).cast("array<int>")), id_col, text_col)
+
+
+def remove_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The same without all lines of repeated passages of two lines or more; _gone still counts whole chunks."""
+    docs = docs.drop("_lines", "_chunks", "_gone", "_gone_lines")
+    return _removed(docs, repeated_passages(docs, id_col, text_col), id_col, text_col)
+
+
+def _removed(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
     plain = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # no name can clash
     own = docs.toDF(*plain.values()).withColumn(plain[text_col], F.col(plain[text_col]).cast("binary"))
-    drops = repeated_chunks(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("drop").alias("_drop"))
+    drops = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("drop").alias("_drop"), F.col("drop_pairs").alias("_drop_pairs"))
     met = F.col(plain[id_col]).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(plain[text_col]) == F.col("_key"))
-    rows = own.join(drops, met, "left").select(*own.columns, "_drop")
+    rows = own.join(drops, met, "left").select(*own.columns, "_drop", "_drop_pairs")
     kept = [c for c in own.columns if c != plain[text_col]]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema if f.name in kept)
     stats = "_lines long, _chunks long, _gone long, _gone_lines long"

@@ -116,7 +116,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document: counts, and the digest of its text."""
-    cleaned = linechunks.remove_repeated_chunks(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = linechunks.remove_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
     return cleaned.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_chunks").alias("n_chunks"), F.col("_gone").alias("n_removed_chunks"), F.col("_gone_lines").alias("n_removed_lines"), digest)
 

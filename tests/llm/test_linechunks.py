@@ -74,3 +74,38 @@ def test_columns_stay(clashing, rows, empty):
     assert out.columns == [*clashing.columns, "_lines", "_chunks", "_gone", "_gone_lines"]
     assert out.count() == len(rows)
     assert lc.remove_repeated_chunks(empty).count() == 0
+
+
+def plain_passages(rows):
+    """What is left of each document if of equal pairs of neighbouring lines all but the first go."""
+    order = lambda key: (key[0] is not None, key[0] or 0, _text_key(key[1]))
+    seen, out = set(), {}
+    for key in sorted({(r[0], r[1]) for r in rows if r[1] is not None}, key=order):
+        lines, gone = key[1].split("\n"), set()
+        for at, pair in enumerate(zip(lines, lines[1:], strict=False)):
+            if "".join(pair).strip():
+                gone |= {at, at + 1} if pair in seen else set()
+                seen.add(pair)
+        out[key] = "\n".join(line for at, line in enumerate(lines) if at not in gone)
+    return out
+
+
+def test_every_repeated_passage_goes(spark, docs, rows, clashing):
+    """Whatever the chunk ends: passages of two to six lines between other lines, and an equal text twice."""
+    passages = [[f"passage {k} line {i}" for i in range(2 + k % 5)] for k in range(40)]
+    made = [(1000 + i, "\n".join([f"own {i} before", *passages[i % 40], f"own {i} after"])) for i in range(120)] + [(2000, "a\na\na\n\n\n\na\na"), (2001, "x\ny"), (2002, "x\ny\nz"), (2003, "y\nz")]
+    for table, data in ((spark.createDataFrame(made, "doc_id long, text string").repartition(4), made), (clashing, rows)):
+        want = plain_passages(data)
+        got = lc.remove_repeated_passages(table).collect()
+        assert Counter((r[0], want.get((r[0], r[1]))) for r in data) == Counter((r.doc_id, r.text) for r in got)
+        assert all(r._gone_lines == r._lines - len(r.text.split("\n")) for r in got if r.text)
+    kept = {r.doc_id: r.text for r in lc.remove_repeated_passages(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert all(kept[1000 + i] == f"own {i} before\nown {i} after" for i in range(40, 120))
+
+
+def test_colliding_digests_do_not_lose_pairs(spark, monkeypatch):
+    """All bits set, as in a table of many digests: what is nominated in vain is still read as pairs."""
+    monkeypatch.setattr(lc, "_bitmap", lambda digests: bytes([255]) * (lc.BITMAP_BITS // 8))
+    made = [(i, "\n".join([f"b{i}", *(f"p{i % 4} {k}" for k in range(5)), f"e{i}"])) for i in range(16)]
+    got = {r.doc_id: r.text for r in lc.remove_repeated_passages(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got == {i: text if i < 4 else f"b{i}\ne{i}" for i, text in made}
