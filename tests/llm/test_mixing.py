@@ -66,3 +66,25 @@ def test_too_large_a_mean_is_an_error(spark, docs):
 
 def test_empty_table(empty):
     assert mixing.mix(empty, mixing.source_rates(empty)).count() == 0
+
+
+def test_large_means_are_drawn(spark):
+    """A source of one empty text beside a large one, by the built-in weights; no mean is too large."""
+    made = [(i, "word " * 10_000, "en", "hot", 0) for i in range(6)] + [(10 + i, None if i else "", "en", f"tiny{i}", 0) for i in range(3)]
+    table = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long")
+    rates = mixing.source_rates(table, evenness=0.0)
+    means = {r.source: r.rate for r in rates.collect()}
+    assert means["tiny0"] > 1.5 * mixing.LARGEST_MEAN and all(r.cumulative is None for r in rates.collect() if r.rate > mixing.TABULATED_MEAN)
+    got = found(mixing.mix(table, rates))
+    assert got == plain_mix(made, dict.fromkeys(means, 1.0))
+    for i in range(3):
+        n = sum(doc == 10 + i for doc, _, _ in got)
+        assert abs(n - means[f"tiny{i}"]) < 6 * math.sqrt(n)
+
+
+def test_counts_are_those_of_the_table(spark):
+    us = spark.range(400).selectExpr("id / 400D as u", "double(id % 90) as mean")
+    from pyspark.sql import functions as F
+
+    a = F.size(F.filter(mixing.cumulative_poisson(F.col("mean")), lambda c: c <= F.col("u")))
+    assert us.filter("mean > 0").filter(a != mixing.poisson_count(F.col("mean"), F.col("u"))).count() == 0
