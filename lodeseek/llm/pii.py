@@ -98,7 +98,8 @@ def _place(span: Span) -> tuple[int, int, int]:
 # The field.
 
 TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|\s|.", re.DOTALL)
-TRIGGER = re.compile(r"[0-9@]|[(\[]at[)\]]|\bat\b(?=\s+\S+\s+dot\b)")
+#: Every candidate holds one: a digit, an at-sign or a token of AT_WORDS in any case.
+TRIGGER = re.compile(r"[0-9@]|(?<![^\W\d_])[Aa][Tt](?![^\W\d_])")
 AT_WORDS = {"at"}
 DOT_WORDS = {"dot"}
 CUES = {

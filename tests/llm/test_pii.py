@@ -91,3 +91,22 @@ def test_table(spark, clashing, rows, empty):
     got = pii.find_personal_data(clashing, ["doc_id", "spans"]).collect() if "base" in clashing.columns else pii.find_personal_data(clashing, ["doc_id"]).collect()
     assert len(got) == len(rows)
     assert pii.find_personal_data(empty, ["doc_id"]).count() == 0
+
+
+SPELLED = ["anna [AT] house [DOT] org", "ANNA AT HOUSE DOT ORG", "anna (At) house (Dot) org", "anna ( at ) house ( dot ) org", "anna [ AT ] house [ DOT ] org", "anna at house dot org"]
+
+
+def test_spelled_out_addresses_far_from_any_digit():
+    weights, prose = pii.fitted_weights(), "the river thinks of the house and " * 20
+    for address in SPELLED:
+        start = len(prose)
+        assert pii.all_spans(f"{prose}{address} {prose}", weights) == ([], [("email", start, start + len(address))]), address
+
+
+@given(st.lists(st.sampled_from(["anna", "house", "org", "at", "AT", "At", "dot", "DOT", "cat", "_", "(", ")", "[", "]", " ", " ", "\n", "@", ".", "7", "é", "+"]), max_size=30))
+@settings(max_examples=400, deadline=None)
+def test_every_candidate_holds_a_trigger(parts):
+    stretch = pii.Stretch("".join(parts))
+    for i, j, _ in stretch.candidates():
+        a, b = stretch.starts[i], stretch.ends[j - 1]
+        assert any(a <= m.start() and m.end() <= b for m in pii.TRIGGER.finditer("".join(parts)))
