@@ -8,6 +8,7 @@ from lodeseek.errors import MissingEmbeddingsError, ModelLoadError
 from lodeseek.functions import query as Q
 from lodeseek.functions import text as T
 from lodeseek.operators import dedup, dense, evaluation, fusion, identifiers, lexical, ranking, versions
+from lodeseek.plans.catalog import CATALOG
 
 
 @pytest.fixture(scope="module")
@@ -119,6 +120,13 @@ def test_lsh_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_lsh_recall_of_the_registered_query(spark):
+    """On the table that it runs over, the asking vector itself left out."""
+    near = {(r.query_id, r.chunk_id) for r in CATALOG["lsh_topk"](spark, "/root/testdata/sf0.1").collect() if r.query_id != r.chunk_id}
+    exact = {(r.query_id, r.chunk_id) for r in CATALOG["cosine_topk"](spark, "/root/testdata/sf0.1").collect() if r.query_id != r.chunk_id}
+    assert len(exact & near) / len(exact) >= 0.9
+
+
 def test_lsa(spark):
     texts = ["parse the json file", "read json from a file", "open database connection", "connect to the sql database", "sort numbers in a list"] * 6
     table = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string").withColumn("tokens", T.tokens(F.col("text")))
