@@ -131,7 +131,8 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables:
 
 
 class LsaEncoder:
-    """TF-IDF and a truncated SVD.  Fitted on the driver on a bounded sample; encodes anywhere."""
+    """TF-IDF and a truncated SVD.  Vocabulary and document frequencies are counted over all documents; the SVD
+    is fitted on the driver on a bounded sample; encodes anywhere."""
 
     kind = "lsa"
 
@@ -151,17 +152,18 @@ class LsaEncoder:
             raise MissingEmbeddingsError("the encoder is not fitted")
 
     def fit(self, docs: DataFrame) -> LsaEncoder:
-        """docs: chunk_id and tokens.  Takes the fit_rows rows whose ids hash lowest, and their most frequent terms."""
-        sample = docs.orderBy(F.xxhash64("chunk_id", F.lit(self.seed))).limit(self.fit_rows).select("tokens").toArrow()["tokens"].to_pylist()
-        frequency: dict[str, int] = {}
-        for tokens in sample:
-            for term in set(tokens or ()):
-                frequency[term] = frequency.get(term, 0) + 1
-        chosen = sorted(frequency, key=lambda t: (-frequency[t], t))[: self.max_terms]
-        self.terms = {t: i for i, t in enumerate(chosen)}
-        n = max(1, len(sample))
-        self.idf = np.array([np.log((1 + n) / (1 + frequency[t])) + 1 for t in chosen])
-        rows = [self._weights(tokens) for tokens in sample]
+        """docs: chunk_id and tokens.  The max_terms terms that most documents have, ties by the term; for the SVD,
+        the fit_rows rows whose ids hash lowest."""
+        counts = docs.select(F.explode(F.array_distinct("tokens")).alias("term")).filter("term is not null").groupBy("term").count()
+        found = counts.orderBy(F.desc("count"), "term").limit(self.max_terms).collect()
+        self.terms = {r.term: i for i, r in enumerate(found)}
+        n = max(1, docs.count())
+        self.idf = np.log((1 + n) / (1 + np.array([r["count"] for r in found], np.float64))) + 1
+        place = F.xxhash64("chunk_id", F.lit(self.seed))
+        lowest = docs.select(place.alias("place")).orderBy("place").limit(self.fit_rows)  # of all rows only this number is sorted
+        last = lowest.agg(F.max("place")).first()[0]
+        sample = docs.filter(place <= F.lit(last)).orderBy(place).limit(self.fit_rows).select("tokens").toArrow()["tokens"]
+        rows = [self._weights(tokens.as_py()) for tokens in sample]
         self.projection = self._svd(rows)
         return self
 

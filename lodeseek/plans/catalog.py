@@ -326,7 +326,7 @@ def lsh_topk(spark, sf_dir):
 @query
 def lsa_encode(spark, sf_dir):
     docs = _corpus(spark, sf_dir)
-    encoder = dense.LsaEncoder(32, 5000, 2000).fit(docs)
+    encoder = dense.LsaEncoder().fit(docs)
     return encoder.encode(docs).select("chunk_id", F.transform("vector", lambda x: F.round(x.cast("double"), 4)).alias("vector"))
 
 

@@ -143,6 +143,16 @@ def test_lsa(spark):
     assert dense.load_encoder({"backend": "other", "fallback_to_lsa": True}).kind == "lsa"
 
 
+def test_lsa_counts_all_documents(spark):
+    """Terms and their weights come from documents outside the sample for the SVD too."""
+    docs = [["common", f"t{i % 5}", f"t{i % 5}"] for i in range(60)] + [[], None, ["common", None]]
+    table = spark.createDataFrame(list(enumerate(docs)), "chunk_id long, tokens array<string>").repartition(3)
+    encoder = dense.LsaEncoder(4, 6, 2).fit(table)
+    assert list(encoder.terms) == ["common", "t0", "t1", "t2", "t3", "t4"]
+    assert np.allclose(encoder.idf, [math.log(64 / 62) + 1] + [math.log(64 / 13) + 1] * 5)
+    assert list(dense.LsaEncoder(4, 3, 2).fit(table).terms) == ["common", "t0", "t1"]
+
+
 def test_minmax_and_fusion(spark):
     rows = spark.createDataFrame([(1, 1, 1.0), (1, 2, 3.0), (1, 3, 2.0), (2, 1, 0.0), (2, 2, 0.0), (3, 1, 4.0)], "query_id long, chunk_id long, score double")
     got = {(r.query_id, r.chunk_id): r.normal for r in fusion.minmax(rows).collect()}
