@@ -10,8 +10,8 @@ over ``balance`` times the good ones wins; without one that catches any surplus,
 So good documents of a stratum are rejected at a rate of at most ``risk``, but for a chance of ``level``.
 
 Candidates are quantiles of each measure over the labelled documents that the base rules keep, so there
-are as many tests as strata times rules times ``CANDIDATES``.  Strata beyond the ``MAX_STRATA`` with most
-labels have no cutoffs.
+are as many tests as strata times rules times ``CANDIDATES``.  Strata with so few good labels that the
+procedure could accept no cutoff whatever is seen aren't tested; all others are, however many there are.
 
 Defined results: a null or empty text has no words and fails the base rules; of several labels of a
 document the worst counts; a null language is a stratum of its own; without labels only the base rules
@@ -34,7 +34,6 @@ RISK = 0.05
 LEVEL = 0.05
 BALANCE = 2.0
 CANDIDATES = 24
-MAX_STRATA = 200
 SYMBOLS = b"#*$%&|<>"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Bytes of UTF-8 that don't begin a character.
@@ -120,6 +119,12 @@ def holm(p_values: list[float], level: float) -> list[bool]:
     return accepted
 
 
+def least_good(rate: float, level: float) -> int:
+    """The number of good labels from which on a cutoff that rejects none of them can be accepted: Holm's level is at
+    most the whole level."""
+    return max(1, math.ceil(math.log(level) / math.log1p(-rate) - 1e-9))
+
+
 def choose_cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, level: float = LEVEL, balance: float = BALANCE) -> dict[tuple[str, str], float]:
     """(stratum, measure) to cutoff.  features: as measured() gives; labels: doc_id and quality (1: good)."""
     graded = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
@@ -131,7 +136,8 @@ def choose_cutoffs(features: DataFrame, labels: DataFrame, risk: float = RISK, l
     over = {f"{m}:{k}": (m, c) for m in MEASURES for k, c in enumerate(candidates[m])}
     sums = [F.sum((F.col(m) > c).cast("long")).alias(name) for name, (m, c) in over.items()]
     tallies = holdout.groupBy("stratum", "good").agg(F.count("*").alias("n"), *sums)
-    strata = holdout.groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(MAX_STRATA).select("stratum")
+    enough = F.count(F.when(F.col("good"), 1)) >= least_good(risk / len(MEASURES), level)
+    strata = holdout.groupBy("stratum").agg(enough.alias("enough")).filter("enough").select("stratum")
     table = {(r.stratum, r.good): r.asDict() for r in tallies.join(F.broadcast(strata), "stratum").collect()}  # 2 rows a stratum
     tests = [(stratum, name) for stratum in sorted({s for s, _ in table}) for name in over]
     zero = dict.fromkeys([*over, "n"], 0)

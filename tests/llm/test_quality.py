@@ -72,3 +72,19 @@ def test_defined_results(spark, docs, clashing, rows, empty):
     assert all(r.kept == (not r.base_failed) for r in got)
     assert quality.judge(empty, labels).count() == 0
     assert quality.judge(docs, labels.limit(0)).count() == len(rows)
+
+
+def test_all_strata_with_labels_enough_have_cutoffs(spark):
+    """220 strata of 160 good and 40 bad documents, and many with few labels, which take nothing from the others."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(220 * 200 + 900).withColumn("stratum", F.expr("if(id < 44000, concat('s', id % 220), concat('few', id % 300))")).withColumn("bad", F.expr("id div 220 % 5 = 0"))
+    features = rows.select(F.col("id").alias("doc_id"), "stratum", F.lit(False).alias("base_failed"), *(F.when(F.col("bad") & F.lit(m == "symbols_per_word"), 1.0).otherwise(0.0).alias(m) for m in quality.MEASURES))
+    labels = rows.select(F.col("id").alias("doc_id"), F.when(F.col("bad"), 0).otherwise(1).alias("quality"))
+    assert quality.choose_cutoffs(features, labels, risk=0.7) == {(f"s{k}", "symbols_per_word"): 0.0 for k in range(220)}
+
+
+def test_least_good_is_where_proof_begins():
+    for rate, level in ((0.05 / 7, 0.05), (0.1, 0.05), (0.3, 0.01)):
+        n = quality.least_good(rate, level)
+        assert quality.binomial_tail(0, n, rate) <= level < quality.binomial_tail(0, n - 1, rate)
