@@ -101,7 +101,15 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", *(count(k) for k in pii.KINDS), F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    n_spans, n_base = (F.size(c).cast("long") for c in ("spans", "base"))
+    return found.select(
+        "doc_id",
+        *(count(k) for k in pii.KINDS),
+        F.sha2(joined("base").cast("binary"), 256).alias("base_sha256"),
+        joined("spans").alias("spans"),
+        n_spans.alias("n_spans"),
+        (n_spans - n_base).alias("n_added"),
+    )
 
 
 def op6_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
