@@ -14,6 +14,8 @@ from lodeseek.llm.shared import shared_folder
 SHARDS = 24
 TOKENIZER = "piece_bpe_32k.model"
 TOKEN_LIMIT = 4096
+#: A folder that lasts, for counts of earlier runs to be found again.
+TOKEN_CACHE = "spark.lodeseek.token.cache"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,10 +48,10 @@ SELECT doc_id, source, text, unnest(range(n)) AS copy FROM counted
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Against a cache of its own, which starts empty."""
+    """Against the cache that the setting ``TOKEN_CACHE`` names, or where it is unset one of its own, which starts empty."""
     import public_tokenizers
 
-    cache = f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}"
+    cache = spark.conf.get(TOKEN_CACHE, None) or f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}"
     found = tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache, ["doc_id"])
     return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 

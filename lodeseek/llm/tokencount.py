@@ -1,15 +1,18 @@
 """Token counts with a digest cache.
 
 The cache is a folder of Parquet files with the tokenizer's version digest, the digest of the content as
-the tokenizer sees it, and the count.  Documents are joined to it on both digests; texts without a count
-are reduced to one of each digest before and after their shuffle, encoded, and the counts appended.
+the tokenizer sees it, and the count.  The documents' digests are written to a small table and joined to the cache;
+only texts without a count are looked at again, reduced to one of each digest before and after their shuffle,
+encoded, and their counts appended.  A digest that very many documents share is not dealt by its value
+(``shared.join_counted``).
 
 Content is normalised no further than the tokenizer leaves counts alone: a null text is an empty one, and
 equal bytes are equal content.  The version digest covers the tokenizer's file and the library's version.
 
-Defined results: null and empty texts have 0 bytes and whatever the tokenizer gives for an empty text;
-repeated rows come back as often as they came; a count that was appended twice, by jobs that ran at the
-same time, is read once.  Columns besides those named aren't looked at.
+Defined results: null and empty texts have 0 bytes and whatever the tokenizer gives for an empty text; very long
+texts are encoded whole, one at a time; repeated rows come back as often as they came, and equal texts have equal
+counts; a count that was appended twice, by jobs that ran at the same time, is read once; an empty table gives an
+empty result and appends nothing.  Columns besides those named aren't looked at, and none of these can clash.
 """
 
 from __future__ import annotations
@@ -23,6 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.llm.shared import join_counted, stash
+
+#: Missing digests of 32 bytes that may be sent to all tasks.
+BROADCAST_DIGESTS = 500_000
 CACHE = "tokenizer string, digest binary, n_tokens long"
 LIBRARY = {".json": "tokenizers", ".model": "sentencepiece"}
 
@@ -76,13 +83,20 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_folder: str, column
     spark, tokenizer = docs.sparkSession, version_digest(tokenizer_path)
     text = F.coalesce(F.col(text_col), F.lit(""))
     digest = F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")
-    asked = docs.select(digest, text.alias("text"))
+    plain = {c: f"_{i}" for i, c in enumerate(columns)}  # no name can clash
+    rows = stash(docs.select(*(F.col(c).alias(new) for c, new in plain.items()), digest, F.octet_length(text).cast("long").alias("n_bytes")), "text-digests")
+    counted = stash(rows.groupBy("digest").agg(F.count("*").alias("n")), "distinct-digests")
+    distinct = docs.select(digest, text.alias("text"))
     cache = read_cache(spark, cache_folder)
-    misses = asked if cache is None else asked.join(_counts(cache, tokenizer), "digest", "left_anti")
-    distinct = misses.groupBy("digest").agg(F.first("text").alias("text"))
+    if cache is not None:
+        missing = stash(counted.join(_counts(cache, tokenizer), "digest", "left_anti").select("digest"), "missing-digests")
+        if missing.count() <= BROADCAST_DIGESTS:  # texts that have a count aren't shuffled
+            distinct = distinct.join(F.broadcast(missing), "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+        else:
+            distinct = distinct.groupBy("digest").agg(F.first("text").alias("text")).join(missing, "digest", "left_semi")
+    else:
+        distinct = distinct.groupBy("digest").agg(F.first("text").alias("text"))
     encoded = distinct.mapInArrow(_encode_batches(tokenizer_path), "digest binary, n_tokens long")
     encoded.select(F.lit(tokenizer).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_folder)
-    stored = _counts(spark.read.schema(CACHE).parquet(cache_folder), tokenizer)
-    plain = {c: f"_{i}" for i, c in enumerate(columns)}  # no name can clash
-    rows = docs.select(*(F.col(c).alias(new) for c, new in plain.items()), digest, F.octet_length(text).cast("long").alias("n_bytes"))
-    return rows.join(stored, "digest").select(*(F.col(new).alias(c) for c, new in plain.items()), "n_bytes", "n_tokens")
+    stored = stash(counted.join(_counts(spark.read.schema(CACHE).parquet(cache_folder), tokenizer), "digest"), "stored-counts")
+    return join_counted(rows, stored, "digest").select(*(F.col(new).alias(c) for c, new in plain.items()), "n_bytes", "n_tokens")

@@ -47,3 +47,28 @@ def test_another_tokenizer_is_another_version(spark, docs):
 def test_empty_table(spark, empty):
     cache = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
     assert tokencount.count_tokens(empty, public_tokenizers.path("piece_bpe_32k.model"), cache, ["doc_id"]).count() == 0
+
+
+def test_very_common_texts_and_columns_with_any_name(spark):
+    """A text in a third of the rows is joined apart from the others; columns may be called as those used inside."""
+    from pyspark.sql import functions as F
+
+    path, cache = public_tokenizers.path("piece_bpe_32k.model"), f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}"
+    rows = spark.range(1500).select(F.col("id").alias("digest"), F.when(F.col("id") % 3 == 0, "the same").otherwise(F.concat(F.lit("own "), "id")).alias("text"), F.lit(1).alias("n"))
+    got = tokencount.count_tokens(rows, path, cache, ["digest", "n"]).collect()
+    library = SentencePieceProcessor(model_file=path)
+    assert sorted((r.digest, r.n_tokens) for r in got) == [(i, len(library.encode("the same" if i % 3 == 0 else f"own {i}"))) for i in range(1500)]
+
+
+def test_the_query_finds_counts_of_an_earlier_run(spark):
+    from lodeseek.llm import queries
+
+    cache, sf = f"{shared_folder(spark)}/cache-{uuid.uuid4().hex}", "/root/testdata/sf0.001"
+    spark.conf.set(queries.TOKEN_CACHE, cache)
+    try:
+        first = Counter(map(tuple, queries.op2_token_counts(spark, sf).collect()))
+        size = tokencount.read_cache(spark, cache).count()
+        assert Counter(map(tuple, queries.op2_token_counts(spark, sf).collect())) == first
+        assert tokencount.read_cache(spark, cache).count() == size > 0
+    finally:
+        spark.conf.unset(queries.TOKEN_CACHE)
