@@ -6,8 +6,11 @@ lines put in or taken out elsewhere don't shift them.  Of chunks of two lines or
 than once in the corpus, all but the first (least id, then place) are removed.
 
 Hashes only nominate.  The digests that repeat are found by an aggregation that sums per task first; a
-bitmap of fixed size sent to all tasks lets a second reading pass on the texts of just those chunks (and
-of few more); equality is then decided on the bytes, as keys of an aggregation and a join.
+bitmap sent to all tasks, of about 16 bits for each of them and ``MOST_BITS`` at most, lets a second reading pass on
+the texts of just those chunks (and of few more; of all, should the bitmap be full, with the same result); equality is
+then decided on the bytes, as keys of an aggregation that sums per task first as well.  Where all places of a digest
+have turned out to hold the same bytes, which is all but always, places are joined by the digest without the bytes,
+those of a very common chunk without being dealt by it; digests of several texts are joined with these.
 
 Repeated chunks alone leave the lines of a repeated passage that lie outside its shared chunks, and passages
 that share none.  ``remove_repeated_passages`` goes on from the verified chunks line by line: of equal pairs of
@@ -16,7 +19,8 @@ has an earlier copy, so that pairs inside it can't be first; they are left out,
 didn't settle is read as pairs.  Every line of a passage of two lines or more that came before goes; the
 first place of a line stays always.
 
-Defined results: a null text has no lines and stays null; lines end at line feeds and are compared with
+Defined results: an empty table gives an empty result; very long texts and lines are read whole, one text at a time in
+each task; a null text has no lines and stays null; lines end at line feeds and are compared with
 all their bytes; a chunk without any word is not removed; rows that agree in id and text are one document,
 each keeping what it keeps.  Columns besides id and text are left alone, whatever their names.
 """
@@ -32,11 +36,14 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodeseek.llm.shared import stash
+from lodeseek.llm.shared import join_counted, stash
 
 WINDOW = 2
 MEAN_LINES = 4
-BITMAP_BITS = 1 << 24
+#: Bits of the bitmap at least, at most, and for each digest.
+BITMAP_BITS = 1 << 20
+MOST_BITS = 1 << 30
+BITS_PER_DIGEST = 16
 _MASK = (1 << 64) - 1
 
 
@@ -103,7 +110,8 @@ BODY_SCHEMA = "doc_id long, text_key long, number int, line int, digest long, bo
 
 def _has(bitmap: Broadcast) -> Callable[[int], bool]:
     bits = np.frombuffer(bitmap.value, np.uint8)
-    return lambda digest: bool(bits[digest % BITMAP_BITS >> 3] >> (digest & 7) & 1)
+    size = 8 * len(bits)  # a power of two
+    return lambda digest: bool(bits[digest % size >> 3] >> (digest & 7) & 1)
 
 
 def _key_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,11 +163,12 @@ def _pair_batches(chunks: Broadcast | None, pairs: Broadcast | None):
 
 
 def _bitmap(digests: DataFrame) -> bytes:
-    """A bit for each digest's remainder; of a fixed size, however many digests there are."""
-    place = F.pmod("digest", F.lit(BITMAP_BITS)).cast("long").alias("place")
+    """A bit for each digest's remainder."""
+    size = min(MOST_BITS, max(BITMAP_BITS, 1 << (BITS_PER_DIGEST * digests.count() - 1).bit_length()))
+    place = F.pmod("digest", F.lit(size)).cast("long").alias("place")
     parts = digests.select(place).groupBy((F.col("place") / 32768).cast("int").alias("part")).agg(F.expr("bitmap_construct_agg(place % 32768)").alias("bits"))
-    whole = bytearray(BITMAP_BITS // 8)
-    for row in parts.collect():
+    whole = bytearray(size // 8)
+    for row in parts.toLocalIterator():
         whole[row.part * 4096 : (row.part + 1) * 4096] = row.bits
     return bytes(whole)
 
@@ -180,30 +189,34 @@ def _firsts(found: DataFrame) -> DataFrame:
 
 
 def _later(found: DataFrame, firsts: DataFrame) -> DataFrame:
-    """The places of equal bodies but the first."""
+    """The places of equal bodies but the first, without the bodies.  Both are written tables."""
     place = F.struct("doc_id", "text_key", "number", "line")
-    return found.join(firsts.filter("n > 1").drop("n"), ["digest", "body"]).filter(~place.eqNullSafe(F.col("first")))
+    digests = stash(firsts.groupBy("digest").agg(F.count("*").alias("bodies"), F.max("n").alias("n"), F.first("first").alias("first")), "digests")
+    met = join_counted(found.drop("body"), digests.filter("bodies = 1 and n > 1").drop("bodies"), "digest")
+    mixed = digests.filter("bodies > 1").select("digest")
+    if not mixed.isEmpty():
+        several = firsts.filter("n > 1").join(mixed, "digest", "left_semi").select("digest", "body", "first")
+        met = met.unionByName(found.join(several, ["digest", "body"]).drop("body"))
+    return met.filter(~place.eqNullSafe(F.col("first")))
 
 
-def _nominated_chunks(rows: DataFrame) -> tuple[DataFrame, DataFrame, Broadcast]:
-    """Chunks in the bitmap, not yet joined with the digests; the digests that repeat; the bitmap."""
+def _nominated_chunks(rows: DataFrame) -> tuple[DataFrame, Broadcast]:
+    """Places and bodies of the chunks in a bitmap of the digests that repeat, and the bitmap."""
     twice = _twice(rows.select("text").mapInArrow(_key_batches, "digest long"), "repeated-digests")
     bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(twice))
-    return rows.mapInArrow(_body_batches(bitmap), BODY_SCHEMA), twice, bitmap
+    return stash(rows.mapInArrow(_body_batches(bitmap), BODY_SCHEMA), "nominated-chunks"), bitmap
 
 
 def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_key and drop, the numbers of chunks to remove, of the documents that have some."""
-    nominated, twice, _ = _nominated_chunks(_texts(docs, id_col, text_col))
-    found = stash(nominated.join(twice, "digest"), "repeated-chunks")
-    return _later(found, _firsts(found)).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("number")).alias("drop"))
+    found, _ = _nominated_chunks(_texts(docs, id_col, text_col))
+    return _later(found, stash(_firsts(found), "first-chunks")).groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("number")).alias("drop"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """repeated_chunks() with drop_pairs, the first lines of pairs to remove that aren't inside of such a chunk."""
     rows = _texts(docs, id_col, text_col)
-    nominated, _, bitmap = _nominated_chunks(rows)
-    found = stash(nominated, "nominated-chunks")
+    found, bitmap = _nominated_chunks(rows)
     firsts = stash(_firsts(found), "first-chunks")
     chunks = _later(found, firsts).select("doc_id", "text_key", F.col("number").alias("chunk"), F.lit(None).cast("int").alias("pair"))
     whole = rows.withColumn("line", F.lit(0))
@@ -214,8 +227,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     twice = _twice(pairs("digest long", None), "repeated-pair-digests")
     in_pairs = docs.sparkSession.sparkContext.broadcast(_bitmap(twice))
-    met = stash(pairs(BODY_SCHEMA, in_pairs).join(twice, "digest"), "repeated-pairs")
-    later = _later(met, _firsts(met)).select("doc_id", "text_key", F.lit(None).cast("int").alias("chunk"), F.col("number").alias("pair"))
+    met = stash(pairs(BODY_SCHEMA, in_pairs), "nominated-pairs")
+    later = _later(met, stash(_firsts(met), "first-pairs")).select("doc_id", "text_key", F.lit(None).cast("int").alias("chunk"), F.col("number").alias("pair"))
     sets = [F.sort_array(F.collect_set(c)).alias(name) for c, name in (("chunk", "drop"), ("pair", "drop_pairs"))]
     return chunks.unionByName(later).groupBy("doc_id", "text_key").agg(*sets)
 

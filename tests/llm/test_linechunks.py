@@ -1,5 +1,8 @@
 from collections import Counter
 
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
 from lodeseek.llm import linechunks as lc
 
 
@@ -60,13 +63,35 @@ def test_chunks_resist_shifts():
     assert lc.chunk_lines([]) == []
 
 
-def test_equal_hashes_do_not_make_equal_chunks(docs, rows, monkeypatch, spark):
-    """With digests that all collide, the bytes decide."""
-    few = [(1, "a\nb\nc\nd\ne"), (2, "v\nw\nx\ny\nz"), (3, "a\nb\nc\nd\ne")]
-    table = spark.createDataFrame(few, "doc_id long, text string")
-    drops = lc.repeated_chunks(table).collect()
-    multi = [n for n, _ in lc.multi_line_chunks(few[0][1].encode())]
-    assert [(r.doc_id, list(r["drop"])) for r in drops] == ([(3, multi)] if multi else [])
+def test_equal_hashes_do_not_make_equal_chunks(spark):
+    """Places with one digest and three bodies: the bytes decide."""
+    bodies = {1: b"a\nb", 2: b"c\nd", 3: b"a\nb", 4: b"c\nd", 5: b"e\nf", 6: b"a\nb"}
+    found = spark.createDataFrame([(i, i, 0, 0, 77, x) for i, x in bodies.items()] + [(i, i, 0, 5, 78, b"g\nh") for i in (8, 9)], lc.BODY_SCHEMA)
+    later = lc._later(found, lc._firsts(found)).collect()
+    assert sorted((r.doc_id, r.digest) for r in later) == [(3, 77), (4, 77), (6, 77), (9, 78)]
+
+
+def plain_chunks(lines):
+    """Ends by the definition: the xor of the last two lines' hashes, the earlier one turned by a bit."""
+    import xxhash
+
+    turned = lambda x, k: (x << k | x >> (64 - k)) % 2**64 if k else x
+    hashes = [xxhash.xxh64(x).intdigest() for x in lines]
+    chunks, start = [], 0
+    for at in range(len(lines)):
+        value = 0
+        for back in range(lc.WINDOW):
+            value ^= turned(hashes[at - back], back) if at >= back else 0
+        if (value ^ value >> 29) % lc.MEAN_LINES == 0 or at == len(lines) - 1:
+            chunks.append((start, at + 1))
+            start = at + 1
+    return chunks
+
+
+@given(st.lists(st.sampled_from([b"a", b"b", b"", b"cc", b"d e"]), max_size=40))
+@settings(max_examples=300, deadline=None)
+def test_chunk_ends_equal_the_definition(lines):
+    assert lc.chunk_lines(lines) == plain_chunks(lines)
 
 
 def test_columns_stay(clashing, rows, empty):
