@@ -11,7 +11,7 @@ Inside a bucket the links are searched breadth first among the fingerprints not
 bucket gives one row for each member of a component (member, smallest member) rather than all pairs.
 
 Defined results: null and empty texts, and texts of white space only, have fingerprint zero and link
-like any other; repeated rows come back as often as they came; a null id never is a component's name,
+like any other; very long texts are hashed whole; repeated rows come back as often as they came; a null id never is a component's name,
 a component whose ids are all null has a null one; columns besides id and text are not looked at, so
 their names cannot clash.  An empty table gives an empty result.
 """
@@ -29,11 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeseek.llm.components import connected_components
-from lodeseek.llm.shared import stash
+from lodeseek.llm.shared import join_counted, stash
 
 BITS = 64
-#: A bucket should hold at most this many other fingerprints by mere chance, over all tables.
-CHANCE_PER_FINGERPRINT = 0.25
+#: A fingerprint may be compared with so many others that it meets by mere chance, over all tables: comparing is one
+#: exclusive or, and a table more is a row more to shuffle.
+CHANCE_PER_FINGERPRINT = 200
 #: A bucket of more distinct fingerprints is cut into smaller ones.
 LARGE_BUCKET = 4096
 #: Hash values whose bits are counted at once.
@@ -79,8 +80,9 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def block_count(distinct: int, distance: int) -> int:
-    """The fewest blocks with which chance meetings stay under CHANCE_PER_FINGERPRINT."""
-    for blocks in range(distance + 1, 2 * distance + 4):
+    """The fewest blocks, two or more of which agree, with which chance meetings stay under CHANCE_PER_FINGERPRINT: with a
+    distance of 4, six (15 tables) to a hundred million fingerprints, eight (70) at ten thousand million."""
+    for blocks in range(distance + 2, 2 * distance + 4):
         key_bits = BITS * (blocks - distance) / blocks
         if distinct * comb(blocks, distance) / 2**key_bits <= CHANCE_PER_FINGERPRINT:
             return blocks
@@ -203,21 +205,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, text_key, fp, root (the smallest fingerprint reachable over links) and component_id (the
     smallest id reachable) for every row."""
     prints = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    classes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
+    classes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "distinct-fingerprints")
     roots = connected_components(close_links(classes.select("fp"), distance))
-    rooted = classes.join(roots, classes.fp == roots.u, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
-    names = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "root", "component_id")
-    return prints.join(named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+    rooted = stash(classes.join(roots, classes.fp == roots.u, "left").select("fp", "least_id", "n", F.coalesce("root", "fp").alias("root")), "rooted")
+    names = stash(rooted.groupBy("root").agg(F.min("least_id").alias("component_id"), F.count("*").alias("members")), "components")
+    named = stash(join_counted(rooted, names, "root", "members").select("fp", "root", "component_id", "n"), "named")
+    return join_counted(prints, named, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
     """One row of each component: that named by component_id, or where no row has an id that with the
     smallest text_key."""
     plain = {c: c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(docs.columns)}  # no name can clash
-    own = docs.toDF(*plain.values()).withColumn("_text_key", F.xxhash64(F.col("text").cast("binary")))
+    keys = lambda id_, text_key: (F.coalesce(id_, F.lit(0)).alias("_id"), id_.isNull().alias("_no_id"), text_key.alias("_key"))
+    own = docs.toDF(*plain.values()).select("*", *keys(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("binary"))))
     found = near_duplicates(docs, shingle=shingle, distance=distance)
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key")
-    kept = found.groupBy("root").agg(F.min(first).alias("one")).select(F.col("one.doc_id").alias("_id"), F.col("one.text_key").alias("_key"))
-    met = own.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_text_key") == F.col("_key")), "left_semi")
-    return met.dropDuplicates(["doc_id", "_text_key"]).select(*(F.col(new).alias(old) for old, new in plain.items()))
+    kept = found.groupBy("root").agg(F.min(first).alias("one")).select(*keys(F.col("one.doc_id"), F.col("one.text_key")))
+    met = own.join(kept, ["_id", "_no_id", "_key"], "left_semi")  # the join's partitioning serves the next line too
+    return met.dropDuplicates(["_id", "_no_id", "_key"]).select(*(F.col(new).alias(old) for old, new in plain.items()))
