@@ -5,188 +5,216 @@ matching weighted quantile (the median, for even k) of its bytes along its wides
 node is one shard.  The dimensions are metadata scaled to the root's range: the id, the logarithm of the
 size, and categories by their hash.
 
-Along a dimension, rows are ordered by a long key: 20 bits of the scaled value, then 21 bits each of
-hashes of the text and of the id, so that a cut can pass through any number of rows with equal metadata,
-a hot source or a large group of copies among them.  Cuts are found by histograms: all nodes of a level
-together, each key range in 1024 bins whose bytes are summed, and again inside the bin that the quantile
-falls into, until a bin is light or holds one key.  What reaches the driver is 1024 sums a node.
-
-The passes read a small written table (id, size, keys); texts take no part.  A row's shard is a nested
-condition on its own keys, so that documents can be written out without a join.  Slots come from a
-window per shard and hash bucket, and the buckets' offsets, so that no shard has to pass through one task.
-
-Rows that agree in id, text and metadata have one key and stay together.  Equal texts may be parted.
-Null ids, texts and categories count as values of their own (a null text has no bytes, the weight is 8).
+Equal texts are one point: all of them have the metadata of the one with the least id, so that a cut goes
+around them, unless they weigh more than ``TOLERANCE`` of a shard, and the cut passes right there.  Along a
+dimension, rows are ordered by a long key: 18 bits of the scaled value, 18 of a hash of the text, 14 of a
+hash of the id and 12 of a number that even equal rows don't share.  So a cut can pass through any number of
+rows with equal metadata, a hot source, a large group of copies or of equal rows among them.  Cuts are found
+by histograms: all nodes of a level together, each key range in bins whose bytes are summed, and again
+inside the bin that the quantile falls into, until a bin is light or holds one key.  What reaches the driver
+is some thousand sums a node, ``MOST_SUMS`` in all for 1,000 shards and less, 256 a node beyond.
+
+The passes read a small written table (size, keys); texts take no part.  The tree is kept in three arrays, and
+a row walks down them in as many steps as there are levels, so that the plan doesn't grow with the shards.
+Slots come from a window per shard and hash bucket over that table, and the buckets' offsets; buckets hold
+some hundred thousand rows each, whatever the number of shards.  To write out documents, these are numbered in
+a written table, and dealt once by that number to meet their shard and slot.
+
+Defined results: null ids, texts and categories are values of their own (a null text has no bytes, the weight
+is 8); very long texts are weighed whole, and one of more than a shard's bytes makes a heavy shard; ties and
+repeated rows are cut by their own numbers; an empty table gives an empty result; columns besides those named
+stay as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.llm.shared import stash
+from lodeseek.llm.shared import join_counted, stash
 
 #: Bytes that a row counts besides its text.
 ROW_BYTES = 8
-VALUE_BITS, HASH_BITS = 20, 21
-BINS = 1024
-#: A cut may miss its quantile by this share of a shard.
-TOLERANCE = 0.002
+VALUE_BITS, TEXT_BITS, ID_BITS, ROW_BITS = 18, 18, 14, 12
+#: Keys that rows of one text share in one dimension, but for the last bits.
+GROUP = 1 << (ID_BITS + ROW_BITS)
+#: Sums of a pass, and of a node in a pass.
+MOST_SUMS, MOST_BINS, LEAST_BINS = 1 << 18, 8192, 256
+#: A cut may miss its quantile by a half of this share of a shard, for a group of equal texts to stay whole.
+TOLERANCE = 0.005
 CATEGORIES = ("source", "lang")
+#: Rows of a window.
+BUCKET_ROWS = 250_000
+LEAST_BUCKETS = 8
 
 
 @dataclass
-class Node:
-    """lo and hi: the range of keys along the widest dimension that still can hold the cut; below: bytes
-    of the node's rows with smaller keys; shards: first and one past the last."""
-
-    shards: tuple[int, int]
-    test: Column | None  # None: all rows
-    dim: int = 0
-    lo: int = 0
-    hi: int = 0
+class Cut:
+    """The search for a node's cut: lo to hi is the range of keys along the widest dimension that still can hold it;
+    below: bytes of the node's rows with smaller keys."""
+
+    dim: int
+    lo: int
+    hi: int
+    goal: float
     below: int = 0
-    goal: float = 0.0
-    cut: int | None = None  # rows with smaller keys go left
-    parts: tuple[Node, Node] | None = None
+    found: int | None = None  # rows with smaller keys go left
+
+
+@dataclass
+class Tree:
+    """For each node its shards (first and one past the last), and if it is cut, the dimension (else -1), the cut and
+    the number of its left child, which the right one follows."""
+
+    shards: list[tuple[int, int]] = field(default_factory=list)
+    dim: list[int] = field(default_factory=list)
+    cut: list[int] = field(default_factory=list)
+    left: list[int] = field(default_factory=list)
+    levels: int = 0
+
+    def add(self, first: int, end: int) -> int:
+        self.shards.append((first, end))
+        for values, x in ((self.dim, -1), (self.cut, 0), (self.left, 0)):
+            values.append(x)
+        return len(self.shards) - 1
+
+    def node(self, keys: Column) -> Column:
+        """The number of the last node on the way of a row with these keys."""
+        dim, cut, left = (F.lit(x) for x in (self.dim, self.cut, self.left))
+
+        def step(at: Column, _: Column) -> Column:
+            right = (F.get(keys, F.get(dim, at)) >= F.get(cut, at).cast("long")).cast("int")
+            return F.when(F.get(dim, at) < 0, at).otherwise(F.get(left, at).cast("int") + right)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(self.levels)), F.lit(0), step) if self.levels else F.lit(0)
+
+    def shard(self, keys: Column) -> Column:
+        return F.get(F.lit([first for first, _ in self.shards]), self.node(keys)).cast("int")
 
 
 def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long")
 
 
-def _keys(docs: DataFrame, categories: tuple[str, ...]) -> list[Column]:
-    """The order of rows along each dimension: doc_id, size, and the categories that docs has."""
+def _key_table(rows: DataFrame, categories: tuple[str, ...], keep: list[str]) -> DataFrame:
+    """rows: a written table with doc_id, size, text_hash, row (its number) and categories.  The columns to keep, with size,
+    row and keys: an array with the order along each dimension: doc_id, size, and the categories there are."""
     top = (1 << VALUE_BITS) - 1
-    bounds = docs.agg(F.min("doc_id").cast("double").alias("lo"), F.max("doc_id").cast("double").alias("hi")).first()
+    bounds = rows.agg(F.min("doc_id").cast("double").alias("lo"), F.max("doc_id").cast("double").alias("hi")).first()
     lo, hi = bounds.lo or 0.0, bounds.hi or 0.0
     scaled_id = F.coalesce((F.col("doc_id").cast("double") - lo) / max(hi - lo, 1.0), F.lit(0.0))
-    scaled_size = F.least(F.log2(size_of(F.col("text")).cast("double")) / 40, F.lit(1.0))
+    scaled_size = F.least(F.log2(F.col("size").cast("double")) / 40, F.lit(1.0))
     values = [F.floor(scaled_id * top), F.floor(scaled_size * top)]
-    values += [F.pmod(F.xxhash64(F.col(c).cast("string"), F.lit(c)), F.lit(top + 1)) for c in categories if c in docs.columns]
-    part = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << HASH_BITS))
-    ties = F.shiftleft(part(F.col("text")), HASH_BITS) + part(F.col("doc_id"))
-    return [(F.shiftleft(v.cast("long"), 2 * HASH_BITS) + ties).alias(f"k{i}") for i, v in enumerate(values)]
-
+    values += [F.pmod(F.xxhash64(F.col(c).cast("string"), F.lit(c)), F.lit(top + 1)) for c in categories if c in rows.columns]
+    point = F.array(*(v.cast("long") for v in values))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", point.alias("point")))
+    texts = stash(rows.groupBy("text_hash").agg(least.alias("least"), F.count("*").alias("n")).select("text_hash", "n", F.col("least.point").alias("point")), "shard-points")
+    part = lambda c, bits: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    ties = F.shiftleft(part(F.col("text_hash"), TEXT_BITS), ID_BITS + ROW_BITS) + F.shiftleft(part(F.col("doc_id"), ID_BITS), ROW_BITS) + part(F.col("row"), ROW_BITS)
+    keys = F.transform("point", lambda v: F.shiftleft(v, TEXT_BITS + ID_BITS + ROW_BITS) + ties).alias("keys")
+    return stash(join_counted(rows, texts, "text_hash").select(*keep, "size", "row", keys), "shard-keys")
 
-def _by_node(nodes: list[Node], of: list[Column]) -> Column:
-    """The value for the node that a row is in; null elsewhere."""
-    if nodes[0].test is None:
-        return of[0]
-    return reduce(lambda chain, x: chain.when(x[0].test, x[1]), zip(nodes[1:], of[1:], strict=True), F.when(nodes[0].test, of[0]))
 
-
-def _measure(rows: DataFrame, nodes: list[Node], dims: int) -> None:
+def _start_cuts(rows: DataFrame, tree: Tree, nodes: list[int], dims: int) -> dict[int, Cut]:
     """Choose each node's widest dimension, and the quantile to look for."""
-    ranges = [f(f"k{i}").alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
-    found = rows.groupBy(_by_node(nodes, [F.lit(i) for i in range(len(nodes))]).alias("node")).agg(F.sum("size").alias("total"), *ranges)
-    for row in found.filter("node is not null").collect():
-        node = nodes[row.node]
-        width = [(row[f"hi{i}"] >> 2 * HASH_BITS) - (row[f"lo{i}"] >> 2 * HASH_BITS) for i in range(dims)]
-        node.dim = width.index(max(width))
-        node.lo, node.hi = row[f"lo{node.dim}"], row[f"hi{node.dim}"]
-        first, end = node.shards
-        node.goal = row.total * ((end - first) // 2) / (end - first)
-
-
-def _refine(rows: DataFrame, nodes: list[Node], light: float) -> None:
+    ranges = [f(F.get("keys", F.lit(i))).alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
+    cuts = {n: Cut(0, 0, 0, 0.0, found=0) for n in nodes}  # nodes without rows
+    width_bits = TEXT_BITS + ID_BITS + ROW_BITS
+    for row in rows.groupBy(tree.node(F.col("keys")).alias("node")).agg(F.sum("size").alias("total"), *ranges).collect():
+        if row.node in cuts:
+            width = [(row[f"hi{i}"] >> width_bits) - (row[f"lo{i}"] >> width_bits) for i in range(dims)]
+            dim = width.index(max(width))
+            first, end = tree.shards[row.node]
+            goal = row.total * ((end - first) // 2) / (end - first)
+            cuts[row.node] = Cut(dim, row[f"lo{dim}"] // GROUP * GROUP, row[f"hi{dim}"] // GROUP * GROUP + GROUP - 1, goal)
+    return cuts
+
+
+def _refine(rows: DataFrame, tree: Tree, cuts: dict[int, Cut], light: float) -> None:
     """One pass over the rows: a histogram for each node that has no cut yet."""
-    number = _by_node(nodes, [F.lit(i) for i in range(len(nodes))])
-    key = _by_node(nodes, [F.col(f"k{n.dim}") for n in nodes])
-    lo, hi = (_by_node(nodes, [F.lit(getattr(n, x)).cast("long") for n in nodes]) for x in ("lo", "hi"))
-    steps = [(n.hi - n.lo) // BINS + 1 for n in nodes]
-    step = _by_node(nodes, [F.lit(s).cast("long") for s in steps])
-    bins = rows.select(number.alias("node"), key.alias("key"), lo.alias("lo"), hi.alias("hi"), step.alias("step"), "size").filter("node is not null and key between lo and hi")
-    sums = bins.groupBy("node", F.expr("(key - lo) div step").alias("bin")).agg(F.sum("size").alias("size")).collect()
-    by_node: dict[int, list] = {}
-    for row in sums:
-        by_node.setdefault(row.node, []).append((row.bin, row["size"]))
-    for number_, node in enumerate(nodes):
-        below = node.below
-        for at, weight in sorted(by_node.get(number_, [])):
-            start = node.lo + at * steps[number_]
-            stop = min(start + steps[number_] - 1, node.hi)
-            if below + weight < node.goal:
+    bins = max(LEAST_BINS, min(MOST_BINS, MOST_SUMS // len(cuts)))
+    steps = {}
+    for n, c in cuts.items():
+        step = (c.hi - c.lo) // bins + 1
+        steps[n] = step if c.hi - c.lo < GROUP else -(-step // GROUP) * GROUP  # whole groups, but inside of one
+    of = lambda get: F.get(F.lit([get(n) if n in cuts else -1 for n in range(len(tree.dim))]), F.col("node")).cast("long")
+    placed = rows.select(tree.node(F.col("keys")).alias("node"), "keys", "size").withColumn("dim", of(lambda n: cuts[n].dim)).filter("dim >= 0")
+    placed = placed.select("node", "size", F.get("keys", F.col("dim").cast("int")).alias("key"), of(lambda n: cuts[n].lo).alias("lo"), of(lambda n: cuts[n].hi).alias("hi"), of(steps.get).alias("step"))
+    sums: dict[int, list] = {}
+    for row in placed.filter("key between lo and hi").groupBy("node", F.expr("(key - lo) div step").alias("bin")).agg(F.sum("size").alias("size")).collect():
+        sums.setdefault(row.node, []).append((row.bin, row["size"]))
+    for n, c in cuts.items():
+        below = c.below
+        for at, weight in sorted(sums.get(n, [])):
+            start = c.lo + at * steps[n]
+            stop = min(start + steps[n] - 1, c.hi)
+            if below + weight < c.goal:
                 below += weight
                 continue
             if weight <= light or start == stop:
-                node.cut = start if node.goal - below < below + weight - node.goal else stop + 1
+                c.found = start if c.goal - below < below + weight - c.goal else stop + 1
             else:
-                node.lo, node.hi, node.below = start, stop, below
+                c.lo, c.hi, c.below = start, stop, below
             break
-        else:  # an empty node
-            node.cut = node.hi + 1
+        else:
+            c.found = c.hi + 1
 
 
-def build_tree(rows: DataFrame, shards: int, dims: int) -> Node:
-    """rows: size and k0, k1, ... of every document."""
+def build_tree(rows: DataFrame, shards: int, dims: int) -> Tree:
+    """rows: size and keys of every document."""
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    root = Node((0, shards), None)
-    level = [root]
-    while level := [n for n in level if n.shards[1] - n.shards[0] > 1]:
-        _measure(rows, level, dims)
-        while unsettled := [n for n in level if n.cut is None]:
-            _refine(rows, unsettled, TOLERANCE * total / shards)
-        for node in level:
-            first, end = node.shards
+    tree = Tree()
+    level = [tree.add(0, shards)]
+    while level := [n for n in level if tree.shards[n][1] - tree.shards[n][0] > 1]:
+        cuts = _start_cuts(rows, tree, level, dims)
+        while unsettled := {n: c for n, c in cuts.items() if c.found is None}:
+            _refine(rows, tree, unsettled, TOLERANCE * total / shards)
+        parts = []
+        for n in level:
+            first, end = tree.shards[n]
             middle = first + (end - first) // 2
-            left = F.col(f"k{node.dim}") < F.lit(node.cut).cast("long")
-            tests = (left, ~left) if node.test is None else (node.test & left, node.test & ~left)
-            node.parts = (Node((first, middle), tests[0]), Node((middle, end), tests[1]))
-        level = [part for node in level for part in node.parts]
-    return root
-
-
-def shard_column(node: Node) -> Column:
-    """The shard of a row that has the columns k0, k1, ..."""
-    if node.parts is None:
-        return F.lit(node.shards[0])
-    return F.when(F.col(f"k{node.dim}") < F.lit(node.cut).cast("long"), shard_column(node.parts[0])).otherwise(shard_column(node.parts[1]))
-
-
-def with_slots(rows: DataFrame, light: DataFrame, buckets: int) -> DataFrame:
-    """Adds slot, 0 to n - 1 within each shard.  Both tables have shard and _salt of the same rows, and
-    rows has _order; light need have nothing else, and is read to count."""
-    bucket = F.pmod("_salt", F.lit(buckets)).cast("int").alias("_bucket")
-    counts = light.select("shard", bucket).groupBy("shard", "_bucket").count()
-    before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset"))
-    inside = F.row_number().over(Window.partitionBy("shard", "_bucket").orderBy("_order"))
-    numbered = rows.select("*", bucket).withColumn("_inside", inside)
-    placed = numbered.join(F.broadcast(offsets), ["shard", "_bucket"])  # shards x buckets rows
-    return placed.withColumn("slot", F.col("_offset") + F.col("_inside") - 1).drop("_salt", "_order", "_bucket", "_offset", "_inside")
+            tree.dim[n], tree.cut[n], tree.left[n] = cuts[n].dim, cuts[n].found, len(tree.shards)
+            parts += [tree.add(first, middle), tree.add(middle, end)]
+        tree.levels += 1
+        level = parts
+    return tree
 
 
-def _salt() -> Column:
-    return F.xxhash64("doc_id", "text").alias("_salt")
+def _with_slots(keys: DataFrame, shards: int) -> DataFrame:
+    """keys: a written table with row, keys and shard.  Its columns but for the keys, and slot, 0 to n - 1 within each shard."""
+    buckets = max(LEAST_BUCKETS, -(-keys.count() // (shards * BUCKET_ROWS)))
+    rows = keys.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
+    before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("shard", "bucket").count()
+    offsets = counts.select("shard", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("offset"))
+    inside = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy(F.get("keys", F.lit(0)), "row"))
+    placed = rows.withColumn("inside", inside).drop("keys").join(offsets, ["shard", "bucket"])  # in the window's partitions
+    return placed.withColumn("slot", F.col("offset") + F.col("inside") - 1).drop("bucket", "offset", "inside")
 
 
-def _buckets(docs: DataFrame) -> int:
-    """As many that all shards together have a few times the partitions of a shuffle."""
-    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 6)
+def _placed(numbered: DataFrame, shards: int, categories: tuple[str, ...], keep: list[str]) -> DataFrame:
+    """The columns to keep of a written table with doc_id, size, text_hash, row and categories, and size, row, shard and slot."""
+    own = [c for c in categories if c in numbered.columns]
+    keys = _key_table(numbered.select("doc_id", "size", "text_hash", "row", *keep, *own), categories, ["doc_id", *keep])
+    tree = build_tree(keys, shards, 2 + len(own))
+    return _with_slots(stash(keys.withColumn("shard", tree.shard(F.col("keys"))), "shards"), shards)
 
 
 def assign_shards(docs: DataFrame, shards: int = 24, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every document."""
-    keys = _keys(docs, categories)
-    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long")
-    rows = stash(docs.select("doc_id", size_of(F.col("text")).alias("size"), crc.alias("text_crc32"), _salt(), *keys), "shard-keys")
-    shard = shard_column(build_tree(rows, shards, len(keys))).alias("shard")
-    placed = rows.select("doc_id", "size", "text_crc32", "_salt", shard, F.col("k0").alias("_order"))
-    return with_slots(placed, rows.select(shard, "_salt"), _buckets(docs))
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32")
+    own = [c for c in categories if c in docs.columns]
+    rows = docs.select("doc_id", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"), crc, *own)
+    return _placed(stash(rows, "shard-rows"), shards, categories, ["text_crc32"]).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, categories: tuple[str, ...] = CATEGORIES) -> DataFrame:
     """The documents with shard and slot, in place of columns with these names."""
     docs = docs.drop("shard", "slot")
     plain = {c: c if c in ("doc_id", "text", *categories) else f"_{i}" for i, c in enumerate(docs.columns)}  # no name can clash
-    own = docs.toDF(*plain.values())
-    keys = _keys(own, categories)
-    rows = stash(own.select(size_of(F.col("text")).alias("size"), _salt(), *keys), "shard-keys")
-    shard = shard_column(build_tree(rows, shards, len(keys))).alias("shard")
-    placed = own.select("*", _salt(), *keys).select(*own.columns, "_salt", shard, F.col("k0").alias("_order"))
-    slotted = with_slots(placed, rows.select(shard, "_salt"), _buckets(docs))
-    return slotted.select(*(F.col(new).alias(old) for old, new in plain.items()), "shard", "slot")
+    own = docs.toDF(*plain.values()).select("*", size_of(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"))
+    numbered = stash(own, "numbered")
+    slots = _placed(numbered, shards, categories, []).select("row", "shard", "slot")
+    return numbered.join(slots, "row").select(*(F.col(new).alias(old) for old, new in plain.items()), "shard", "slot")
