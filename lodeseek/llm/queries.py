@@ -143,7 +143,7 @@ def op10_warc_fixity_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rotten = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2).isin("00", "40", "80", "c0")
     replica = pages.withColumn("html", F.when(rotten, F.translate("html", "e", "f")).otherwise(F.col("html")))
     found = fixity.audit(pages, replica)
-    return found.select("page_id", "archive", "place", F.col("start").alias("start_byte"), F.col("stop").alias("stop_byte"), "digest", "intact")
+    return found.select("page_id", "archive", "place", F.col("start").alias("start_byte"), F.col("stop").alias("stop_byte"), "digest", "status", "intact")
 
 
 OP10_SQL = r"""
@@ -154,13 +154,14 @@ WITH layout AS (
       || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record,
     substr(md5(page_id::VARCHAR), 1, 2) IN ('00', '40', '80', 'c0') AND contains(coalesce(html, ''), 'e') AS rotten,
     (('0x' || substr(md5(concat_ws('|', coalesce(page_id::VARCHAR, ''), coalesce(url, ''))), 1, 8))::BIGINT
-      % greatest(1, ceil((SELECT sum(octet_length(encode(html))) FROM pages) / 8000000.0)::BIGINT))::INTEGER AS archive
+      % (SELECT greatest(1, ceil(coalesce(sum(octet_length(encode(html))), 0) / 8000000.0), ceil(count(*) / 500.0))::BIGINT FROM pages))::INTEGER AS archive
   FROM pages
 ), placed AS (
   SELECT page_id, archive, sha256(record) AS digest, octet_length(encode(record)) AS length, rotten FROM layout
 )
 SELECT page_id, archive, row_number() OVER w - 1 AS place,
-  (sum(length) OVER w - length)::BIGINT AS start_byte, (sum(length) OVER w)::BIGINT AS stop_byte, digest, NOT coalesce(rotten, false) AS intact
+  (sum(length) OVER w - length)::BIGINT AS start_byte, (sum(length) OVER w)::BIGINT AS stop_byte, digest,
+  CASE WHEN coalesce(rotten, false) THEN 'damaged' ELSE 'intact' END AS status, NOT coalesce(rotten, false) AS intact
 FROM placed WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, digest ROWS UNBOUNDED PRECEDING)
 """
 
