@@ -6,13 +6,17 @@ it, with the mean over the known grams.  A document's score in a language is the
 (The scheme of Jauhiainen et al., "HeLI, a Word-Based Backoff Method for Language Identification", 2016.)
 
 The model is fitted on a sample of labelled rows whose size is a parameter: about ``rows_per_language``
-rows of each of the ``max_languages`` most frequent labels, chosen by a hash of the id, each with its
-whole text.  Counting is distributed, and the model that goes to the executors is bounded by
-``max_words`` and ``max_grams`` per language and length.
+rows of each label, chosen by a hash of the id, each with its whole text.  Counting is distributed; all labels,
+words and grams of the sample are kept, so that the sample alone bounds the model, which goes to the executors.
+It is sparse: of a word or gram it holds the languages that have it, and how far above an unseen one it is there.
+
+A word is a letter and the letters and marks that follow it, in lower case, so that vowel signs don't cut words.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; so is every text if there
-is nothing to learn from.  Equal scores go to the label that sorts first.  Rows with a null id or label
-teach nothing but are predicted.  Repeated rows come back as often as they came.
+is nothing to learn from.  Very long texts are scored whole, some ten thousand words at a time.  Equal scores go to
+the label that sorts first.  Rows with a null id or label teach nothing but are predicted.  Repeated rows come back
+as often as they came; repeated ids are in the sample together or not at all.  An empty table gives an empty result;
+columns besides those named aren't looked at.
 """
 
 from __future__ import annotations
@@ -24,32 +28,39 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_LANGUAGE = 3000
-MAX_LANGUAGES = 200
-MAX_WORDS = 30_000
-MAX_GRAMS = 10_000
+ROWS_PER_LANGUAGE = 1000
 LONGEST_GRAM = 5
 SMOOTHING = 0.1
 #: More words than this make a prediction no surer.
 SURE_WORDS = 20
 #: Scores of unseen words that a worker remembers.
 MEMORY = 200_000
-WORD = re.compile(r"[^\W\d_]+")
+#: Words that are scored at once.
+SLAB = 1 << 14
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+ASCII_WORD = re.compile("[a-z]+")  # the same in texts that have nothing else
 
 
 class Model(NamedTuple):
+    """Item i has the languages columns[starts[i] : starts[i + 1]], and in gains the logarithm of how much more frequent
+    it is there than an unseen one."""
+
     languages: list[str]
     words: dict[str, int]
     grams: list[dict[str, int]]  # by length - 1
-    scores: np.ndarray  # log frequency; a row for each word and gram, a column for each language
+    starts: np.ndarray
+    columns: np.ndarray
+    gains: np.ndarray
 
 
 def words_of(text: str | None) -> list[str]:
-    return WORD.findall(text.lower()) if text else []
+    lower = text.lower() if text else ""
+    return (ASCII_WORD if lower.isascii() else WORD).findall(lower)
 
 
 def grams_of(word: str, length: int) -> list[str]:
@@ -79,83 +90,100 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.record_batch([pa.array(langs, pa.string()), pa.array(kinds, pa.int32()), pa.array(items, pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "kind", "item", "n"])
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows_per_language: int = ROWS_PER_LANGUAGE) -> Model:
     """Learns from the rows that aren't held out."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out("id"))
-    labels = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not labels:
-        return Model([], {}, [{}] * LONGEST_GRAM, np.zeros((0, 0), np.float32))
+    labels = rows.groupBy("lang").count().collect()  # a row a label
     spread = 1 << 24
-    share = F.create_map(*(F.lit(x) for r in labels for x in (r.lang, int(min(1.0, rows_per_language / r["count"]) * spread))))
-    sample = rows.filter(F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("langid")), F.lit(spread)) < share[F.col("lang")])
+    place = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("langid")), F.lit(spread))
+    share = {r.lang: min(1.0, rows_per_language / r["count"]) for r in labels}
+    bounds = [F.lit(x) for lang, part in sorted(share.items()) for x in (lang, int(part * spread))]
+    sample = rows.filter(place < F.create_map(*bounds)[F.col("lang")]) if bounds else rows.limit(0)
     counts = sample.select("lang", "text").mapInArrow(_count_batches, "lang string, kind int, item string, n long")
-    counts = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-    ranked = counts.filter("n > 1").withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")))
-    limit = F.when(F.col("kind") == 0, MAX_WORDS).otherwise(MAX_GRAMS)
-    table = ranked.filter(F.col("rank") <= limit).select("lang", "kind", "item", "n").toArrow().to_pydict()
+    table = counts.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     return _model(list(zip(table["lang"], table["kind"], table["item"], table["n"], strict=True)))
 
 
 def _model(counts: list[tuple[str, int, str, int]]) -> Model:
+    """counts: language, kind, item and how often."""
+    counts = sorted(counts, key=lambda c: (c[1], c[2], c[0]))
     languages = sorted({c[0] for c in counts})
-    column = {lang: i for i, lang in enumerate(languages)}
+    number = {lang: i for i, lang in enumerate(languages)}
     places: list[dict[str, int]] = [{} for _ in range(LONGEST_GRAM + 1)]
-    rows: list[tuple[int, int, int]] = []
-    size = 0
-    for lang, kind, item, n in counts:
-        at = places[kind].get(item)
-        if at is None:
-            places[kind][item] = at = size
-            size += 1
-        rows.append((at, column[lang], n))
-    tally = np.zeros((size, len(languages)))
-    for at, lang_at, n in rows:
-        tally[at, lang_at] = n
-    scores = np.zeros_like(tally)
-    for known in places:
-        own = np.fromiter(known.values(), np.int64, len(known))
-        totals = tally[own].sum(0) + SMOOTHING * max(1, len(own))
-        unseen = np.log(SMOOTHING / totals.max(initial=SMOOTHING))  # alike for all: little data is no evidence
-        scores[own] = np.where(tally[own] > 0, np.log((tally[own] + SMOOTHING) / totals), unseen)
-    return Model(languages, places[0], places[1:], scores.astype(np.float32))
+    starts: list[int] = []
+    for at, (_, kind, item, _) in enumerate(counts):
+        if item not in places[kind]:
+            places[kind][item] = len(starts)
+            starts.append(at)
+    columns = np.fromiter((number[c[0]] for c in counts), np.int32, len(counts))
+    kinds = np.fromiter((c[1] for c in counts), np.int64, len(counts))
+    tally = np.fromiter((c[3] for c in counts), np.float64, len(counts))
+    totals = np.bincount(kinds * len(languages) + columns, tally, len(places) * len(languages)).reshape(len(places), -1)
+    totals = totals + SMOOTHING * np.array([[max(1, len(known))] for known in places])
+    unseen = np.log(SMOOTHING / totals.max(1, initial=SMOOTHING))  # alike for all languages: little data is no evidence
+    gains = np.log((tally + SMOOTHING) / totals[kinds, columns]) - unseen[kinds]
+    return Model(languages, places[0], places[1:], np.array([*starts, len(counts)], np.int64), columns, gains.astype(np.float32))
 
 
 class Scorer(dict):
-    """Word to its row of ``rows``; scores of words that the model doesn't know are added when met."""
+    """Word to its item; words that the model doesn't know become items of their own when met."""
 
     def __init__(self, model: Model) -> None:
-        super().__init__(model.words)
+        super().__init__()
         self.model = model
-        self.rows = model.scores
-        self.used = len(model.scores)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.clear()
+        self.update(self.model.words)
+        self.items, self.entries = len(self.model.starts) - 1, len(self.model.columns)
+        self.starts, self.columns, self.gains = self.model.starts, self.model.columns, self.model.gains
+
+    def _room(self, name: str, used: int, more: int) -> None:
+        own = getattr(self, name)
+        if used + more > len(own):
+            setattr(self, name, np.concatenate((own, np.zeros(max(1024, len(own) // 2, more), own.dtype))))
 
     def __missing__(self, word: str) -> int:
-        if self.used == len(self.rows):
-            self.rows = np.concatenate((self.rows, np.zeros((max(1024, self.used), len(self.model.languages)), np.float32)))
-        self.rows[self.used] = self._backoff(word)
-        self[word] = at = self.used
-        self.used += 1
+        columns, gains = self._backoff(word)
+        for name, values in (("columns", columns), ("gains", gains)):
+            self._room(name, self.entries, len(values))
+            getattr(self, name)[self.entries : self.entries + len(values)] = values
+        self.entries += len(columns)
+        self._room("starts", self.items + 1, 1)
+        self.starts[self.items + 1] = self.entries
+        self[word] = at = self.items
+        self.items += 1
         return at
 
-    def _backoff(self, word: str) -> np.ndarray | float:
+    def _backoff(self, word: str) -> tuple[np.ndarray, np.ndarray]:
+        model = self.model
         for length in range(LONGEST_GRAM, 0, -1):
-            known = self.model.grams[length - 1]
+            known = model.grams[length - 1]
             at = [known[g] for g in grams_of(word, length) if g in known]
             if at:
-                return self.model.scores[at].mean(0)
-        return 0.0
+                parts = [slice(model.starts[i], model.starts[i + 1]) for i in at]
+                columns, place = np.unique(np.concatenate([model.columns[p] for p in parts]), return_inverse=True)
+                return columns, np.bincount(place, np.concatenate([model.gains[p] for p in parts])) / len(at)
+        return model.columns[:0], model.gains[:0]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text)
-        if not self.model.languages or not any(c.isalpha() for word in words for c in word):  # ² is in a word, but no letter
+        if not self.model.languages or not words:
             return "und", 0.0
-        if self.used > len(self.model.scores) + MEMORY:
-            self.clear()
-            self.update(self.model.words)
-            self.rows, self.used = self.model.scores, len(self.model.scores)
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        means = self.rows[at].mean(0, dtype=np.float64)
+        sums = np.zeros(len(self.model.languages))
+        for slab in range(0, len(words), SLAB):
+            if self.items > len(self.model.starts) + MEMORY:
+                self._forget()
+            part = words[slab : slab + SLAB]
+            at = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
+            first = self.starts[at]
+            sizes = self.starts[at + 1] - first
+            ends = np.cumsum(sizes)
+            entries = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
+            sums += np.bincount(self.columns[entries], self.gains[entries], len(sums))
+        means = sums / len(words)
         best = int(means.argmax())
         odds = np.exp((means - means[best]) * min(len(words), SURE_WORDS))
         return self.model.languages[best], float(1 / odds.sum())
