@@ -11,7 +11,10 @@ their size is bounded: items are taken in blocks of at most ``BLOCK_BYTES`` of t
 and with more than one block the documents get a row number in a written table, each block is searched
 in a pass of its own, and the hits of the passes are merged per row.
 
-Defined results: a null or empty text has no words and no hits; an item without words matches nothing;
+A Python worker builds the tables once and keeps them from task to task.
+
+Defined results: a null or empty text has no words and no hits, a very long one is searched whole, and an empty table
+gives an empty result, with or without items; an item without words matches nothing;
 an item with a null id marks words but is not counted among the items; items with equal ids count as
 one; repeated documents come back as often as they came; columns besides those named aren't looked at.
 """
@@ -108,9 +111,20 @@ def merge_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in merged]
 
 
-def _search_batches(items: Broadcast, window: int, columns: list[str], spans_type: pa.DataType, only_hits: bool):
+_built: dict[tuple[str, int], WuManber] = {}
+
+
+def _tables(key: str, items: Broadcast, window: int) -> WuManber:
+    """The tables of these items (key: a digest of them), which a Python worker keeps from task to task."""
+    if (key, window) not in _built:
+        _built.clear()
+        _built[key, window] = WuManber(items.value, window)
+    return _built[key, window]
+
+
+def _search_batches(key: str, items: Broadcast, window: int, columns: list[str], spans_type: pa.DataType, only_hits: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = WuManber(items.value, window)
+        tables = _tables(key, items, window)
         for batch in batches:
             n_words, spans, found, kept = [], [], [], []
             for number, raw in enumerate(batch["_raw"]):
@@ -134,7 +148,8 @@ def _search(docs: DataFrame, items: list[tuple[str | None, bytes | None]], text:
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     source = docs.withColumn("_raw", text.cast("binary"))
-    run = _search_batches(spark.sparkContext.broadcast(items), window, docs.columns, spans_type, only_hits)
+    key = hashlib.sha256(repr(items).encode()).hexdigest()
+    run = _search_batches(key, spark.sparkContext.broadcast(items), window, docs.columns, spans_type, only_hits)
     return source.mapInArrow(run, f"{schema}, n_words long, spans {SPANS}, items array<string>")
 
 
