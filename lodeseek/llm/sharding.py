@@ -62,6 +62,23 @@ class Cut:
     below: int = 0
     found: int | None = None  # rows with smaller keys go left
 
+    def narrow(self, sums: list[tuple[int, int]], step: int, light: float) -> None:
+        """sums: the bytes of the bins of that many keys, from lo on, in order.  Cuts beside the bin that the quantile falls
+        into if it is light or one key, else goes on inside."""
+        below = self.below
+        for at, weight in sums:
+            start = self.lo + at * step
+            stop = min(start + step - 1, self.hi)
+            if below + weight < self.goal:
+                below += weight
+                continue
+            if weight <= light or start == stop:
+                self.found = start if self.goal - below < below + weight - self.goal else stop + 1
+            else:
+                self.lo, self.hi, self.below = start, stop, below
+            return
+        self.found = self.hi + 1
+
 
 @dataclass
 class Tree:
@@ -117,18 +134,25 @@ def _key_table(rows: DataFrame, categories: tuple[str, ...], keep: list[str]) ->
     return stash(join_counted(rows, texts, "text_hash").select(*keep, "size", "row", keys), "shard-keys")
 
 
-def _start_cuts(rows: DataFrame, tree: Tree, nodes: list[int], dims: int) -> dict[int, Cut]:
-    """Choose each node's widest dimension, and the quantile to look for."""
-    ranges = [f(F.get("keys", F.lit(i))).alias(f"{n}{i}") for i in range(dims) for n, f in (("lo", F.min), ("hi", F.max))]
+def _start_cuts(rows: DataFrame, tree: Tree, nodes: list[int], dims: int, light: float) -> dict[int, Cut]:
+    """One pass over the rows with a histogram for each node and dimension, by the first bits of the value: choose each
+    node's widest dimension and the quantile to look for, and narrow the range down to a bin."""
+    bits = next(b for b in range(VALUE_BITS, 0, -1) if len(nodes) * dims << b <= MOST_SUMS or 1 << b <= LEAST_BINS)
+    shift = VALUE_BITS - bits + TEXT_BITS + ID_BITS + ROW_BITS
+    wanted = F.get(F.lit([int(n in nodes) for n in range(len(tree.dim))]), F.col("node")) == 1
+    placed = rows.select(tree.node(F.col("keys")).alias("node"), "keys", "size").filter(wanted)
+    bins = placed.select("node", "size", F.posexplode(F.transform("keys", lambda k: F.shiftright(k, shift))).alias("dim", "bin"))
+    sums: dict[int, dict[int, list]] = {}
+    for row in bins.groupBy("node", "dim", "bin").agg(F.sum("size").alias("size")).collect():
+        sums.setdefault(row.node, {}).setdefault(row.dim, []).append((row.bin, row["size"]))
     cuts = {n: Cut(0, 0, 0, 0.0, found=0) for n in nodes}  # nodes without rows
-    width_bits = TEXT_BITS + ID_BITS + ROW_BITS
-    for row in rows.groupBy(tree.node(F.col("keys")).alias("node")).agg(F.sum("size").alias("total"), *ranges).collect():
-        if row.node in cuts:
-            width = [(row[f"hi{i}"] >> width_bits) - (row[f"lo{i}"] >> width_bits) for i in range(dims)]
-            dim = width.index(max(width))
-            first, end = tree.shards[row.node]
-            goal = row.total * ((end - first) // 2) / (end - first)
-            cuts[row.node] = Cut(dim, row[f"lo{dim}"] // GROUP * GROUP, row[f"hi{dim}"] // GROUP * GROUP + GROUP - 1, goal)
+    for n, by_dim in sums.items():
+        places = {d: [at for at, _ in found] for d, found in by_dim.items()}
+        dim = max(range(dims), key=lambda d: (max(places[d]) - min(places[d]), -d))  # noqa: B023
+        first, end = tree.shards[n]
+        goal = sum(weight for _, weight in by_dim[dim]) * ((end - first) // 2) / (end - first)
+        cuts[n] = Cut(dim, 0, (1 << VALUE_BITS + TEXT_BITS + ID_BITS + ROW_BITS) - 1, goal)
+        cuts[n].narrow(sorted(by_dim[dim]), 1 << shift, light)
     return cuts
 
 
@@ -146,31 +170,18 @@ def _refine(rows: DataFrame, tree: Tree, cuts: dict[int, Cut], light: float) ->
     for row in placed.filter("key between lo and hi").groupBy("node", F.expr("(key - lo) div step").alias("bin")).agg(F.sum("size").alias("size")).collect():
         sums.setdefault(row.node, []).append((row.bin, row["size"]))
     for n, c in cuts.items():
-        below = c.below
-        for at, weight in sorted(sums.get(n, [])):
-            start = c.lo + at * steps[n]
-            stop = min(start + steps[n] - 1, c.hi)
-            if below + weight < c.goal:
-                below += weight
-                continue
-            if weight <= light or start == stop:
-                c.found = start if c.goal - below < below + weight - c.goal else stop + 1
-            else:
-                c.lo, c.hi, c.below = start, stop, below
-            break
-        else:
-            c.found = c.hi + 1
+        c.narrow(sorted(sums[n]), steps[n], light)
 
 
 def build_tree(rows: DataFrame, shards: int, dims: int) -> Tree:
     """rows: size and keys of every document."""
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    light = TOLERANCE * rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0] / shards
     tree = Tree()
     level = [tree.add(0, shards)]
     while level := [n for n in level if tree.shards[n][1] - tree.shards[n][0] > 1]:
-        cuts = _start_cuts(rows, tree, level, dims)
+        cuts = _start_cuts(rows, tree, level, dims, light)
         while unsettled := {n: c for n, c in cuts.items() if c.found is None}:
-            _refine(rows, tree, unsettled, TOLERANCE * total / shards)
+            _refine(rows, tree, unsettled, light)
         parts = []
         for n in level:
             first, end = tree.shards[n]
