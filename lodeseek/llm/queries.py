@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm import decontaminate, fixity, langid, linechunks, mixing, pii, quality, sharding, simhash, tokencount
 from lodeseek.llm.shared import shared_folder
+from lodeseek.sources.scan import spread
 
 SHARDS = 24
 TOKENIZER = "piece_bpe_32k.model"
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; a table in fewer splits than there are cores is dealt out before Python works on it."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture: each document as often as drawn, with whole text; sources weigh as the square root of their bytes."""
     docs = table(spark, sf_dir, "documents")
@@ -52,12 +58,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     cache = spark.conf.get(TOKEN_CACHE, None) or f"{shared_folder(spark)}/token-cache-{uuid.uuid4().hex}"
-    found = tokencount.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), cache, ["doc_id"])
+    found = tokencount.count_tokens(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER), cache, ["doc_id"])
     return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    docs, benchmark = documents(spark, sf_dir), table(spark, sf_dir, "benchmark")
     found = decontaminate.find_benchmark(docs, benchmark, ["doc_id"])
     n_hit = decontaminate.hit_words(F.col("spans"))
     return found.select(
@@ -94,13 +100,13 @@ FROM doc_words d LEFT JOIN covered USING (doc_id) LEFT JOIN met USING (doc_id)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     found = langid.predict(docs, langid.fit(docs), ["doc_id"])
     return found.select("doc_id", langid.held_out().alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_personal_data(table(spark, sf_dir, "documents"), ["doc_id"])
+    found = pii.find_personal_data(documents(spark, sf_dir), ["doc_id"])
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     n_spans, n_base = (F.size(c).cast("long") for c in ("spans", "base"))
@@ -120,19 +126,19 @@ def op6_kd_tree_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    judged = quality.judge(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_line_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document: counts, and the digest of its text."""
-    cleaned = linechunks.remove_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cleaned = linechunks.remove_repeated_passages(documents(spark, sf_dir).select("doc_id", "text"))
     digest = F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256")
     return cleaned.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_chunks").alias("n_chunks"), F.col("_gone").alias("n_removed_chunks"), F.col("_gone_lines").alias("n_removed_lines"), digest)
 
 
 def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
