@@ -1,4 +1,16 @@
-"""A corpus pipeline of five stages, each an operator of ``lodeseek.llm``."""
+"""A corpus pipeline of five stages, each an operator of ``lodeseek.llm``.
+
+Language identification, SimHash near-dedup, benchmark decontamination, mixing to target weights and sharding, in this
+order.  Each stage gets all that the one before kept, whole, and its decisions take effect.  Stages but the last return the
+columns of the documents, whatever further columns there are and whatever their names; the last adds shard and slot.
+
+Defined results, by stage.  A text that is null, empty or without a letter has no language, so its document goes; a null
+doc_id teaches no language but its document is judged as any other.  Of near-duplicates, equal rows among them, the one with
+the least doc_id stays, rows without one only where no other has one, and of equal doc_ids that with the least hash of its
+text.  A null or empty benchmark item is in no document.  A null source is a source of its own.  Equal rows, which mixing
+makes, are counted as rows of their own by sharding and can be parted.  Very long texts pass whole.  An empty table passes
+all stages and gives an empty result with the columns of a full one.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lodeseek.llm import decontaminate, langid, mixing, sharding, simhash
-from lodeseek.llm.shared import stash
+from lodeseek.llm.shared import release_all_but_last, stash, written
 
 #: A document stays if its language has at least this score; four equal languages would have 0.25.
 LEAST_LANGUAGE_SCORE = 0.35
@@ -52,8 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; each stage's rows are written to the shared folder and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents; each stage's rows are written to the shared folder and read again, and what it and its
+    predecessor have written there before is then deleted."""
+    docs, since = spark.read.parquet(f"{sf_dir}/documents.parquet"), written()
     for name, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir), name)
+        release_all_but_last(spark, since)
     return docs
