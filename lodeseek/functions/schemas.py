@@ -9,4 +9,3 @@ CHUNKS = CHUNK_FIELDS + ", chash string, doc_id string"
 FILES = "path string, blob string, size long"
 VERSIONS = "repository string, label string, commit string, timestamp double, n_chunks long, embedder string, representation string, base string, seq long"
 CACHE = "repository string, model_version string, representation string, cache_key string, vector array<float>"
-PARSED = "repository string, blob string, max_lines int, file string, chunks array<struct<" + CHUNK_FIELDS.replace(" ", ":").replace(":,", ",").replace(",:", ",") + ">>"

@@ -73,9 +73,9 @@ def short_path(path: Column) -> Column:
 
 
 def first_sentence(doc: Column) -> Column:
-    """Of the first paragraph; a full stop ends it after a lower-case letter, digit or bracket."""
-    paragraph = collapse_whitespace(F.element_at(F.split(F.trim(doc), r"\n\s*\n"), 1))
-    cut = F.regexp_extract(paragraph, r"^(.*?[a-z0-9)])\.(?:\s|$)", 1)
+    """Of the first paragraph; a full stop, which it keeps, ends it after a lower-case letter, digit or bracket."""
+    paragraph = collapse_whitespace(F.element_at(F.split(F.regexp_replace(doc, r"^\s+", ""), r"\n\n"), 1))
+    cut = F.regexp_extract(paragraph, r"^(.*?[a-z0-9)]\.)(?:\s|$)", 1)
     return F.when(cut != "", cut).otherwise(paragraph)
 
 

@@ -6,7 +6,8 @@ shuffled is k rows a query and task rather than all pairs."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
@@ -80,10 +81,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     asked = queries.select("query_id", "vector")
     kind = asked.schema["query_id"].dataType.simpleString()
     id_type = pa.string() if kind == "string" else pa.int64()
-    blocks = -(-asked.count() // BLOCK_ROWS) or 1
+    first = asked.limit(BLOCK_ROWS + 1).collect()
+    blocks = 1 if len(first) <= BLOCK_ROWS else -(-asked.count() // BLOCK_ROWS)
     parts = []
     for block in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect() if blocks > 1 else asked.collect()  # about BLOCK_ROWS
+        rows = first if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()  # about BLOCK_ROWS
         if rows:
             matrix = np.array([r.vector for r in rows], np.float64)
             run = _partial_top_k([r.query_id for r in rows], matrix, max(1, k), id_type)
@@ -228,11 +230,31 @@ class LsaEncoder:
         return docs.select(*columns, "tokens").mapInArrow(run, f"{schema}, vector array<float>")
 
 
-def load_encoder(settings: dict) -> LsaEncoder:
-    """An encoder for the settings under embedding_model.  Pretrained backends need files that aren't here."""
-    if settings.get("backend", "lsa") != "lsa" and not settings.get("fallback_to_lsa", True):
-        raise ModelLoadError(f"no such encoder here: {settings.get('name')}")
-    return LsaEncoder(settings.get("lsa_dim", 128), settings.get("max_terms", 20_000), settings.get("fit_rows", 10_000))
+class Encoder(Protocol):
+    """What an index needs of an encoder: LsaEncoder, or a pretrained model behind the same methods."""
+
+    model_version: str
+    dim: int
+
+    def fit(self, docs: DataFrame) -> Encoder:
+        """docs: chunk_id and tokens.  A pretrained one returns itself."""
+
+    def encode(self, docs: DataFrame, columns: list[str] | None = None) -> DataFrame:
+        """docs: the columns and tokens.  The columns with vector, array<float> of unit length."""
+
+
+#: Backends by name: from the settings under embedding_model to an encoder.
+BACKENDS: dict[str, Callable[[dict], Encoder]] = {
+    "lsa": lambda settings: LsaEncoder(settings.get("lsa_dim", 128), settings.get("max_terms", 20_000), settings.get("fit_rows", 10_000)),
+}
+
+
+def load_encoder(settings: dict) -> Encoder:
+    """An encoder for the settings under embedding_model, of a backend in BACKENDS."""
+    name = settings.get("backend", "lsa")
+    if name not in BACKENDS and not settings.get("fallback_to_lsa", True):
+        raise ModelLoadError(f"no backend {name!r} here: {settings.get('name')}")
+    return BACKENDS.get(name, BACKENDS["lsa"])(settings)
 
 
 def _over(query_ids: list, groups: list, matrix: np.ndarray, least: float, id_type: pa.DataType):

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeseek.operators.lexical import top_k
+from lodeseek.operators.lexical import small_or_shuffled, top_k
 
 CHANNELS = ("dense", "bm25", "identifier")
 RRF_CONSTANT = 60
@@ -37,9 +37,9 @@ def gather(channels: dict[str, DataFrame]) -> DataFrame:
     )
 
 
-def fuse(gathered: DataFrame, weights: DataFrame, k: int, mode: str = "weighted") -> DataFrame:
+def fuse(gathered: DataFrame, weights: DataFrame, k: int, mode: str = "weighted", small: bool = False) -> DataFrame:
     """weights: query_id and weights, a struct with a number for each channel.  The k best candidates with
-    score and rank."""
+    score and rank.  small: the caller has seen that weights can go to all tasks."""
     if mode not in ("weighted", "rrf"):
         raise ValueError(f"no fusion {mode!r}")
     w = lambda c: F.col(f"weights.{c}")
@@ -47,7 +47,8 @@ def fuse(gathered: DataFrame, weights: DataFrame, k: int, mode: str = "weighted"
         terms = [w(c) * F.col(f"{c}_n") for c in CHANNELS]
     else:
         terms = [F.coalesce(w(c) / (RRF_CONSTANT + F.col(f"{c}_rank")), F.lit(0.0)) for c in CHANNELS]
-    scored = gathered.join(F.broadcast(weights.select("query_id", "weights")) if weights.limit(50_001).count() <= 50_000 else weights.select("query_id", "weights"), "query_id")
+    own = weights.select("query_id", "weights")
+    scored = gathered.join(F.broadcast(own) if small else small_or_shuffled(own, 50_000), "query_id")
     scored = scored.withColumn("score", reduce(lambda a, b: a + b, terms)).drop("weights")
     return top_k(scored.filter("score > 0"), k)
 

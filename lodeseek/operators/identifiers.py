@@ -23,11 +23,13 @@ def build(chunks: DataFrame) -> DataFrame:
     return chunks.select("chunk_id", F.explode(roles).alias("r")).select("chunk_id", F.explode("r.names").alias("name"), "r.role")
 
 
-def search(identifiers: DataFrame, understood: DataFrame) -> DataFrame:
-    """query_id, chunk_id and score: the best role in which a unit has one of the query's names or files."""
+def search(identifiers: DataFrame, understood: DataFrame, small: bool = False) -> DataFrame:
+    """query_id, chunk_id and score: the best role in which a unit has one of the query's names or files.  small: the
+    caller has seen that the queries' names can go to all tasks."""
     names = understood.select("query_id", F.explode("entity_names").alias("name"), F.lit(False).alias("is_file"))
     files = understood.select("query_id", F.explode(F.transform("file_names", T.file_stem)).alias("name"), F.lit(True).alias("is_file"))
-    asked = small_or_shuffled(names.unionByName(files).distinct())
+    asked = names.unionByName(files).distinct()
+    asked = F.broadcast(asked) if small else small_or_shuffled(asked)
     met = identifiers.join(asked, "name").filter((F.col("role") == "stem") == F.col("is_file"))
     role_score = F.create_map(*(F.lit(x) for pair in ROLE_SCORES.items() for x in pair))[F.col("role")]
     return met.groupBy("query_id", "chunk_id").agg(F.max(role_score).alias("score"))

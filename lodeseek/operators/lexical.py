@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K1, B = 1.2, 0.75
-#: Rows of a side that may be sent to all tasks; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of text of a side that may be sent to all tasks; larger ones are joined by a shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 
 
 def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """With a broadcast hint if a count shows that df is small."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    """With a broadcast hint if a count of rows and of bytes of text shows that df is small."""
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
+    size = reduce(Column.__add__, texts, F.lit(0)).cast("long")
+    found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if found.n <= rows and found.bytes <= BROADCAST_BYTES else df
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -49,10 +54,11 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, k1: float = K1, b:
     return whole.select("chunk_id", "term", "tf", "dl", "df", _impact(k1, b).alias("impact"))
 
 
-def score(postings_: DataFrame, weights: DataFrame) -> DataFrame:
+def score(postings_: DataFrame, weights: DataFrame, small: bool = False) -> DataFrame:
     """weights: query_id, term, weight.  query_id, chunk_id and score, for pairs that share a term.  Nine
-    digits of a score count, so that equal documents tie in whatever order their terms are summed."""
-    met = postings_.select("chunk_id", "term", "impact").join(small_or_shuffled(weights), "term")
+    digits of a score count, so that equal documents tie in whatever order their terms are summed.  small: the
+    caller has seen that weights can go to all tasks."""
+    met = postings_.select("chunk_id", "term", "impact").join(F.broadcast(weights) if small else small_or_shuffled(weights), "term")
     return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("impact")), 9).alias("score")).filter("score > 0")
 
 

@@ -18,11 +18,15 @@ def _share(of: Column, among: Column) -> Column:
     return F.when(F.size(own) > 0, F.size(F.array_intersect(own, among)) / F.size(own)).otherwise(F.lit(0.0))
 
 
-def features(candidates: DataFrame, chunks: DataFrame, understood: DataFrame, structural: bool = True) -> DataFrame:
-    """Adds FEATURES, each in [0, 1].  structural: 1 if the unit calls a queried name, 0.5 if a better or
-    worse candidate of the query calls it or is called by it."""
-    units = chunks.select(
-        "chunk_id",
+def features(candidates: DataFrame, chunks: DataFrame, understood: DataFrame, structural: bool = True, keep: tuple[str, ...] = (), small: bool = False) -> DataFrame:
+    """Adds FEATURES, each in [0, 1], and the columns of chunks to keep.  structural: 1 if the unit calls a queried name,
+    0.5 if a better or worse candidate of the query calls it or is called by it.  Only the candidates' texts are taken
+    apart.  small: the caller has seen that the candidates can go to all tasks."""
+    about = [c for c in dict.fromkeys(("function", "class_name", "file", "doc", "calls", *keep)) if c not in candidates.columns]
+    found = (F.broadcast(candidates) if small else candidates).join(chunks.select("chunk_id", *about), "chunk_id")
+    found = found.select(
+        *candidates.columns,
+        *keep,
         F.lower(F.coalesce("function", F.lit(""))).alias("_function"),
         T.tokens(F.coalesce("function", F.lit(""))).alias("_fn"),
         T.tokens(F.coalesce("class_name", F.lit(""))).alias("_class"),
@@ -31,7 +35,7 @@ def features(candidates: DataFrame, chunks: DataFrame, understood: DataFrame, st
         F.transform(F.coalesce("calls", F.array().cast("array<string>")), F.lower).alias("_calls"),
     )
     asked = understood.select("query_id", F.concat("tokens", "expansion").alias("_asked"), F.array_distinct("tokens").alias("_tokens"), F.col("entity_names").alias("_entities"))
-    rows = candidates.join(units, "chunk_id").join(asked, "query_id")
+    rows = found.join(F.broadcast(asked) if small else asked, "query_id")
     rows = rows.withColumns({
         "semantic": F.col("dense_n"),
         "bm25": F.col("bm25_n"),

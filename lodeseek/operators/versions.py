@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from lodeseek.errors import InvalidCommitError
+from lodeseek.errors import IndexNotFoundError
 
 
 def diff(base: DataFrame, now: DataFrame) -> DataFrame:
@@ -34,18 +34,18 @@ def latest(versions: DataFrame) -> DataFrame:
     return versions.groupBy("repository").agg(F.max_by(F.struct("label", "commit", "timestamp"), F.struct("timestamp", "seq")).alias("v")).select("repository", "v.*")
 
 
-def resolve(versions: DataFrame, asked: str | None) -> str:
-    """A label, a commit or a commit's beginning to the label; nothing or HEAD to the newest."""
-    rows = versions.orderBy("timestamp", "seq").collect()  # a row a version
+def resolve(rows: list[Row], asked: str | None) -> str:
+    """rows: versions with label and commit, oldest first.  A label, a commit or a commit's beginning to the label; nothing,
+    latest or HEAD to the newest."""
     if not rows:
-        raise InvalidCommitError("nothing is indexed")
-    if asked in (None, "", "HEAD"):
+        raise IndexNotFoundError("nothing is indexed")
+    if asked in (None, "", "latest", "HEAD"):
         return rows[-1].label
     for test in (lambda r: r.label == asked, lambda r: r.commit == asked, lambda r: bool(r.commit) and r.commit.startswith(asked)):
         for row in rows:
             if test(row):
                 return row.label
-    raise InvalidCommitError(f"no version {asked!r} is indexed")
+    raise IndexNotFoundError(f"no version {asked!r} is indexed; there are {', '.join(r.label for r in rows)}")
 
 
 def merge_ranked(results: DataFrame, k: int) -> DataFrame:
@@ -55,12 +55,24 @@ def merge_ranked(results: DataFrame, k: int) -> DataFrame:
     return merged.drop("rank").withColumnRenamed("_place", "rank")
 
 
+def _first_replaced(text: Column, before: str, literal: Column, after: str, new: Column) -> Column:
+    """text with new in the place of its first match of the literal between two patterns."""
+    pattern = F.concat(F.lit(rf"(?s)\A(.*?{before})\Q"), literal, F.lit(rf"\E{after}"))
+    return F.regexp_replace(text, pattern, F.concat(F.lit("$1"), new))
+
+
 def refactored(chunks: DataFrame, share: Column) -> DataFrame:
-    """A made-up next version: units for which share holds get another name and a comment."""
+    """A made-up next version: units for which share holds get another name, where it is defined first and in the
+    signature, and a comment."""
     from lodeseek.functions.text import content_hash
 
-    name = F.concat(F.lit("refactored_"), F.col("function"))
-    code = F.concat(F.regexp_replace("code", F.concat(F.lit(r"def\s+"), F.col("function"), F.lit(r"\b")), F.concat(F.lit("def "), name)), F.lit("\n# refactored"))
+    old = F.col("function")
+    name = F.concat(F.lit("refactored_"), old)
     test = share & (F.coalesce("function", F.lit("")) != "")
-    rows = chunks.withColumn("code", F.when(test, code).otherwise(F.col("code"))).withColumn("function", F.when(test, name).otherwise(F.col("function")))
+    changed = {
+        "code": F.concat(_first_replaced(F.col("code"), r"\bdef ", old, r"\b", name), F.lit("\n# refactored")),
+        "signature": _first_replaced(F.col("signature"), "", old, "", name),
+        "function": name,
+    }
+    rows = chunks.withColumns({c: F.when(test, new).otherwise(F.col(c)) for c, new in changed.items() if c in chunks.columns})
     return rows.withColumn("chash", content_hash(F.col("code")))

@@ -12,7 +12,7 @@ from pathlib import Path
 from typing import Any
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.config import load_config
@@ -20,9 +20,9 @@ from lodeseek.errors import IndexNotFoundError, LodeseekError, MissingEmbeddings
 from lodeseek.functions import text as T
 from lodeseek.functions.schemas import CACHE, CHUNK_FIELDS, CHUNKS, VERSIONS
 from lodeseek.operators import identifiers, lexical, versions
-from lodeseek.operators.dense import LsaEncoder, load_encoder
-from lodeseek.sources.chunker import chunk_files
-from lodeseek.sources.repository import Repository
+from lodeseek.operators.dense import Encoder, LsaEncoder, load_encoder
+from lodeseek.sources.chunker import chunk_files, document_chunks
+from lodeseek.sources.repository import Snapshot, list_files, read_files, supported, take_snapshot
 from lodeseek.sources.scan import spread
 
 PARTS = ("repository", "version")
@@ -53,8 +53,8 @@ class Store:
         df.write.option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).mode("overwrite").parquet(f"{self.folder}/{table}")
         return self.read(table)
 
-    def append(self, df: DataFrame, table: str) -> None:
-        df.write.mode("append").parquet(f"{self.folder}/{table}")
+    def append(self, df: DataFrame, table: str, *parts: str) -> None:
+        df.write.mode("append").partitionBy(*parts).parquet(f"{self.folder}/{table}")
 
     def version(self, table: str, repository: str, label: str) -> DataFrame:
         """Reads that version's partition alone."""
@@ -66,6 +66,8 @@ class Store:
         return rows if repository is None else rows.filter(F.col("repository") == repository)
 
     def save_encoder(self, encoder: LsaEncoder) -> None:
+        if not isinstance(encoder, LsaEncoder):
+            return
         rows = [(t, float(encoder.idf[i]), [float(x) for x in encoder.projection[i]]) for t, i in encoder.terms.items()]
         self.spark.createDataFrame(rows, "term string, idf double, loading array<double>").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/encoder")
 
@@ -87,77 +89,97 @@ def with_keys(chunks: DataFrame, mode: str) -> DataFrame:
     return named.withColumn("chunk_id", F.xxhash64("repository", "version", "identity", "chash", "start_line", "doc_id"))
 
 
-def _parsed(store: Store, repo: Repository, commit: str, todo: DataFrame, settings: dict, label: str, when: float) -> tuple[DataFrame, dict]:
-    """Chunks of the files in todo, by way of the cache of parsed contents."""
-    key = {"repository": repo.name, "max_lines": settings["max_chunk_lines"]}
-    asked = todo.withColumns({k: F.lit(v) for k, v in key.items()})
-    cached = store.read("parse_cache", "repository string, blob string, max_lines int, " + ", ".join(f"u_{f}" for f in CHUNK_FIELDS.split(", ")))
-    known = cached.select(*key, "blob").distinct()
-    misses = asked.join(known, [*key, "blob"], "left_anti")
-    fresh = chunk_files(repo.contents(commit, misses), repo.name, commit, label, when, settings["max_chunk_lines"], settings["max_file_bytes"])
-    keyed = fresh.join(misses.select(F.col("path").alias("file"), "blob"), "file")
-    names = [f.split()[0] for f in CHUNK_FIELDS.split(", ")]
-    store.append(keyed.select(F.lit(repo.name).alias("repository"), "blob", F.lit(settings["max_chunk_lines"]).alias("max_lines"), *(F.col(n).alias(f"u_{n}") for n in names)), "parse_cache")
-    whole = store.read("parse_cache").dropDuplicates(["repository", "blob", "max_lines", "u_file", "u_start_line", "u_kind", "u_part", "u_class_name", "u_function"])
-    one = whole.groupBy(*key, "blob").agg(F.min("u_file").alias("u_file"))  # equal contents were parsed under one name
-    units = asked.join(whole.join(one, [*key, "blob", "u_file"]), [*key, "blob"]).select("path", *(F.col(f"u_{n}").alias(n) for n in names))
-    current = units.withColumns({"file": F.col("path"), "commit": F.lit(commit), "version": F.lit(label), "timestamp": F.lit(float(when))}).drop("path")
-    return current.withColumn("chash", T.content_hash(F.col("code"))).withColumn("doc_id", F.lit("")), {"reparsed": misses.count()}
+PARSE_CACHE = "repository string, blob string, max_lines int, " + ", ".join(f"u_{f}" for f in CHUNK_FIELDS.split(", "))
+
 
+def _parsed(store: Store, state: Snapshot, todo: DataFrame, settings: dict, label: str) -> tuple[DataFrame, dict]:
+    """Chunks of the files in todo, by way of the cache of parsed contents, of which this repository's part is read."""
+    height = settings["max_chunk_lines"]
 
-def index_repository(spark: SparkSession, repo_path: str, commit: str | None = None, label: str | None = None, config: dict[str, Any] | None = None, full: bool = False) -> dict[str, Any]:
-    """Indexes a folder or a commit; returns counters.  full: reuses no chunks of other versions."""
+    def cached() -> DataFrame:
+        return store.read("parse_cache", PARSE_CACHE).filter((F.col("repository") == state.name) & (F.col("max_lines") == height))
+
+    misses = todo.join(cached().select("blob").distinct(), "blob", "left_anti").cache()
+    counts = {"files_parsed": misses.count()}
+    fresh = chunk_files(read_files(state, misses), state.name, state.commit, label, state.timestamp, height, settings["max_file_bytes"])
+    keyed = fresh.join(misses.select(F.col("path").alias("file"), "blob"), "file")
+    names = [f.split()[0] for f in CHUNK_FIELDS.split(", ")]
+    store.append(keyed.select(F.lit(state.name).alias("repository"), "blob", F.lit(height).alias("max_lines"), *(F.col(n).alias(f"u_{n}") for n in names)), "parse_cache", "repository")
+    misses.unpersist()
+    wanted = cached().join(todo.select("blob").distinct(), "blob", "left_semi")
+    one = wanted.groupBy("blob").agg(F.min("u_file").alias("u_file"))  # equal contents were parsed under one name
+    whole = wanted.join(one, ["blob", "u_file"]).dropDuplicates(["blob", "u_start_line", "u_kind", "u_part", "u_class_name", "u_function"])
+    units = todo.join(whole, "blob").select("path", *(F.col(f"u_{n}").alias(n) for n in names))
+    current = units.withColumns({"file": F.col("path"), "commit": F.lit(state.commit), "version": F.lit(label), "timestamp": F.lit(state.timestamp)}).drop("path")
+    return current.withColumn("chash", T.content_hash(F.col("code"))).withColumn("doc_id", F.lit("")), counts
+
+
+def _base_version(known: DataFrame, label: str, commit: str, asked: str | None) -> Row | None:
+    """The version that chunks are reused of: the one asked for, else the newest other one."""
+    if asked is not None:
+        row = known.filter((F.col("label") == asked) & (F.col("label") != label)).first()
+        if row is None:
+            raise IndexNotFoundError(f"no other version {asked!r} to start from")
+        return row
+    return known.filter((F.col("label") != label) & (F.col("commit") != commit)).orderBy(F.desc("timestamp"), F.desc("seq")).first()
+
+
+def index_repository(
+    spark: SparkSession, repo_path: str, commit: str | None = None, label: str | None = None, config: dict[str, Any] | None = None, full: bool = False, base: str | None = None, encoder: Encoder | None = None
+) -> dict[str, Any]:
+    """Indexes a folder or a commit; returns counters.  full: reuses no chunks of other versions; base: the version to reuse
+    chunks of; encoder: in place of that of the settings."""
     config = config or load_config()
     began, settings, mode = time.time(), config["chunking"], config["representation"]
-    repo = Repository(spark, repo_path)
-    commit = repo.resolve(commit)
-    when = repo.timestamp(commit)
-    label = label or (commit[:8] if repo.is_git else "worktree")
+    state = take_snapshot(repo_path, commit)
+    label = label or state.label
     store = Store(spark, config["index"]["dir"])
-    files = repo.files(commit)
-    supported = repo.supported(files).cache()
-    stats: dict[str, Any] = {"files_total": files.count(), "files_supported": supported.count(), "files_large": supported.filter(F.col("size") > settings["max_file_bytes"]).count()}
+    files = list_files(spark, state).cache()
+    fitting = supported(files).cache()
+    small = fitting.filter(F.col("size") <= settings["max_file_bytes"])
+    stats: dict[str, Any] = {"files_total": files.count(), "files_supported": fitting.count()}
+    stats |= {"files_unsupported": stats["files_total"] - stats["files_supported"], "files_large": stats["files_supported"] - small.count()}
     if not stats["files_supported"]:
         raise LodeseekError(f"no source files in {repo_path}")
-    known = store.versions(repo.name)
-    others = known.filter((F.col("label") != label) & (F.col("commit") != commit)) if not full else known.limit(0)
-    base = others.orderBy(F.desc("timestamp"), F.desc("seq")).first()
-    if base is not None:
-        before = store.version("version_files", repo.name, base.label).select("path", "blob")
-        changes = versions.diff(before, supported)
-        old = store.version("chunks", repo.name, base.label).select(*(f.split()[0] for f in CHUNKS.split(", ")))
-        reused = versions.reused_chunks(old, supported, changes, commit, label, when)
-        todo = supported.join(changes.select("path"), "path", "left_semi").filter(F.col("size") <= settings["max_file_bytes"])
+    before = None if full else _base_version(store.versions(state.name), label, state.commit, base)
+    if before is not None:
+        changes = versions.diff(store.version("version_files", state.name, before.label).select("path", "blob"), fitting)
+        old = store.version("chunks", state.name, before.label).select(*(f.split()[0] for f in CHUNKS.split(", ")))
+        reused = versions.reused_chunks(old, fitting, changes, state.commit, label, state.timestamp)
+        todo = small.join(changes.select("path"), "path", "left_semi")
     else:
-        reused, todo = None, supported.filter(F.col("size") <= settings["max_file_bytes"])
-    parsed, counts = _parsed(store, repo, commit, todo, settings, label, when)
-    stats |= counts | {"base": base.label if base else None, "files_changed": todo.count(), "chunks_reused": reused.count() if reused is not None else 0}
+        reused, todo = None, small
+    parsed, counts = _parsed(store, state, todo, settings, label)
+    stats |= counts | {"base": before.label if before else None, "files_changed": todo.count(), "chunks_reused": reused.count() if reused is not None else 0}
+    stats["files_from_cache"] = stats["files_changed"] - stats["files_parsed"]
     whole = parsed if reused is None else parsed.unionByName(reused)
-    stored = store.put(with_keys(whole, mode), "chunks").filter((F.col("repository") == repo.name) & (F.col("version") == label))
-    stats |= _finish(store, stored, repo.name, label, config)
-    part = lambda df: df.withColumns({"repository": F.lit(repo.name), "version": F.lit(label)})
-    store.put(part(supported), "version_files")
-    row = (repo.name, label, commit, float(when), stats["chunks"], stats["embedder"], mode, stats["base"], int(time.time() * 1e6))
+    stored = store.put(with_keys(whole, mode), "chunks").filter((F.col("repository") == state.name) & (F.col("version") == label))
+    stats["files_without_chunks"] = small.count() - stored.select("file").distinct().count()
+    stats |= _finish(store, stored, state.name, label, config, encoder)
+    part = lambda df: df.withColumns({"repository": F.lit(state.name), "version": F.lit(label)})
+    store.put(part(fitting), "version_files")
+    row = (state.name, label, state.commit, state.timestamp, stats["chunks"], stats["embedder"], mode, stats["base"], int(time.time() * 1e6))
     store.append(spark.createDataFrame([row], VERSIONS), "versions")
-    supported.unpersist()
-    return stats | {"label": label, "commit": commit, "seconds": time.time() - began}
+    for table in (files, fitting):
+        table.unpersist()
+    return stats | {"label": label, "commit": state.commit, "seconds": time.time() - began}
 
 
-def _finish(store: Store, chunks: DataFrame, repository: str, label: str, config: dict[str, Any]) -> dict[str, Any]:
+def _finish(store: Store, chunks: DataFrame, repository: str, label: str, config: dict[str, Any], encoder: Encoder | None = None) -> dict[str, Any]:
     """Vectors, postings and identifiers of stored chunks."""
     settings, mode = config["embedding_model"], config["representation"]
-    texts = chunks.withColumn("tokens", T.tokens(T.representation(mode))).select("chunk_id", "cache_key", "tokens")
-    encoder = store.load_encoder(settings)
+    texts = chunks.select("chunk_id", "cache_key", T.tokens(T.representation(mode)).alias("tokens"))
+    encoder = encoder or store.load_encoder(settings)
     if encoder is None:
         encoder = load_encoder(settings).fit(texts)
         store.save_encoder(encoder)
-        encoder = store.load_encoder(settings)
+        encoder = store.load_encoder(settings) or encoder
     name = encoder.model_version
     cache = store.read("embedding_cache", CACHE).filter((F.col("repository") == repository) & (F.col("model_version") == name) & (F.col("representation") == mode) & (F.size("vector") == encoder.dim))
     missing = texts.join(cache, "cache_key", "left_anti").dropDuplicates(["cache_key"])
     counts = {"chunks": chunks.count(), "embeddings_computed": missing.count()}
     fresh = encoder.encode(missing, ["cache_key"])
-    store.append(fresh.select(F.lit(repository).alias("repository"), F.lit(name).alias("model_version"), F.lit(mode).alias("representation"), "cache_key", "vector"), "embedding_cache")
+    store.append(fresh.select(F.lit(repository).alias("repository"), F.lit(name).alias("model_version"), F.lit(mode).alias("representation"), "cache_key", "vector"), "embedding_cache", "repository")
     again = store.read("embedding_cache", CACHE).filter((F.col("repository") == repository) & (F.col("model_version") == name) & (F.col("representation") == mode) & (F.size("vector") == encoder.dim))
     vectors = texts.select("chunk_id", "cache_key").join(again.groupBy("cache_key").agg(F.first("vector").alias("vector")), "cache_key").select("chunk_id", "vector")
     part = lambda df: df.withColumns({"repository": F.lit(repository), "version": F.lit(label)})
@@ -167,39 +189,34 @@ def _finish(store: Store, chunks: DataFrame, repository: str, label: str, config
     return counts | {"embeddings_cached": counts["chunks"] - counts["embeddings_computed"], "embedder": name}
 
 
-def index_dataset(spark: SparkSession, corpus: DataFrame, name: str, config: dict[str, Any] | None = None, version: str = "v1") -> dict[str, Any]:
-    """corpus: doc_id and text, each document a unit of its own."""
+def index_dataset(spark: SparkSession, corpus: DataFrame, name: str, config: dict[str, Any] | None = None, version: str = "v1", encoder: Encoder | None = None) -> dict[str, Any]:
+    """corpus: doc_id, text and, if there is one, chunk; each document a unit with the names that chunker.document_chunks finds."""
     config = config or load_config()
-    blank = {f.split()[0]: f.split()[1] for f in CHUNKS.split(", ")}
-    fixed = {c: F.lit(None).cast(t) for c, t in blank.items()}
-    fixed |= {c: F.lit("") for c, t in blank.items() if t == "string"} | {c: F.array().cast(t) for c, t in blank.items() if t.startswith("array")}
-    fixed |= {"repository": F.lit(name), "version": F.lit(version), "kind": F.lit("file"), "part": F.lit(0), "start_line": F.lit(1), "end_line": F.lit(1), "timestamp": F.lit(0.0)}
-    fixed |= {"file": F.col("doc_id").cast("string"), "doc_id": F.col("doc_id").cast("string"), "code": F.coalesce("text", F.lit("")), "chash": T.content_hash(F.coalesce("text", F.lit("")))}
-    chunks = spread(corpus.select("doc_id", "text")).select(*(e.alias(c) for c, e in fixed.items()))
-    return index_chunks(spark, chunks, name, version, config)
+    chunks = document_chunks(spread(corpus.select("doc_id", "text", *(["chunk"] if "chunk" in corpus.columns else []))))
+    fixed = {"repository": F.lit(name), "version": F.lit(version), "timestamp": F.lit(0.0)}
+    return index_chunks(spark, chunks.withColumns(fixed), name, version, config, encoder=encoder)
 
 
-def index_chunks(spark: SparkSession, chunks: DataFrame, name: str, version: str, config: dict[str, Any], timestamp: float = 0.0) -> dict[str, Any]:
+def index_chunks(spark: SparkSession, chunks: DataFrame, name: str, version: str, config: dict[str, Any], timestamp: float = 0.0, encoder: Encoder | None = None) -> dict[str, Any]:
     """chunks: the columns of a stored chunk, of one repository and version."""
     store = Store(spark, config["index"]["dir"])
     stored = store.put(with_keys(chunks, config["representation"]), "chunks").filter((F.col("repository") == name) & (F.col("version") == version))
-    stats = _finish(store, stored, name, version, config)
+    stats = _finish(store, stored, name, version, config, encoder)
     row = (name, version, version, timestamp, stats["chunks"], stats["embedder"], config["representation"], None, int(time.time() * 1e6))
     store.append(spark.createDataFrame([row], VERSIONS), "versions")
     return stats | {"label": version}
 
 
-def checked_version(store: Store, repository: str, label: str, encoder: LsaEncoder | None) -> None:
+def checked_versions(rows: list[Row], encoder: Encoder | None) -> None:
     """An index of another encoder can't be searched."""
-    row = store.versions(repository).filter(F.col("label") == label).first()
-    if row is None:
-        raise IndexNotFoundError(f"{repository} has no version {label}")
-    if encoder is None or row.embedder != encoder.model_version:
-        raise MissingEmbeddingsError(f"{label} was encoded by {row.embedder}")
+    for row in rows:
+        if encoder is None or row.embedder != encoder.model_version:
+            raise MissingEmbeddingsError(f"{row.label} was encoded by {row.embedder}")
 
 
 def write_report(path: str, rows: list[dict[str, Any]]) -> None:
     """The same rows as JSON and, beside it, as a Markdown table."""
+    rows = [{k: round(v, 4) if isinstance(v, float) else v for k, v in r.items()} for r in rows]
     Path(path).write_text(json.dumps(rows, indent=1))
     names = list(dict.fromkeys(k for r in rows for k in r))
     lines = ["| " + " | ".join(names) + " |", "|" + "-|" * len(names), *("| " + " | ".join(str(r.get(n, "")) for n in names) + " |" for r in rows)]

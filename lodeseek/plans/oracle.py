@@ -106,7 +106,7 @@ CATEGORY = f"""CASE WHEN has_error_text AND regexp_matches(low, {_lit(Q.ERROR_WO
   WHEN len(class_names) > 0 AND regexp_matches(low, {_lit(Q.CLASS_WORDS)}) THEN 'CLASS_LOOKUP'
   WHEN (len(identifiers) > 0 AND (len(string_split(text, ' ')) <= 6 OR regexp_matches(low, {_lit(Q.PLACE_WORDS)}))) OR (len(function_names) > 0 AND len(string_split(text, ' ')) <= 6) THEN 'FUNCTION_LOOKUP'
   {_rules} WHEN len(libraries) > 0 THEN 'API_USAGE' ELSE 'GENERAL_SEMANTIC_SEARCH' END"""
-_concepts = ", ".join(f"({i}, {_lit(k)}, {_lit(v)})" for i, (k, v) in enumerate(Q.CONCEPTS.items()))
+_concepts = ", ".join(f"({i}, {_lit(k)}, {_lit(' '.join(v))})" for i, (k, v) in enumerate(Q.CONCEPTS.items()))
 EXPANDED = f"""{UNDERSTOOD}, concepts AS (
   SELECT stem, arg_max(related, i) AS related FROM (SELECT i, {STEM.format('k')} AS stem, string_split(v, ' ') AS related FROM (VALUES {_concepts}) c(i, k, v)) GROUP BY stem
 ), acts AS (
@@ -184,9 +184,9 @@ ORACLE: dict[str, str] = {
     "metadata_text": f"WITH {CHUNKS} SELECT chunk_id, concat_ws(chr(10), 'function ' || {_name_words('function')}, 'class ' || {_name_words('class_name')}, 'file ' || {_name_words('file')}, 'Reads a document.', 'calls ' || {_name_words(chr(39) + chr(39) + ' || array_to_string(calls, chr(32))')}, 'imports ' || {_name_words('array_to_string(imports, chr(32))')}) AS text FROM chunks",
     "contextual_text": f"WITH {CHUNKS} SELECT chunk_id, concat_ws(chr(10), 'File: ' || file, 'Class: ' || class_name, 'Function: ' || function, 'Purpose: ' || {_name_words('function')}, 'Signature: def read_doc(self)', 'Doc: Reads a document.', 'Imports: ' || array_to_string(imports, ', '), CASE WHEN len(calls) > 0 THEN 'Calls: ' || array_to_string(calls, ', ') END) || chr(10) || 'Code:' || chr(10) || substr(code, 1, 2000) AS text FROM chunks",
     "lexical_text": f"WITH {CHUNKS}, n AS (SELECT *, function || ' ' || class_name || ' ' AS names FROM chunks) SELECT chunk_id, md5(concat_ws(' ', names, names, names, file, file, 'Reads a document.', 'def read_doc(self)', substr(code, 1, 2000))) AS digest FROM n",
-    "first_sentence": r"SELECT conv_id, turn, CASE WHEN cut <> '' THEN cut ELSE p END AS sentence FROM (SELECT *, regexp_extract(p, '^(.*?[a-z0-9)])\.(?:\s|$)', 1) AS cut FROM (SELECT conv_id, turn, trim(regexp_replace(string_split_regex(trim(text), '\n\s*\n')[1], '\s+', ' ', 'g')) AS p FROM conversations))",
+    "first_sentence": r"SELECT conv_id, turn, CASE WHEN cut <> '' THEN cut ELSE p END AS sentence FROM (SELECT *, regexp_extract(p, '^(.*?[a-z0-9)]\.)(?:\s|$)', 1) AS cut FROM (SELECT conv_id, turn, trim(regexp_replace(string_split(regexp_replace(text, '^\s+', ''), chr(10) || chr(10))[1], '\s+', ' ', 'g')) AS p FROM conversations))",
     "highlighted": r"SELECT conv_id, turn, md5(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(?i)(that|tion)', '<mark>\1</mark>', 'g')) AS digest FROM conversations WHERE text IS NOT NULL",
-    "refactored_units": f"WITH {CHUNKS}, made AS (SELECT chunk_id, CASE WHEN chunk_id % 10 < 3 THEN 'refactored_' ELSE '' END || function AS function, language, chunk_id % 10 < 3 AS done FROM chunks), coded AS (SELECT chunk_id, function, 'def ' || function || '(x):' || chr(10) || '  ' || language || CASE WHEN done THEN chr(10) || '# refactored' ELSE '' END AS code FROM made) SELECT *, {HASH.format('code')} AS chash FROM coded",
+    "refactored_units": f"WITH {CHUNKS}, made AS (SELECT chunk_id, CASE WHEN chunk_id % 10 < 3 THEN 'refactored_' ELSE '' END || function AS function, language, chunk_id % 10 < 3 AS done FROM chunks), coded AS (SELECT chunk_id, function, 'def ' || function || '(x):' || chr(10) || '  ' || language || chr(10) || 'def read_doc' || (chunk_id % 50) || '(y): pass' || CASE WHEN done THEN chr(10) || '# refactored' ELSE '' END AS code, 'def ' || function || '(read_doc' || (chunk_id % 50) || ')' AS signature FROM made) SELECT *, {HASH.format('code')} AS chash FROM coded",
     "term_freq": f"WITH {POSTINGS} SELECT chunk_id, term, tf FROM tf",
     "doc_freq": f"WITH {POSTINGS} SELECT term, df FROM df",
     "doc_stats": f"WITH {POSTINGS} SELECT n, round(avgdl, 6) AS avgdl FROM whole",

@@ -13,8 +13,11 @@ from lodeseek.errors import EmptyQueryError, IndexNotFoundError
 from lodeseek.functions import query as Q
 from lodeseek.functions import text as T
 from lodeseek.operators import dedup, dense, fusion, identifiers, lexical, ranking, versions
-from lodeseek.plans.index import Store, checked_version
+from lodeseek.plans.index import Store, checked_versions
 
+#: Candidates, terms and names of a batch of queries that may be sent to all tasks.
+SMALL_BATCH = 200_000
+ABOUT = ("file", "function", "class_name", "start_line", "end_line", "version", "identity", "doc_id", "timestamp")
 RESULT = ("query_id", "rank", "score", "file", "function", "class_name", "start_line", "end_line", "version", "method", "why", "also_in", "category", "chunk_id", "identity", "doc_id")
 
 
@@ -44,17 +47,19 @@ PRESETS = {
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, repository: str, config: dict[str, Any] | None = None, reranker: ranking.TreeReranker | None = None) -> None:
+    def __init__(self, spark: SparkSession, repository: str, config: dict[str, Any] | None = None, reranker: ranking.TreeReranker | None = None, encoder: dense.Encoder | None = None) -> None:
+        """reranker: anything with its rerank(rows, top_n); encoder: the one that the index was made with, if it isn't stored there."""
         self.spark, self.repository, self.config, self.reranker = spark, repository, config or load_config(), reranker
         self.store = Store(spark, self.config["index"]["dir"])
-        self._encoder: dense.LsaEncoder | None = None
+        self._encoder = encoder
+        self._kept: DataFrame | None = None
 
     def versions(self) -> DataFrame:
         """Oldest first."""
         return self.store.versions(self.repository).orderBy("timestamp", "seq")
 
     @property
-    def encoder(self) -> dense.LsaEncoder | None:
+    def encoder(self) -> dense.Encoder | None:
         self._encoder = self._encoder or self.store.load_encoder(self.config["embedding_model"])
         return self._encoder
 
@@ -66,59 +71,71 @@ class Engine:
         return self.spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
 
     def understand(self, queries: DataFrame, options: Options = Options()) -> DataFrame:
-        """Kept, as every channel reads it."""
+        """Kept until the next queries come, as every channel reads it."""
         settings = self.config["query"]
-        return Q.understand(queries, settings["expand_concepts"] and options.use_query, settings["classify"] and options.use_query).persist()
+        if self._kept is not None:
+            self._kept.unpersist()
+        self._kept = Q.understand(queries, settings["expand_concepts"] and options.use_query, settings["classify"] and options.use_query).persist()
+        return self._kept
+
+    def _small(self, understood: DataFrame, versions_: int) -> bool:
+        """Whether the batch's candidates, and its terms and names, can go to all tasks; one count for all joins."""
+        words = F.size("tokens") + F.size("identifiers") + F.size("expansion") + F.size("entity_names") + F.size("file_names")
+        found = understood.agg(F.count("*").alias("n"), F.coalesce(F.sum(words), F.lit(0)).alias("words")).first()
+        return found.n * self.config["retrieval"]["candidate_size"] * versions_ <= SMALL_BATCH and found.words <= SMALL_BATCH
 
     def _tables(self, label: str | None) -> dict[str, DataFrame]:
         names = ("chunks", "postings", "identifiers", "vectors")
         own = {n: self.store.read(n).filter(F.col("repository") == self.repository) for n in names}
         return own if label is None else {n: df.filter(F.col("version") == label) for n, df in own.items()}
 
-    def candidates(self, understood: DataFrame, tables: dict[str, DataFrame], options: Options) -> DataFrame:
+    def candidates(self, understood: DataFrame, tables: dict[str, DataFrame], options: Options, versions_: int = 1, small: bool = False, whole: bool = False) -> DataFrame:
+        """whole: all that a channel found, without a cut of the fused list.  Over several versions each channel gives so many times its candidates: a unit has a copy in each at most, so that
+        as many units come as from one version."""
         settings = self.config["retrieval"]
         channels: dict[str, DataFrame] = {}
         if options.use_dense:
             asked = self.encoder.encode(understood.select("query_id", T.tokens(F.col("dense_text")).alias("tokens")), ["query_id"])
-            channels["dense"] = dense.search(tables["vectors"], asked, settings["dense_top_k"]).filter("score > 0")
+            channels["dense"] = dense.search(tables["vectors"], asked, settings["dense_top_k"] * versions_).filter("score > 0")
         if options.use_bm25:
-            channels["bm25"] = lexical.top_k(lexical.score(tables["postings"], Q.term_weights(understood)), settings["bm25_top_k"])
+            channels["bm25"] = lexical.top_k(lexical.score(tables["postings"], Q.term_weights(understood), small), settings["bm25_top_k"] * versions_)
         if options.use_identifier:
-            channels["identifier"] = lexical.top_k(identifiers.search(tables["identifiers"], understood), settings["identifier_top_k"])
+            channels["identifier"] = lexical.top_k(identifiers.search(tables["identifiers"], understood, small), settings["identifier_top_k"] * versions_)
         on = (options.use_dense, options.use_bm25, options.use_identifier)
         base = tuple(settings[f"{c}_weight"] for c in fusion.CHANNELS)
         weighed = understood.select("query_id", Q.channel_weights(F.col("category"), base, on, settings["category_weights"]).alias("weights"))
-        return fusion.fuse(fusion.gather(channels), weighed, settings["candidate_size"], settings["fusion"])
+        return fusion.fuse(fusion.gather(channels), weighed, 2**31 - 1 if whole else settings["candidate_size"] * versions_, settings["fusion"], small)
 
-    def featured(self, understood: DataFrame, tables: dict[str, DataFrame], options: Options) -> DataFrame:
-        found = self.candidates(understood, tables, options)
-        return ranking.features(found, tables["chunks"], understood, options.use_structural and self.config["ranking"]["use_structural"])
+    def featured(self, understood: DataFrame, tables: dict[str, DataFrame], options: Options, keep: tuple[str, ...] = (), versions_: int = 1, whole: bool = False) -> DataFrame:
+        small = self._small(understood, versions_) and not whole
+        found = self.candidates(understood, tables, options, versions_, small, whole)
+        return ranking.features(found, tables["chunks"], understood, options.use_structural and self.config["ranking"]["use_structural"], keep, small)
 
-    def _ranked(self, understood: DataFrame, tables: dict[str, DataFrame], options: Options) -> DataFrame:
-        rows, settings = self.featured(understood, tables, options), self.config["ranking"]
+    def _ranked(self, understood: DataFrame, tables: dict[str, DataFrame], options: Options, keep: tuple[str, ...], versions_: int) -> DataFrame:
+        rows, settings = self.featured(understood, tables, options, keep, versions_), self.config["ranking"]
+        top_n = settings["rerank_top_n"] * versions_
         if not options.use_rerank or settings["reranker"] == "none":
             return rows
         if self.reranker is not None:
-            return self.reranker.rerank(rows, settings["rerank_top_n"])
+            return self.reranker.rerank(rows, top_n)
         weights = {f: w for f, w in settings["weights"].items() if (options.use_metadata or f != "metadata") and (options.use_structural or f != "structural")}
-        return ranking.rerank(rows, ranking.linear_score(weights), settings["rerank_top_n"])
+        return ranking.rerank(rows, ranking.linear_score(weights), top_n)
 
     def search(self, queries: DataFrame, version: str | None = None, top_k: int = 10, options: Options = Options(), history: bool = False) -> DataFrame:
         """queries: query_id and text (and forced_category).  version: as versions.resolve takes it, or "all",
         which ranks the units of all versions together and, unless history, collapses those of one unit."""
         if top_k < 1:
             raise ValueError("top_k is less than 1")
-        whole = version == "all"
-        label = None if whole else versions.resolve(self.versions(), version)
-        for row in self.versions().collect():
-            if whole or row.label == label:
-                checked_version(self.store, self.repository, row.label, self.encoder)
+        whole, known = version == "all", self.versions().collect()  # a row a version
+        label = None if whole else versions.resolve(known, version)
+        searched = [row for row in known if whole or row.label == label]
+        checked_versions(searched, self.encoder)
         tables = self._tables(label)
         understood = self.understand(queries, options)
-        rows = self._ranked(understood, tables, options).join(understood.select("query_id", "category"), "query_id")
-        about = tables["chunks"].select("chunk_id", "file", "function", "class_name", "start_line", "end_line", "version", "code", "identity", "doc_id", "timestamp")
-        rows = rows.join(about, "chunk_id").withColumn("also_in", F.array().cast("array<string>"))
-        if whole and not history and self.config["dedup"]["enabled"]:
+        collapsed = whole and not history and self.config["dedup"]["enabled"]
+        rows = self._ranked(understood, tables, options, (*ABOUT, "code") if collapsed else ABOUT, len(searched)).join(understood.select("query_id", "category"), "query_id")
+        rows = rows.withColumn("also_in", F.array().cast("array<string>"))
+        if collapsed:
             carried = rows.drop("also_in").join(tables["vectors"].select("chunk_id", "vector"), "chunk_id")
             rows = dedup.collapse_versions(carried, self.config["dedup"]["similarity_threshold"])
         placed = versions.merge_ranked(rows, top_k) if whole else rows.filter(F.col("rank") <= top_k)

@@ -13,27 +13,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions import text as T
+from lodeseek.functions.schemas import CHUNK_FIELDS
 from lodeseek.sources.chunker import chunk_files
-from lodeseek.sources.repository import WORKTREE, Repository
+from lodeseek.sources.repository import folder_snapshot, list_files, read_files
+
+#: Larger files aren't taken into a benchmark.
+MOST_BYTES = 200_000
 
 
 class Dataset(NamedTuple):
     name: str
-    corpus: DataFrame  # doc_id, text
+    corpus: DataFrame  # doc_id, text and, if it was stored, chunk: a struct of a chunk's fields, or null
     queries: DataFrame  # query_id, text
     qrels: DataFrame  # query_id, doc_id, rel
 
 
+CHUNK_STRUCT = ", ".join(f"{name}: {kind}" for name, kind in (f.split() for f in CHUNK_FIELDS.split(", ")))
+
+
 def read_dataset(spark: SparkSession, folder: str) -> Dataset:
     """corpus.jsonl, queries.jsonl and qrels.json; a missing one is a FileNotFoundError."""
     place = Path(folder)
     for name in ("corpus.jsonl", "queries.jsonl", "qrels.json"):
         if not (place / name).exists():
             raise FileNotFoundError(place / name)
-    lines = lambda name, id_: spark.read.schema("id string, text string").json(str(place / name)).select(F.col("id").alias(id_), "text")
+    read = lambda name, schema: spark.read.schema(f"id string, text string{schema}").json(str(place / name))
+    corpus = read("corpus.jsonl", f", chunk struct<{CHUNK_STRUCT}>").select(F.col("id").alias("doc_id"), "text", "chunk")
+    queries = read("queries.jsonl", "").select(F.col("id").alias("query_id"), "text")
     judged = spark.read.text(str(place / "qrels.json"), wholetext=True).select(F.from_json("value", "map<string,map<string,int>>").alias("m"))
     by_query = judged.select(F.explode("m").alias("query_id", "docs"))
-    return Dataset(place.resolve().name, lines("corpus.jsonl", "doc_id"), lines("queries.jsonl", "query_id"), by_query.select("query_id", F.explode("docs").alias("doc_id", "rel")))
+    return Dataset(place.resolve().name, corpus, queries, by_query.select("query_id", F.explode("docs").alias("doc_id", "rel")))
 
 
 def write_dataset(dataset: Dataset, folder: str) -> None:
@@ -42,7 +51,8 @@ def write_dataset(dataset: Dataset, folder: str) -> None:
     place.mkdir(parents=True, exist_ok=True)
     for name, df, id_ in (("corpus.jsonl", dataset.corpus, "doc_id"), ("queries.jsonl", dataset.queries, "query_id")):
         with (place / name).open("w") as out:
-            for row in df.select(F.to_json(F.struct(F.col(id_).cast("string").alias("id"), "text")).alias("line")).toLocalIterator():
+            fields = [F.col(id_).cast("string").alias("id"), "text", *(["chunk"] if "chunk" in df.columns else [])]
+            for row in df.select(F.to_json(F.struct(*fields)).alias("line")).toLocalIterator():
                 out.write(row.line + "\n")
     qrels: dict[str, dict[str, int]] = {}
     for row in dataset.qrels.toLocalIterator():
@@ -77,12 +87,17 @@ def _bare(code: pd.Series) -> pd.Series:
     return code.map(without_docstring)
 
 
-def functions_in_folder(spark: SparkSession, folder: str, limit: int, seed: int = 0) -> DataFrame:
-    """Different functions of 3 to 60 lines in a folder's Python files, as chunks; limit of them by a hash."""
-    repo = Repository(spark, folder)
-    files = repo.files(WORKTREE).filter(F.col("path").endswith(".py"))
-    named = repo.contents(WORKTREE, files).withColumn("file", T.short_path(F.col("file")))
-    units = fitting_functions(chunk_files(named, repo.name, WORKTREE, "worktree")).withColumn("doc_id", F.col("chash"))
+def functions_in_folders(spark: SparkSession, folders: list[str], limit: int, seed: int = 0) -> DataFrame:
+    """Different functions of 3 to 60 lines in the folders' Python files, as chunks whose code has no documentation; limit
+    of them by a hash.  Functions that differ in their documentation alone are one."""
+    found = None
+    for state in map(folder_snapshot, folders):
+        files = list_files(spark, state).filter(F.col("path").endswith(".py") & (F.col("size") <= MOST_BYTES))
+        named = read_files(state, files).withColumn("file", T.short_path(F.col("file")))
+        own = chunk_files(named, state.name, state.commit, state.label)
+        found = own if found is None else found.unionByName(own)
+    bare = F.pandas_udf(_bare, "string")("code")
+    units = fitting_functions(found.withColumn("code", bare)).withColumn("chash", T.content_hash(F.col("code"))).withColumn("doc_id", F.col("chash"))
     return units.dropDuplicates(["chash"]).orderBy(F.xxhash64("chash", F.lit(seed))).limit(limit)
 
 
@@ -91,11 +106,15 @@ def fitting_functions(chunks: DataFrame) -> DataFrame:
 
 
 def benchmark_of(chunks: DataFrame, queries: int, seed: int = 0) -> Dataset:
-    """A dataset from documented functions: the first sentence of the documentation asks for the function,
-    whose text has no documentation."""
-    units = fitting_functions(chunks).withColumn("doc_id", F.col("chash")).withColumn("asked", T.first_sentence(F.col("doc"))).dropDuplicates(["chash"])
-    words = F.size(F.split("asked", " "))
-    fitting = units.filter(words.between(6, 30) & ~F.lower("asked").startswith("return self") & ~F.lower("asked").startswith("see "))
-    chosen = fitting.dropDuplicates(["asked"]).orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(queries)
+    """A dataset from documented functions: the first sentence of the documentation asks for the function, whose text and
+    stored chunk have no documentation.  Questions that differ in case alone are one."""
+    bare = F.pandas_udf(_bare, "string")("code")
+    units = fitting_functions(chunks.withColumn("code", bare)).withColumn("chash", T.content_hash(F.col("code"))).withColumn("doc_id", F.col("chash"))
+    units = units.withColumn("asked", T.first_sentence(F.col("doc"))).dropDuplicates(["chash"])
+    low, words = F.lower("asked"), F.size(F.split("asked", " "))
+    fitting = units.filter(words.between(6, 30) & ~low.startswith("return self") & ~low.startswith("see ")).withColumn("low", low)
+    chosen = fitting.dropDuplicates(["low"]).orderBy(F.xxhash64("doc_id", F.lit(seed))).limit(queries)
     named = chosen.select(F.concat(F.lit("q"), "doc_id").alias("query_id"), F.col("asked").alias("text"), "doc_id")
-    return Dataset("functions", units.select("doc_id", F.pandas_udf(_bare, "string")("code").alias("text")), named.select("query_id", "text"), named.select("query_id", "doc_id", F.lit(1).alias("rel")))
+    fields = [F.lit("").alias("doc") if name == "doc" else F.col(name) for name in (f.split()[0] for f in CHUNK_FIELDS.split(", "))]
+    corpus = units.select("doc_id", F.col("code").alias("text"), F.struct(*fields).alias("chunk"))
+    return Dataset("functions", corpus, named.select("query_id", "text"), named.select("query_id", "doc_id", F.lit(1).alias("rel")))
