@@ -18,6 +18,11 @@ STOPWORDS = [
 ]
 
 
+def string_array(values: list[str]) -> Column:
+    """A literal of words without quotes or backslashes, as one expression."""
+    return F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")").cast("array<string>")
+
+
 def collapse_whitespace(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
@@ -49,7 +54,7 @@ def stem(word: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Stems of words; names of several words also whole.  Stop-words go."""
-    stop = F.array(*map(F.lit, STOPWORDS))
+    stop = string_array(STOPWORDS)
 
     def of_name(name: Column) -> Column:
         parts = F.filter(split_identifier(name), lambda w: ~F.array_contains(stop, w))

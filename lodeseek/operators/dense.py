@@ -193,7 +193,7 @@ class LsaEncoder:
         def back(y: np.ndarray) -> np.ndarray:
             out = np.zeros((terms, y.shape[1]))
             for (at, values), row in zip(rows, y, strict=True):
-                out[at] += values[:, None] * row
+                out[at] += np.outer(values, row)
             return out
 
         for _ in range(3):

@@ -54,11 +54,22 @@ def postings(docs: DataFrame, terms: DataFrame | None = None, k1: float = K1, b:
     return whole.select("chunk_id", "term", "tf", "dl", "df", _impact(k1, b).alias("impact"))
 
 
-def score(postings_: DataFrame, weights: DataFrame, small: bool = False) -> DataFrame:
+def score(postings_: DataFrame, weights: DataFrame, small: bool | None = None) -> DataFrame:
     """weights: query_id, term, weight.  query_id, chunk_id and score, for pairs that share a term.  Nine
     digits of a score count, so that equal documents tie in whatever order their terms are summed.  small: the
-    caller has seen that weights can go to all tasks."""
-    met = postings_.select("chunk_id", "term", "impact").join(F.broadcast(weights) if small else small_or_shuffled(weights), "term")
+    caller has seen whether weights can go to all tasks.
+
+    Where they can, the postings of the queries' terms are dealt by chunk_id before they meet the queries, so that a task
+    sums up its chunks' scores for good, and what follows can cut them to the best before anything else is shuffled."""
+    if small is None:
+        found = weights.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length("term")).alias("bytes")).first()
+        small = found.n <= BROADCAST_ROWS and (found.bytes or 0) <= BROADCAST_BYTES
+    own = postings_.select("chunk_id", "term", "impact")
+    if small:
+        dealt = own.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi").repartition("chunk_id")
+        met = dealt.join(F.broadcast(weights), "term")
+    else:
+        met = own.join(weights, "term")
     return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("impact")), 9).alias("score")).filter("score > 0")
 
 

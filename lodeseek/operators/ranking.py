@@ -18,21 +18,34 @@ def _share(of: Column, among: Column) -> Column:
     return F.when(F.size(own) > 0, F.size(F.array_intersect(own, among)) / F.size(own)).otherwise(F.lit(0.0))
 
 
+def feature_words() -> dict[str, Column]:
+    """What features are made of, of a chunk's columns; an index stores it beside them."""
+    text = lambda c: F.coalesce(c, F.lit(""))
+    return {
+        "words_function": T.tokens(text("function")),
+        "words_class": T.tokens(text("class_name")),
+        "words_path": T.tokens(F.regexp_replace(text("file"), r"\.[A-Za-z0-9]*$", "")),
+        "words_doc": T.tokens(text("doc")),
+        "called": F.transform(F.coalesce("calls", F.array().cast("array<string>")), F.lower),
+    }
+
+
 def features(candidates: DataFrame, chunks: DataFrame, understood: DataFrame, structural: bool = True, keep: tuple[str, ...] = (), small: bool = False) -> DataFrame:
     """Adds FEATURES, each in [0, 1], and the columns of chunks to keep.  structural: 1 if the unit calls a queried name,
-    0.5 if a better or worse candidate of the query calls it or is called by it.  Only the candidates' texts are taken
-    apart.  small: the caller has seen that the candidates can go to all tasks."""
-    about = [c for c in dict.fromkeys(("function", "class_name", "file", "doc", "calls", *keep)) if c not in candidates.columns]
+    0.5 if a better or worse candidate of the query calls it or is called by it.  Only the candidates' chunks are looked
+    at, and if they have the columns of feature_words, no text of theirs.  small: the caller has seen that the candidates
+    can go to all tasks."""
+    names = {"words_function": "_fn", "words_class": "_class", "words_path": "_path", "words_doc": "_doc", "called": "_calls"}
+    stored = set(names) <= set(chunks.columns)
+    words = {c: F.col(c) for c in names} if stored else feature_words()
+    needed = ("function", *names) if stored else ("function", "class_name", "file", "doc", "calls")
+    about = [c for c in dict.fromkeys((*needed, *keep)) if c not in candidates.columns]
     found = (F.broadcast(candidates) if small else candidates).join(chunks.select("chunk_id", *about), "chunk_id")
     found = found.select(
         *candidates.columns,
         *keep,
         F.lower(F.coalesce("function", F.lit(""))).alias("_function"),
-        T.tokens(F.coalesce("function", F.lit(""))).alias("_fn"),
-        T.tokens(F.coalesce("class_name", F.lit(""))).alias("_class"),
-        T.tokens(F.regexp_replace(F.coalesce("file", F.lit("")), r"\.[A-Za-z0-9]*$", "")).alias("_path"),
-        T.tokens(F.coalesce("doc", F.lit(""))).alias("_doc"),
-        F.transform(F.coalesce("calls", F.array().cast("array<string>")), F.lower).alias("_calls"),
+        *(own.alias(names[c]) for c, own in words.items()),
     )
     asked = understood.select("query_id", F.concat("tokens", "expansion").alias("_asked"), F.array_distinct("tokens").alias("_tokens"), F.col("entity_names").alias("_entities"))
     rows = found.join(F.broadcast(asked) if small else asked, "query_id")

@@ -19,14 +19,13 @@ from lodeseek.config import load_config
 from lodeseek.errors import IndexNotFoundError, LodeseekError, MissingEmbeddingsError
 from lodeseek.functions import text as T
 from lodeseek.functions.schemas import CACHE, CHUNK_FIELDS, CHUNKS, VERSIONS
-from lodeseek.operators import identifiers, lexical, versions
+from lodeseek.operators import identifiers, lexical, ranking, versions
 from lodeseek.operators.dense import Encoder, LsaEncoder, load_encoder
 from lodeseek.sources.chunker import chunk_files, document_chunks
 from lodeseek.sources.repository import Snapshot, list_files, read_files, supported, take_snapshot
 from lodeseek.sources.scan import spread
 
 PARTS = ("repository", "version")
-STORED_CHUNKS = CHUNKS + ", chunk_id long, qualname string, identity string, cache_key string, tokens array<string>"
 
 
 class Store:
@@ -85,7 +84,7 @@ class Store:
 
 def with_keys(chunks: DataFrame, mode: str) -> DataFrame:
     """Adds names, keys, an id that depends on the unit, its version and its place, and tokens."""
-    named = chunks.withColumns({"qualname": T.qualname(), "identity": T.identity(), "cache_key": T.cache_key(), "tokens": T.tokens(T.lexical_text(mode))})
+    named = chunks.withColumns({"qualname": T.qualname(), "identity": T.identity(), "cache_key": T.cache_key(), "tokens": T.tokens(T.lexical_text(mode)), **ranking.feature_words()})
     return named.withColumn("chunk_id", F.xxhash64("repository", "version", "identity", "chash", "start_line", "doc_id"))
 
 

@@ -17,6 +17,8 @@ from lodeseek.plans.index import Store, checked_versions
 
 #: Candidates, terms and names of a batch of queries that may be sent to all tasks.
 SMALL_BATCH = 200_000
+#: Queries, and bytes of what is known of them, that the driver may hold.
+SMALL_QUERIES, SMALL_BYTES = 10_000, 64_000_000
 ABOUT = ("file", "function", "class_name", "start_line", "end_line", "version", "identity", "doc_id", "timestamp")
 RESULT = ("query_id", "rank", "score", "file", "function", "class_name", "start_line", "end_line", "version", "method", "why", "also_in", "category", "chunk_id", "identity", "doc_id")
 
@@ -71,11 +73,17 @@ class Engine:
         return self.spark.createDataFrame(list(enumerate(texts)), "query_id long, text string")
 
     def understand(self, queries: DataFrame, options: Options = Options()) -> DataFrame:
-        """Kept until the next queries come, as every channel reads it."""
+        """As every channel reads it.  Up to SMALL_QUERIES the rows come to the driver, and further plans start from them; more
+        are kept until the next queries come."""
         settings = self.config["query"]
         if self._kept is not None:
             self._kept.unpersist()
-        self._kept = Q.understand(queries, settings["expand_concepts"] and options.use_query, settings["classify"] and options.use_query).persist()
+            self._kept = None
+        found = Q.understand(queries, settings["expand_concepts"] and options.use_query, settings["classify"] and options.use_query)
+        rows = found.limit(SMALL_QUERIES + 1).toArrow()
+        if rows.num_rows <= SMALL_QUERIES and rows.nbytes <= SMALL_BYTES:
+            return self.spark.createDataFrame(rows.combine_chunks(), found.schema)
+        self._kept = found.persist()
         return self._kept
 
     def _small(self, understood: DataFrame, versions_: int) -> bool:
