@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeseek.llm import decontaminate, fixity, langid, linechunks, mixing, pii, quality, sharding, simhash, tokencount
+from lodeseek.llm import decontaminate, fixity, htmltext, langid, linechunks, mixing, phrases, pii, prefixtrie, quality, sharding, simhash, tokencount
 from lodeseek.llm.shared import shared_folder
 from lodeseek.sources.scan import spread
 
@@ -172,6 +172,88 @@ FROM placed WINDOW w AS (PARTITION BY archive ORDER BY page_id NULLS FIRST, dige
 """
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spread(table(spark, sf_dir, "pages"))
+    return htmltext.extract(pages.select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(documents(spark, sf_dir))
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents WHERE text IS NOT NULL
+), worded AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), starts AS (
+  SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM worded, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k
+), counts AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f FROM starts GROUP BY ALL HAVING count(*) >= 100
+), totals AS (
+  SELECT lang, sum(len(w)) AS n FROM worded GROUP BY lang
+), cuts AS (
+  SELECT lang, phrase, k, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM counts WHERE k > 1
+), rated AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, l.f AS l, r.f AS r, t.n, ((1000::HUGEINT * c.a * t.n) // (l.f::HUGEINT * r.f))::BIGINT AS score
+  FROM cuts c JOIN totals t USING (lang)
+  JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(list_slice(c.w, 1, c.cut), ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(list_slice(c.w, c.cut + 1, c.k), ' ')
+), least_cut AS (
+  SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), parts AS (
+  SELECT lang, f, array_to_string(list_slice(w, i, i + size - 1), ' ') AS phrase
+  FROM (SELECT lang, f, w, size, unnest(range(1, k - size + 2)) AS i FROM (SELECT lang, k, f, string_split(phrase, ' ') AS w, unnest(range(2, k)) AS size FROM counts WHERE k > 2))
+), longer AS (
+  SELECT lang, phrase, max(f) AS most FROM parts GROUP BY lang, phrase
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n::BIGINT AS n, score
+FROM least_cut LEFT JOIN longer USING (lang, phrase) WHERE most IS NULL OR most < a
+QUALIFY rank <= 2000
+"""
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixtrie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384::BIGINT) ELSE c >> 1 END) ORDER BY i) AS t FROM (SELECT unnest(range(0, 256)) AS i)
+), placed AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS place FROM conversations WHERE conv_id IS NOT NULL
+), taken AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM placed), crc_table
+), turns AS (
+  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, place) AS depth, role, text FROM (
+    SELECT t.conv_id, 0 AS own, p.place, p.role, p.text FROM taken t JOIN placed p ON p.conv_id = t.base AND p.place <= t.h
+    UNION ALL
+    SELECT p.conv_id, 1, p.place, p.role, p.text FROM placed p JOIN taken t USING (conv_id) WHERE p.place > t.h)
+), paths AS (
+  SELECT conv_id, depth, string_agg(key, '') OVER w AS path, coalesce(string_agg(key, '') OVER before, '') AS parent, words, depth = count(*) OVER (PARTITION BY conv_id) AS is_last
+  FROM (SELECT *, md5(length(role) || ':' || role || text) AS key, len(regexp_extract_all(text, '[^ 	-]+')) AS words FROM turns)
+  WINDOW w AS (PARTITION BY conv_id ORDER BY depth ROWS UNBOUNDED PRECEDING), before AS (PARTITION BY conv_id ORDER BY depth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), members AS (
+  SELECT conv_id, depth, path, parent, words, is_last FROM paths
+  UNION ALL
+  SELECT conv_id, 0, '', NULL, 0, conv_id NOT IN (SELECT conv_id FROM turns) FROM taken
+), nodes AS (
+  SELECT path, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(parent) AS parent, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE is_last), '')) AS ends_sha256
+  FROM members GROUP BY path
+), children AS (
+  SELECT parent AS path, count(*) AS n_children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), subtrees AS (
+  SELECT m.path, count(*) FILTER (WHERE n_children IS NULL) AS n_leaves, sum((n_convs - 1) * n.words) AS saved_tokens
+  FROM nodes n LEFT JOIN children c USING (path) JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.path
+)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, s.n_leaves, s.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes p ON p.path = n.parent LEFT JOIN children c ON c.path = n.path JOIN subtrees s ON s.path = n.path
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = (
         op1_mix_sources,
@@ -184,9 +266,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_line_chunk_dedup,
         op9_simhash_near_dedup,
         op10_warc_fixity_audit,
+        op11_main_text,
+        op12_phrase_mining,
+        op13_conversation_trie,
     )
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op10_warc_fixity_audit": OP10_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op3_benchmark_decontamination": OP3_SQL, "op10_warc_fixity_audit": OP10_SQL, "op12_phrase_mining": OP12_SQL, "op13_conversation_trie": OP13_SQL}
