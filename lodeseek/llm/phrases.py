@@ -6,9 +6,9 @@ every row of the merged sketch is kept.  A sketch never counts too little, so no
 the kept words and phrases themselves, and Spark adds these exact counts; a hash that misled the sketch costs a row there and
 changes no result.
 
-Cells are added up to the least count only, and the merged sketch is one bit a cell: 2 ** BITS cells and two rows take 256 MB
-in a task at most and 32 MB where they are sent, whatever the size of the corpus.  A larger corpus with the same least count
-fills the cells, so that more rows reach the exact count, which is a plain distributed aggregation; raise bits or min_count with it.
+Cells are added up to the least count only, and the merged sketch is one bit a cell: two rows of 2 ** MOST_BITS cells take 128 MB
+in a task and 16 MB where they are sent, whatever the size of the corpus.  Beyond 4 GB of text with the same least count cells
+fill up, so that more rows reach the exact count, which is a plain distributed aggregation; raise bits or min_count with it.
 
 Defined results.  A null or empty text has no words; a null language is ``und``, as a language of that name is.  Words of any
 length are one word.  A long text is taken in blocks that carry over the last four words, so that all its phrases count.  Equal
@@ -35,9 +35,10 @@ from lodeseek.llm.shared import stash
 LONGEST = 5
 MIN_COUNT = 100
 TOP = 2000
-#: Two rows of 2 ** BITS cells in each sketch.
-BITS = 26
+#: A sketch has two rows, each with a cell for so many bytes of text, but from 2 ** LEAST_BITS to 2 ** MOST_BITS of them.
 ROWS = 2
+BYTES_PER_CELL = 64
+LEAST_BITS, MOST_BITS = 16, 26
 CHUNK_BITS = 16
 #: Bytes of text that a task works on at once.
 BLOCK_BYTES = 1 << 21
@@ -243,10 +244,13 @@ def _count(batches, longest: int, kept: Kept, block_bytes: int) -> Iterator[pa.R
         )
 
 
-def frequencies(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, bits: int = BITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def frequencies(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, bits: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """lang, k, phrase, f: all phrases of 1 to longest words that occur min_count times or more in their language, exactly
     counted, and with k = 0 the number of all its words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
+    if bits is None:
+        size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+        bits = min(max((size // BYTES_PER_CELL).bit_length(), LEAST_BITS), MOST_BITS)
     kept: dict[int, list[bytes]] = {}
     for order in range(1, min(longest, 3) + 1):
         kept[order] = _sketched(texts, order, longest, min_count, kept, bits, block_bytes)
@@ -288,7 +292,7 @@ def without_parts(found: DataFrame, counts: DataFrame) -> DataFrame:
     return found.join(parts, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (F.col("longer") < F.col("a"))).drop("longer")
 
 
-def mine(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, top: int = TOP, bits: int = BITS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def mine(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, top: int = TOP, bits: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Each language's first ``top`` phrases of docs (text, lang): lang, rank, phrase, a, l, r, n, score."""
     counts = stash(frequencies(docs, longest, min_count, bits, block_bytes), "phrases")
     best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
