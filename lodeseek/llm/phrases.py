@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.llm.shared import stash
+from lodeseek.operators.lexical import small_or_shuffled
 
 LONGEST = 5
 MIN_COUNT = 100
@@ -42,6 +43,8 @@ LEAST_BITS, MOST_BITS = 16, 26
 CHUNK_BITS = 16
 #: Bytes of text that a task works on at once.
 BLOCK_BYTES = 1 << 21
+#: Phrases that a task counts before it hands them on.
+HELD = 500_000
 
 BLANK, SEPARATOR = b" ."
 WORD_END = re.compile(rb"[ .]")
@@ -230,18 +233,23 @@ def _sketched(texts: DataFrame, order: int, longest: int, min_count: int, kept:
 
 
 def _count(batches, longest: int, kept: Kept, block_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Exact counts of kept words and phrases, block by block; k = 0 has the number of words."""
+    """Exact counts of kept words and phrases; k = 0 has the number of words.  A task adds up its blocks, HELD phrases at most."""
+    counts: Counter = Counter()
+
+    def emitted() -> pa.RecordBatch:
+        keys, f = list(counts), list(counts.values())
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array([k[i] for k in keys], t) for i, t in enumerate((pa.string(), pa.int32(), pa.binary()))] + [pa.array(f, pa.int64())], names=["lang", "k", "phrase", "f"])
+
     for block in _blocks(batches, block_bytes):
-        columns: tuple[list, ...] = ([0], [b""], [max(0, len(block.start) - block.skip)])
+        counts[block.lang, 0, b""] += max(0, len(block.start) - block.skip)
         for k, begins, _ in kept.phrases(block, longest):
-            found = Counter(block.strings(k, begins))
-            columns[0].extend([k] * len(found))
-            columns[1].extend(found.keys())
-            columns[2].extend(found.values())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([block.lang] * len(columns[0]), pa.string()), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.binary()), pa.array(columns[2], pa.int64())],
-            names=["lang", "k", "phrase", "f"],
-        )
+            for phrase, n in Counter(block.strings(k, begins)).items():
+                counts[block.lang, k, phrase] += n
+        if len(counts) > HELD:
+            yield emitted()
+    if counts:
+        yield emitted()
 
 
 def frequencies(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_COUNT, bits: int | None = None, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -272,7 +280,7 @@ def scored(counts: DataFrame) -> DataFrame:
         .select("lang", "phrase", "k", "a", "cut", part(F.lit(1), F.col("cut")).alias("first"), part(F.col("cut") + 1, F.col("k") - F.col("cut")).alias("rest"))
     )
     own = lambda name, f: counts.filter("k > 0").select("lang", F.col("phrase").alias(name), F.col("f").alias(f))
-    totals = counts.filter("k = 0").select("lang", F.col("f").alias("n"))
+    totals = small_or_shuffled(counts.filter("k = 0").select("lang", F.col("f").alias("n")))
     exact = "cast(cast(1000 * cast(a as decimal(20,0)) * cast(n as decimal(20,0)) as decimal(38,0)) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0))) as long)"
     rated = cuts.join(own("first", "l"), ["lang", "first"]).join(own("rest", "r"), ["lang", "rest"]).join(totals, "lang").withColumn("score", F.expr(exact))
     least = F.min(F.struct("score", "cut", "l", "r")).alias("least")
