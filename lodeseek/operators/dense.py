@@ -58,14 +58,14 @@ def _partial_top_k(query_ids: list, matrix: np.ndarray, k: int, id_type: pa.Data
     return run
 
 
-def _best(kept: tuple, floor: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int) -> tuple:
-    """kept and a slice's scores (a row for each query) to the k best of each query, the smaller id first where
-    scores are equal.  floor: each query's k-th best score so far, which is raised."""
-    least = floor
+def _best(kept: tuple, floor: np.ndarray, scores: np.ndarray, ids: np.ndarray, k: int, asking: np.ndarray | None = None) -> tuple:
+    """kept and a slice's scores (a row for each query, or for those of the numbers asking) to the k best of each query,
+    the smaller id first where scores are equal.  floor: each query's k-th best score so far, which is raised."""
+    least = floor if asking is None else floor[asking]
     if len(ids) > k:
-        least = np.maximum(floor, np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k])
+        least = np.maximum(least, np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k])
     rows, columns = np.nonzero(scores >= least[:, None])
-    new = (rows, ids[columns], scores[rows, columns])
+    new = (rows if asking is None else asking[rows], ids[columns], scores[rows, columns])
     numbers, chunks, values = (np.concatenate(x) for x in zip(kept, new, strict=True))
     order = np.lexsort((chunks, -values, numbers))
     numbers = numbers[order]
