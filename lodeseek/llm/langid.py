@@ -21,9 +21,10 @@ columns besides those named aren't looked at.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -127,7 +128,7 @@ def _model(counts: list[tuple[str, int, str, int]]) -> Model:
 
 
 class Scorer(dict):
-    """Word to its item; words that the model doesn't know become items of their own when met."""
+    """Word to its item; words that the model doesn't know become items of their own when met, many at once."""
 
     def __init__(self, model: Model) -> None:
         super().__init__()
@@ -145,55 +146,100 @@ class Scorer(dict):
         if used + more > len(own):
             setattr(self, name, np.concatenate((own, np.zeros(max(1024, len(own) // 2, more), own.dtype))))
 
-    def __missing__(self, word: str) -> int:
-        columns, gains = self._backoff(word)
-        for name, values in (("columns", columns), ("gains", gains)):
-            self._room(name, self.entries, len(values))
-            getattr(self, name)[self.entries : self.entries + len(values)] = values
-        self.entries += len(columns)
-        self._room("starts", self.items + 1, 1)
-        self.starts[self.items + 1] = self.entries
-        self[word] = at = self.items
-        self.items += 1
-        return at
-
-    def _backoff(self, word: str) -> tuple[np.ndarray, np.ndarray]:
-        model = self.model
+    def _learn(self, words: list[str]) -> None:
+        """Makes items of words that the model doesn't know."""
+        model, n = self.model, len(self.model.languages)
+        left, found = words, []
         for length in range(LONGEST_GRAM, 0, -1):
-            known = model.grams[length - 1]
-            at = [known[g] for g in grams_of(word, length) if g in known]
-            if at:
-                parts = [slice(model.starts[i], model.starts[i + 1]) for i in at]
-                columns, place = np.unique(np.concatenate([model.columns[p] for p in parts]), return_inverse=True)
-                return columns, np.bincount(place, np.concatenate([model.gains[p] for p in parts])) / len(at)
-        return model.columns[:0], model.gains[:0]
+            known, at, owners, rest = model.grams[length - 1], [], [], []
+            for word in left:
+                have = [known[g] for g in grams_of(word, length) if g in known]
+                if have:
+                    at += have
+                    owners.append((word, len(have)))
+                else:
+                    rest.append(word)
+            if owners:
+                grams = np.array(at, np.int64)
+                counts = np.array([c for _, c in owners], np.int64)
+                entries, sizes = self._entries(model.starts, grams)
+                place = np.repeat(np.repeat(np.arange(len(owners)), counts), sizes) * n + model.columns[entries]
+                present, inverse = np.unique(place, return_inverse=True)
+                gains = np.bincount(inverse, model.gains[entries]) / counts[present // n]
+                found.append(([w for w, _ in owners], np.bincount(present // n, minlength=len(owners)), present % n, gains))
+            left = rest
+        found.append((left, np.zeros(len(left), np.int64), np.zeros(0, np.int64), np.zeros(0)))
+        for new, sizes, columns, gains in found:
+            for name, values in (("columns", columns), ("gains", gains)):
+                self._room(name, self.entries, len(values))
+                getattr(self, name)[self.entries : self.entries + len(values)] = values
+            self._room("starts", self.items + 1, len(new))
+            self.starts[self.items + 1 : self.items + 1 + len(new)] = self.entries + np.cumsum(sizes)
+            self.update(zip(new, range(self.items, self.items + len(new)), strict=True))
+            self.entries += len(columns)
+            self.items += len(new)
+
+    @staticmethod
+    def _entries(starts: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The entries of the items at, one after the other, and how many each has."""
+        first = starts[at]
+        sizes = starts[at + 1] - first
+        ends = np.cumsum(sizes)
+        return np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
+
+    def _sums(self, parts: list[list[str]]) -> np.ndarray:
+        """Of each part's words the sums of gains by language."""
+        if self.items > len(self.model.starts) + MEMORY:
+            self._forget()
+        words = list(itertools.chain.from_iterable(parts))
+        if missing := [w for w in dict.fromkeys(words) if w not in self]:
+            self._learn(missing)
+        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+        entries, sizes = self._entries(self.starts, at)
+        n = len(self.model.languages)
+        owner = np.repeat(np.repeat(np.arange(len(parts)), [len(p) for p in parts]), sizes)
+        return np.bincount(owner * n + self.columns[entries], self.gains[entries], len(parts) * n).reshape(-1, n)
+
+    def predict_all(self, texts: Iterable[str | None]) -> list[tuple[str, float]]:
+        """Language and score of each text.  Words are scored SLAB at a time, of several texts or of a part of one."""
+        languages, texts = self.model.languages, list(texts)
+        sums, counts = np.zeros((len(texts), len(languages))), np.zeros(len(texts), np.int64)
+        waiting: list[tuple[int, list[str]]] = []
+        held = 0
+
+        def score() -> None:
+            if waiting and languages:
+                np.add.at(sums, [i for i, _ in waiting], self._sums([p for _, p in waiting]))
+            waiting.clear()
+
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            counts[i] = len(words)
+            for slab in range(0, len(words), SLAB):
+                part = words[slab : slab + SLAB]
+                if held + len(part) > SLAB:
+                    score()
+                    held = 0
+                waiting.append((i, part))
+                held += len(part)
+        score()
+        if not languages:
+            return [("und", 0.0)] * len(texts)
+        means = sums / np.maximum(counts, 1)[:, None]
+        best = means.argmax(axis=1)
+        odds = np.exp((means - means.max(axis=1, keepdims=True)) * np.minimum(counts, SURE_WORDS)[:, None])
+        scores = 1 / odds.sum(axis=1)
+        return [(languages[b], s) if c else ("und", 0.0) for b, s, c in zip(best.tolist(), scores.tolist(), counts.tolist(), strict=True)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        words = words_of(text)
-        if not self.model.languages or not words:
-            return "und", 0.0
-        sums = np.zeros(len(self.model.languages))
-        for slab in range(0, len(words), SLAB):
-            if self.items > len(self.model.starts) + MEMORY:
-                self._forget()
-            part = words[slab : slab + SLAB]
-            at = np.fromiter(map(self.__getitem__, part), np.int64, len(part))
-            first = self.starts[at]
-            sizes = self.starts[at + 1] - first
-            ends = np.cumsum(sizes)
-            entries = np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1])
-            sums += np.bincount(self.columns[entries], self.gains[entries], len(sums))
-        means = sums / len(words)
-        best = int(means.argmax())
-        odds = np.exp((means - means[best]) * min(len(words), SURE_WORDS))
-        return self.model.languages[best], float(1 / odds.sum())
+        return self.predict_all([text])[0]
 
 
 def _predict_batches(model: Broadcast, text_col: str, columns: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model.value)
         for batch in batches:
-            found = [scorer.predict(x.as_py()) for x in batch[text_col]]
+            found = scorer.predict_all(x.as_py() for x in batch[text_col])
             new = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), *new], [*columns, "_lang_pred", "_score"])
 
