@@ -7,5 +7,5 @@ CHUNK_FIELDS = (
 )
 CHUNKS = CHUNK_FIELDS + ", chash string, doc_id string"
 FILES = "path string, blob string, size long"
-VERSIONS = "repository string, label string, commit string, timestamp double, n_chunks long, embedder string, representation string, base string, seq long"
+VERSIONS = "repository string, label string, commit string, timestamp double, n_chunks long, embedder string, representation string, base string, seq long, avgdl double, buckets int"
 CACHE = "repository string, model_version string, representation string, cache_key string, vector array<float>"

@@ -132,6 +132,21 @@ def lsh_search(vectors: DataFrame, queries: DataFrame, k: int, dim: int, tables:
     return top_k(met.select("query_id", "chunk_id", dot(F.col("q"), F.col("vector")).alias("score")), k)
 
 
+def _sparse_times(sizes: np.ndarray, columns: np.ndarray, values: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """A sparse matrix, given by the number of entries of each row, their columns and values, times x; some entries at a time."""
+    out, stops = np.zeros((len(sizes), x.shape[1])), np.cumsum(sizes)
+    row = 0
+    while row < len(sizes):
+        begin = stops[row] - sizes[row]
+        end = max(row + 1, int(np.searchsorted(stops, begin + 50_000, "right")))
+        own = np.flatnonzero(sizes[row:end]) + row
+        if len(own):
+            part = values[begin : stops[end - 1], None] * x[columns[begin : stops[end - 1]]]
+            out[own] = np.add.reduceat(part, stops[own] - sizes[own] - begin)
+        row = end
+    return out
+
+
 class LsaEncoder:
     """TF-IDF and a truncated SVD.  Vocabulary and document frequencies are counted over all documents; the SVD
     is fitted on the driver on a bounded sample; encodes anywhere."""
@@ -186,15 +201,17 @@ class LsaEncoder:
         self.dim = max(1, min(self.wanted, terms, len(rows)))
         width = min(terms, len(rows), self.dim + 8) or 1
         basis = np.random.default_rng(self.seed).normal(size=(terms, width))
+        sizes = np.array([len(at) for at, _ in rows], np.int64)
+        columns = np.concatenate([np.zeros(0, np.int64), *(at for at, _ in rows)])
+        values = np.concatenate([np.zeros(0), *(v for _, v in rows)])
+        numbers, by_term = np.repeat(np.arange(len(rows)), sizes), np.argsort(columns, kind="stable")
+        term_sizes = np.bincount(columns, minlength=terms)
 
         def times(x: np.ndarray) -> np.ndarray:
-            return np.stack([values @ x[at] if len(at) else np.zeros(x.shape[1]) for at, values in rows]) if rows else np.zeros((0, x.shape[1]))
+            return _sparse_times(sizes, columns, values, x)
 
         def back(y: np.ndarray) -> np.ndarray:
-            out = np.zeros((terms, y.shape[1]))
-            for (at, values), row in zip(rows, y, strict=True):
-                out[at] += np.outer(values, row)
-            return out
+            return _sparse_times(term_sizes, numbers[by_term], values[by_term], y)
 
         for _ in range(3):
             basis = np.linalg.qr(back(times(basis)))[0] if terms else basis

@@ -1,8 +1,15 @@
-"""BM25: postings as a table, and batches of queries answered by one join and one aggregation."""
+"""BM25: postings as a table, and batches of queries answered by one join and one aggregation.
+
+Terms are not equal: a few stand in most chunks.  So nothing here is dealt by term alone where all rows of a term would meet:
+frequencies are summed in the tasks first, heavy terms, which a sketch names in one pass, get theirs by broadcast, and
+stored postings lie in folders by a hash of the term, those of one folder in several files by chunk, each sorted by term."""
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Sequence
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,12 +19,23 @@ K1, B = 1.2, 0.75
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 
 
-def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """With a broadcast hint if a count of rows and of bytes of text shows that df is small."""
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether a count of rows and of bytes of text shows that df can be sent to all tasks."""
     texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema if f.dataType.simpleString() in ("string", "binary")]
     size = reduce(Column.__add__, texts, F.lit(0)).cast("long")
     found = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
-    return F.broadcast(df) if found.n <= rows and found.bytes <= BROADCAST_BYTES else df
+    return found.n <= rows and found.bytes <= BROADCAST_BYTES
+
+
+def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """With a broadcast hint if df is small."""
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
+def counted_terms(docs: DataFrame) -> DataFrame:
+    """docs: chunk_id and tokens.  chunk_id, term, tf, dl.  Token arrays are dealt by chunk_id, once; counting needs no further shuffle."""
+    rows = docs.select("chunk_id", F.size("tokens").alias("dl"), "tokens").repartition("chunk_id")
+    return rows.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -26,6 +44,7 @@ def term_frequencies(docs: DataFrame) -> DataFrame:
 
 
 def document_frequencies(frequencies: DataFrame) -> DataFrame:
+    """Summed in the tasks before anything is dealt by term."""
     return frequencies.groupBy("term").agg(F.count("*").alias("df"))
 
 
@@ -34,23 +53,46 @@ def corpus_statistics(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
 
 
-def _impact(k1: float, b: float):
+def _impact(k1: float, b: float, avgdl: Column | None = None) -> Column:
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    return idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / (F.col("avgdl") if avgdl is None else avgdl)))
+
+
+def _frequencies(counted: DataFrame) -> DataFrame:
+    """Rows by term.  They look at tf, though any row would count, so that both uses of counted have one exchange."""
+    return counted.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, F.lit(1).cast("long"))).alias("df"))
+
+
+#: Heavy terms are at most so many; a sketch of TRACKED terms finds all that make up one in TRACKED of the tokens.
+HEAVY_TERMS, TRACKED = 1_000, 10_000
+
+
+def heavy_terms(docs: DataFrame) -> list[str]:
+    """The terms that the most tokens have, by a sketch in one pass: every term with over one token in HEAVY_TERMS is there."""
+    terms = docs.select(F.explode("tokens").alias("term"))
+    return [x.item for x in terms.agg(F.expr(f"approx_top_k(term, {HEAVY_TERMS}, {TRACKED})").alias("found")).first().found]
 
 
 def postings(docs: DataFrame, terms: DataFrame | None = None, k1: float = K1, b: float = B) -> DataFrame:
     """chunk_id, term, tf, dl, df and impact.  With terms (a column term) only theirs: other tokens are left
     behind at the scan, before any shuffle, and the result is the same for queries of these terms.
 
-    Term counts are shuffled once: the document frequencies are summed from the same exchange, which is why
-    they look at tf, though any row would count."""
-    rows = docs.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    The frequencies of heavy terms are sent to their rows, which stay where they are; only the other terms' rows are
+    dealt by term, of which none has more than a small share."""
     if terms is not None:
-        rows = rows.join(small_or_shuffled(terms.select("term").distinct()), "term", "left_semi")
-    counted = rows.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
-    frequencies = counted.groupBy("term").agg(F.sum(F.when(F.col("tf") > 0, F.lit(1).cast("long"))).alias("df"))
-    whole = counted.join(frequencies, "term").crossJoin(F.broadcast(corpus_statistics(docs)))  # one row
+        asked = terms.select("term").distinct()
+        few = is_small(asked)  # and so are their frequencies
+        sent = F.broadcast if few else lambda df: df
+        rows = docs.select("chunk_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(sent(asked), "term", "left_semi")
+        counted = rows.groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
+        whole = counted.join(sent(_frequencies(counted)), "term")
+    else:
+        counted, heavy = counted_terms(docs), heavy_terms(docs)
+        known = _frequencies(counted)
+        is_heavy = F.col("term").isin(heavy) if heavy else F.lit(False)
+        whole = counted.filter(is_heavy).join(F.broadcast(known.filter(is_heavy)), "term")  # HEAVY_TERMS rows at most
+        whole = whole.unionByName(counted.filter(~is_heavy).join(known.filter(~is_heavy), "term"))
+    whole = whole.crossJoin(F.broadcast(corpus_statistics(docs)))  # one row
     return whole.select("chunk_id", "term", "tf", "dl", "df", _impact(k1, b).alias("impact"))
 
 
@@ -60,7 +102,8 @@ def score(postings_: DataFrame, weights: DataFrame, small: bool | None = None) -
     caller has seen whether weights can go to all tasks.
 
     Where they can, the postings of the queries' terms are dealt by chunk_id before they meet the queries, so that a task
-    sums up its chunks' scores for good, and what follows can cut them to the best before anything else is shuffled."""
+    sums up its chunks' scores for good, and what follows can cut them to the best before anything else is shuffled.  Where
+    they can't, both sides are dealt by term as they are, so that adaptive execution can split a common term's part."""
     if small is None:
         found = weights.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.sum(F.octet_length("term")).alias("bytes")).first()
         small = found.n <= BROADCAST_ROWS and (found.bytes or 0) <= BROADCAST_BYTES
@@ -70,7 +113,71 @@ def score(postings_: DataFrame, weights: DataFrame, small: bool | None = None) -
         met = dealt.join(F.broadcast(weights), "term")
     else:
         met = own.join(weights, "term")
-    return met.groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("weight") * F.col("impact")), 9).alias("score")).filter("score > 0")
+    return _summed(met.select("query_id", "chunk_id", (F.col("weight") * F.col("impact")).alias("part")))
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score")).filter("score > 0")
+
+
+#: Tokens of a version for each folder of its stored postings, and folders at most.
+TOKENS_PER_BUCKET, MOST_BUCKETS = 4_000_000, 4_096
+#: Terms of a batch of queries that are named to the scan one by one.
+NAMED_TERMS = 500
+
+
+class Statistics(NamedTuple):
+    """Of a stored version: chunks, their mean length, and folders of postings."""
+
+    version: str
+    n: int
+    avgdl: float
+    buckets: int
+
+
+def bucket_of(term: str, buckets: int) -> int:
+    return zlib.crc32(term.encode()) % buckets
+
+
+def bucketed(counted: DataFrame, buckets: int) -> DataFrame:
+    """counted (chunk_id, term, tf, dl) with bucket, dealt for storage: a folder's rows go to several tasks by chunk, so
+    that a common term is in several files, each in the order of terms."""
+    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(buckets)).cast("int")
+    parts = max(1, counted.sparkSession.sparkContext.defaultParallelism // buckets)
+    dealt = counted.withColumn("bucket", bucket).repartition(F.col("bucket"), F.pmod(F.xxhash64("chunk_id"), F.lit(parts)))
+    return dealt.sortWithinPartitions("bucket", "term", "chunk_id")
+
+
+def score_stored(stored: DataFrame, lexicon: DataFrame, about: Sequence[Statistics], weights: DataFrame, small: bool, k1: float = K1, b: float = B) -> DataFrame:
+    """As score(), over stored tables: postings (version, bucket, term, chunk_id, tf, dl) and lexicon (version, bucket, term, df).
+    Impacts are made of the rows that are read, so a version's postings hold no frequencies and were joined with none.
+
+    small: the weights can come to the driver.  Then only the folders of the queries' terms are read, and of these, if the terms
+    are few, only the pages in which they are."""
+    spark = stored.sparkSession
+    single = len(about) == 1
+    stored, lexicon = (df.filter(F.col("version").isin([a.version for a in about])) for df in (stored, lexicon))
+    if small:
+        rows = weights.select("query_id", "term", "weight").toArrow()
+        weights = spark.createDataFrame(rows.combine_chunks(), weights.select("query_id", "term", "weight").schema)
+        terms = sorted({t for t in rows["term"].to_pylist() if t is not None})
+        read = F.lit(False)
+        for buckets in sorted({a.buckets for a in about}):
+            versions = [a.version for a in about if a.buckets == buckets]
+            folders = sorted({bucket_of(t, buckets) for t in terms})
+            read = read | (F.col("version").isin(versions) & F.col("bucket").isin(folders)) if not single else F.col("bucket").isin(folders)
+        stored, lexicon = stored.filter(read), lexicon.filter(read)
+        if len(terms) <= NAMED_TERMS:
+            stored, lexicon = stored.filter(F.col("term").isin(terms)), lexicon.filter(F.col("term").isin(terms))
+    sizes = spark.createDataFrame([(a.version, a.n, a.avgdl or 1.0) for a in about], "version string, n long, avgdl double")  # a row a version
+    known = lexicon.select("version", "term", "df").join(F.broadcast(sizes), "version")
+    hint = F.broadcast if small else lambda df: df
+    asked = known.join(hint(weights), "term").select("version", "query_id", "term", "weight", "df", "n", "avgdl")
+    own = stored.select("version", "chunk_id", "term", "tf", "dl")
+    if small:
+        own = own.join(F.broadcast(weights.select("term").distinct()), "term", "left_semi").repartition("chunk_id")
+    met = own.join(hint(asked), ["version", "term"])
+    return _summed(met.select("query_id", "chunk_id", (F.col("weight") * _impact(k1, b)).alias("part")))
 
 
 def top_k(scored: DataFrame, k: int, by: str = "query_id") -> DataFrame:

@@ -133,7 +133,7 @@ def throughput(engine: Engine, queries: DataFrame, rounds: int = 3) -> list[dict
             "preprocess": lambda: understood,  # noqa: B023
             "embed": lambda: encoded,  # noqa: B023
             "dense": lambda: dense.search(tables["vectors"], encoded, settings["dense_top_k"]),  # noqa: B023
-            "bm25": lambda: lexical.top_k(lexical.score(tables["postings"], Q.term_weights(understood)), settings["bm25_top_k"]),  # noqa: B023
+            "bm25": lambda: lexical.top_k(lexical.score_stored(tables["postings"], tables["lexicon"], tables["statistics"], Q.term_weights(understood), True), settings["bm25_top_k"]),  # noqa: B023
             "candidates": lambda: engine.candidates(understood, tables, Options()),  # noqa: B023
             "total": lambda: engine.search(queries),
         }

@@ -1,7 +1,7 @@
 """The stored index: Parquet tables, partitioned by repository and version, and how they are built.
 
-Tables under one folder: chunks (with tokens), identifiers, vectors and postings by version; versions and
-version_files; and two caches, of parsed files by content and of vectors by unit.  A new version reuses the
+Tables under one folder: chunks (with the tokens of both texts), identifiers, vectors, postings (by a hash of the term too) and
+the lexicon of document frequencies by version; versions and version_files; and two caches, of parsed files by content and of vectors by unit.  A new version reuses the
 chunks of unchanged files, takes parsed files from the cache, and encodes only units without a vector."""
 
 from __future__ import annotations
@@ -47,11 +47,20 @@ class Store:
         reader = self.spark.read.schema(schema) if schema else self.spark.read
         return reader.parquet(f"{self.folder}/{table}")
 
-    def put(self, df: DataFrame, table: str) -> DataFrame:
-        """Replaces the versions that df has rows of, and no others."""
-        df.write.option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).mode("overwrite").parquet(f"{self.folder}/{table}")
+    def put(self, df: DataFrame, table: str, *more: str) -> DataFrame:
+        """Replaces the versions that df has rows of, and no others.  more: columns that part a version's rows."""
+        if more and self.exists(table):  # folders of the version that df has no rows for must go too
+            for row in df.select(*PARTS).limit(1).collect():
+                self.drop_version(table, *row)
+        df.write.option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS, *more).mode("overwrite").parquet(f"{self.folder}/{table}")
         return self.read(table)
 
+    def drop_version(self, table: str, repository: str, label: str) -> None:
+        paths = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        names = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+        place = paths(f"{self.folder}/{table}/{names.getPartitionPathString(PARTS[0], repository)}/{names.getPartitionPathString(PARTS[1], label)}")
+        place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
     def append(self, df: DataFrame, table: str, *parts: str) -> None:
         df.write.mode("append").partitionBy(*parts).parquet(f"{self.folder}/{table}")
 
@@ -84,7 +93,7 @@ class Store:
 
 def with_keys(chunks: DataFrame, mode: str) -> DataFrame:
     """Adds names, keys, an id that depends on the unit, its version and its place, and tokens."""
-    named = chunks.withColumns({"qualname": T.qualname(), "identity": T.identity(), "cache_key": T.cache_key(), "tokens": T.tokens(T.lexical_text(mode)), **ranking.feature_words()})
+    named = chunks.withColumns({"qualname": T.qualname(), "identity": T.identity(), "cache_key": T.cache_key(), "tokens": T.tokens(T.lexical_text(mode)), "dense_tokens": T.tokens(T.representation(mode)), **ranking.feature_words()})
     return named.withColumn("chunk_id", F.xxhash64("repository", "version", "identity", "chash", "start_line", "doc_id"))
 
 
@@ -157,7 +166,7 @@ def index_repository(
     stats |= _finish(store, stored, state.name, label, config, encoder)
     part = lambda df: df.withColumns({"repository": F.lit(state.name), "version": F.lit(label)})
     store.put(part(fitting), "version_files")
-    row = (state.name, label, state.commit, state.timestamp, stats["chunks"], stats["embedder"], mode, stats["base"], int(time.time() * 1e6))
+    row = (state.name, label, state.commit, state.timestamp, stats["chunks"], stats["embedder"], mode, stats["base"], int(time.time() * 1e6), stats.pop("avgdl"), stats.pop("buckets"))
     store.append(spark.createDataFrame([row], VERSIONS), "versions")
     for table in (files, fitting):
         table.unpersist()
@@ -167,7 +176,7 @@ def index_repository(
 def _finish(store: Store, chunks: DataFrame, repository: str, label: str, config: dict[str, Any], encoder: Encoder | None = None) -> dict[str, Any]:
     """Vectors, postings and identifiers of stored chunks."""
     settings, mode = config["embedding_model"], config["representation"]
-    texts = chunks.select("chunk_id", "cache_key", T.tokens(T.representation(mode)).alias("tokens"))
+    texts = chunks.select("chunk_id", "cache_key", F.col("dense_tokens").alias("tokens"))
     encoder = encoder or store.load_encoder(settings)
     if encoder is None:
         encoder = load_encoder(settings).fit(texts)
@@ -183,9 +192,13 @@ def _finish(store: Store, chunks: DataFrame, repository: str, label: str, config
     vectors = texts.select("chunk_id", "cache_key").join(again.groupBy("cache_key").agg(F.first("vector").alias("vector")), "cache_key").select("chunk_id", "vector")
     part = lambda df: df.withColumns({"repository": F.lit(repository), "version": F.lit(label)})
     store.put(part(vectors), "vectors")
-    store.put(part(lexical.postings(chunks.select("chunk_id", "tokens"))), "postings")
+    sizes = lexical.corpus_statistics(chunks.select("tokens")).first()
+    buckets = max(1, min(lexical.MOST_BUCKETS, round(sizes.n * (sizes.avgdl or 0)) // lexical.TOKENS_PER_BUCKET))
+    store.put(part(lexical.bucketed(lexical.counted_terms(chunks.select("chunk_id", "tokens")), buckets)), "postings", "bucket")
+    frequencies = store.version("postings", repository, label).groupBy("bucket", "term").agg(F.count("*").alias("df"))
+    store.put(part(frequencies.sortWithinPartitions("bucket", "term")), "lexicon", "bucket")
     store.put(part(identifiers.build(chunks)), "identifiers")
-    return counts | {"embeddings_cached": counts["chunks"] - counts["embeddings_computed"], "embedder": name}
+    return counts | {"embeddings_cached": counts["chunks"] - counts["embeddings_computed"], "embedder": name, "avgdl": sizes.avgdl, "buckets": buckets}
 
 
 def index_dataset(spark: SparkSession, corpus: DataFrame, name: str, config: dict[str, Any] | None = None, version: str = "v1", encoder: Encoder | None = None) -> dict[str, Any]:
@@ -201,7 +214,7 @@ def index_chunks(spark: SparkSession, chunks: DataFrame, name: str, version: str
     store = Store(spark, config["index"]["dir"])
     stored = store.put(with_keys(chunks, config["representation"]), "chunks").filter((F.col("repository") == name) & (F.col("version") == version))
     stats = _finish(store, stored, name, version, config, encoder)
-    row = (name, version, version, timestamp, stats["chunks"], stats["embedder"], config["representation"], None, int(time.time() * 1e6))
+    row = (name, version, version, timestamp, stats["chunks"], stats["embedder"], config["representation"], None, int(time.time() * 1e6), stats.pop("avgdl"), stats.pop("buckets"))
     store.append(spark.createDataFrame([row], VERSIONS), "versions")
     return stats | {"label": version}
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.config import load_config
@@ -92,12 +92,15 @@ class Engine:
         found = understood.agg(F.count("*").alias("n"), F.coalesce(F.sum(words), F.lit(0)).alias("words")).first()
         return found.n * self.config["retrieval"]["candidate_size"] * versions_ <= SMALL_BATCH and found.words <= SMALL_BATCH
 
-    def _tables(self, label: str | None) -> dict[str, DataFrame]:
-        names = ("chunks", "postings", "identifiers", "vectors")
+    def _tables(self, label: str | None, known: list[Row] | None = None) -> dict[str, Any]:
+        """The tables of a version or of all, and under statistics what BM25 needs to know of each.  known: the rows of versions()."""
+        names = ("chunks", "postings", "lexicon", "identifiers", "vectors")
         own = {n: self.store.read(n).filter(F.col("repository") == self.repository) for n in names}
-        return own if label is None else {n: df.filter(F.col("version") == label) for n, df in own.items()}
+        found = own if label is None else {n: df.filter(F.col("version") == label) for n, df in own.items()}
+        known = self.versions().collect() if known is None else known  # a row a version
+        return found | {"statistics": [lexical.Statistics(r.label, r.n_chunks, r.avgdl, r.buckets) for r in known if label in (None, r.label)]}
 
-    def candidates(self, understood: DataFrame, tables: dict[str, DataFrame], options: Options, versions_: int = 1, small: bool = False, whole: bool = False) -> DataFrame:
+    def candidates(self, understood: DataFrame, tables: dict[str, Any], options: Options, versions_: int = 1, small: bool = False, whole: bool = False) -> DataFrame:
         """whole: all that a channel found, without a cut of the fused list.  Over several versions each channel gives so many times its candidates: a unit has a copy in each at most, so that
         as many units come as from one version."""
         settings = self.config["retrieval"]
@@ -106,7 +109,7 @@ class Engine:
             asked = self.encoder.encode(understood.select("query_id", T.tokens(F.col("dense_text")).alias("tokens")), ["query_id"])
             channels["dense"] = dense.search(tables["vectors"], asked, settings["dense_top_k"] * versions_).filter("score > 0")
         if options.use_bm25:
-            channels["bm25"] = lexical.top_k(lexical.score(tables["postings"], Q.term_weights(understood), small), settings["bm25_top_k"] * versions_)
+            channels["bm25"] = lexical.top_k(lexical.score_stored(tables["postings"], tables["lexicon"], tables["statistics"], Q.term_weights(understood), small), settings["bm25_top_k"] * versions_)
         if options.use_identifier:
             channels["identifier"] = lexical.top_k(identifiers.search(tables["identifiers"], understood, small), settings["identifier_top_k"] * versions_)
         on = (options.use_dense, options.use_bm25, options.use_identifier)
@@ -114,12 +117,12 @@ class Engine:
         weighed = understood.select("query_id", Q.channel_weights(F.col("category"), base, on, settings["category_weights"]).alias("weights"))
         return fusion.fuse(fusion.gather(channels), weighed, 2**31 - 1 if whole else settings["candidate_size"] * versions_, settings["fusion"], small)
 
-    def featured(self, understood: DataFrame, tables: dict[str, DataFrame], options: Options, keep: tuple[str, ...] = (), versions_: int = 1, whole: bool = False) -> DataFrame:
+    def featured(self, understood: DataFrame, tables: dict[str, Any], options: Options, keep: tuple[str, ...] = (), versions_: int = 1, whole: bool = False) -> DataFrame:
         small = self._small(understood, versions_) and not whole
         found = self.candidates(understood, tables, options, versions_, small, whole)
         return ranking.features(found, tables["chunks"], understood, options.use_structural and self.config["ranking"]["use_structural"], keep, small)
 
-    def _ranked(self, understood: DataFrame, tables: dict[str, DataFrame], options: Options, keep: tuple[str, ...], versions_: int) -> DataFrame:
+    def _ranked(self, understood: DataFrame, tables: dict[str, Any], options: Options, keep: tuple[str, ...], versions_: int) -> DataFrame:
         rows, settings = self.featured(understood, tables, options, keep, versions_), self.config["ranking"]
         top_n = settings["rerank_top_n"] * versions_
         if not options.use_rerank or settings["reranker"] == "none":
@@ -138,7 +141,7 @@ class Engine:
         label = None if whole else versions.resolve(known, version)
         searched = [row for row in known if whole or row.label == label]
         checked_versions(searched, self.encoder)
-        tables = self._tables(label)
+        tables = self._tables(label, known)
         understood = self.understand(queries, options)
         collapsed = whole and not history and self.config["dedup"]["enabled"]
         rows = self._ranked(understood, tables, options, (*ABOUT, "code") if collapsed else ABOUT, len(searched)).join(understood.select("query_id", "category"), "query_id")
