@@ -45,6 +45,8 @@ CHUNK_BITS = 16
 BLOCK_BYTES = 1 << 21
 #: Phrases that a task counts before it hands them on.
 HELD = 500_000
+#: Splits of the table that a task takes one after the other, where there are more than cores: what they share is added up there.
+SPLITS_PER_TASK = 8
 
 BLANK, SEPARATOR = b" ."
 WORD_END = re.compile(rb"[ .]")
@@ -256,6 +258,8 @@ def frequencies(docs: DataFrame, longest: int = LONGEST, min_count: int = MIN_CO
     """lang, k, phrase, f: all phrases of 1 to longest words that occur min_count times or more in their language, exactly
     counted, and with k = 0 the number of all its words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
+    splits = texts.rdd.getNumPartitions()
+    texts = texts.coalesce(min(splits, max(texts.sparkSession.sparkContext.defaultParallelism, -(-splits // SPLITS_PER_TASK)))) if splits else texts
     if bits is None:
         size = texts.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
         bits = min(max((size // BYTES_PER_CELL).bit_length(), LEAST_BITS), MOST_BITS)
