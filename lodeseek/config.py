@@ -13,6 +13,7 @@ DEFAULTS: dict[str, Any] = {
     "chunking": {"max_chunk_lines": 60, "max_file_bytes": 1_000_000},
     "query": {"expand_concepts": True, "classify": True},
     "retrieval": {"dense_top_k": 100, "bm25_top_k": 100, "identifier_top_k": 50, "candidate_size": 100, "dense_weight": 0.55, "bm25_weight": 0.30, "identifier_weight": 0.15, "fusion": "weighted", "category_weights": True},
+    "vector_index": {"ann": "none", "flat_threshold": 2000, "recall": 0.95},
     "index": {"dir": "indexes"},
     "ranking": {"reranker": "linear", "rerank_top_n": 50, "weights": {"semantic": 0.50, "bm25": 0.20, "identifier": 0.10, "metadata": 0.10, "structural": 0.10}, "use_structural": True},
     "dedup": {"enabled": True, "similarity_threshold": 0.90},

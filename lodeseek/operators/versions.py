@@ -15,6 +15,12 @@ def diff(base: DataFrame, now: DataFrame) -> DataFrame:
     return a.join(b, "path", "full").select("path", change.alias("change")).filter("change is not null")
 
 
+def all_changes(by_blob: DataFrame, by_git: DataFrame) -> DataFrame:
+    """Both: path and change.  Each path that either has; where they differ, what the contents say counts."""
+    own, other = by_blob.select("path", "change"), by_git.select("path", F.col("change").alias("told"))
+    return own.join(other.groupBy("path").agg(F.min("told").alias("told")), "path", "full").select("path", F.coalesce("change", "told").alias("change"))
+
+
 def reused_chunks(chunks: DataFrame, now: DataFrame, changes: DataFrame, commit: str, version: str, timestamp: float) -> DataFrame:
     """Chunks of the base version whose files are still there and unchanged, under the new version's name."""
     kept = chunks.join(now.select(F.col("path").alias("file")), "file", "left_semi").join(changes.select(F.col("path").alias("file")), "file", "left_anti")

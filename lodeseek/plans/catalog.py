@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions import query as Q
 from lodeseek.functions import text as T
-from lodeseek.operators import dedup, dense, evaluation, fusion, identifiers, lexical, ranking, versions
+from lodeseek.operators import dedup, dense, evaluation, fusion, identifiers, ivf, lambdamart, lexical, ranking, versions
 from lodeseek.sources import chunker, dataset
-from lodeseek.sources.scan import spread
+from lodeseek.sources.scan import shared_folder, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 CATALOG: dict[str, Query] = {}
@@ -233,6 +233,21 @@ def bm25_topk(spark, sf_dir):
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+@query
+def bm25_stored_topk(spark, sf_dir):
+    """The same from stored postings and a lexicon: only folders of the queries' terms are read."""
+    docs, folder = _corpus(spark, sf_dir), shared_folder(spark, "postings")
+    sizes = lexical.corpus_statistics(docs).first()
+    buckets = max(1, min(lexical.MOST_BUCKETS, round(sizes.n * (sizes.avgdl or 0)) // lexical.TOKENS_PER_BUCKET + 3))
+    stored = lexical.bucketed(lexical.counted_terms(docs), buckets).withColumn("version", F.lit("v1"))
+    stored.write.partitionBy("version", "bucket").parquet(f"{folder}/postings")
+    stored = spark.read.parquet(f"{folder}/postings")
+    stored.groupBy("version", "bucket", "term").agg(F.count("*").alias("df")).write.partitionBy("version", "bucket").parquet(f"{folder}/lexicon")
+    about, asked = [lexical.Statistics("v1", sizes.n, sizes.avgdl, buckets)], _asked(spark, sf_dir)
+    found = lexical.top_k(lexical.score_stored(stored, spark.read.parquet(f"{folder}/lexicon"), about, asked, lexical.is_small(asked)), 10)
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query
 def query_term_weights(spark, sf_dir):
     return Q.term_weights(_understood(spark, sf_dir))
@@ -327,6 +342,13 @@ def lsh_topk(spark, sf_dir):
     return dense.lsh_search(_vectors(spark, sf_dir), _query_vectors(spark, sf_dir), 10, 64).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query
+def ivf_topk(spark, sf_dir):
+    """From a stored inverted file, which is made first; how many cells are probed is measured there."""
+    index = ivf.build(_vectors(spark, sf_dir), shared_folder(spark, "cells"))
+    return ivf.search(index, spark, _query_vectors(spark, sf_dir), 10).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @query
 def lsa_encode(spark, sf_dir):
     docs = _corpus(spark, sf_dir)
@@ -387,11 +409,34 @@ def rerank_features(spark, sf_dir):
     return ranked.select("query_id", "chunk_id", "rank", *(F.round(f, 6).alias(f) for f in ranking.FEATURES), ranking.explanation().alias("why"))
 
 
+def _graded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of the fused candidates, and as label whether the document holds the item's text, which is in no feature."""
+    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    featured = ranking.features(_fused(spark, sf_dir, "weighted"), _chunks(spark, sf_dir), Q.understand(items))
+    held = contained_benchmark(spark, sf_dir).select("query_id", F.col("doc_id").alias("chunk_id"), F.lit(1.0).alias("label"))
+    return featured.join(held, ["query_id", "chunk_id"], "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
+
+
 @query
 def gbt_rerank(spark, sf_dir):
-    items = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    featured = ranking.features(_fused(spark, sf_dir, "weighted"), _chunks(spark, sf_dir), Q.understand(items)).withColumn("label", (F.col("bm25") > 0.9).cast("double"))
-    return ranking.TreeReranker().train(featured, trees=3, depth=2).rerank(featured, 10).select("query_id", "chunk_id", "rank")
+    graded = _graded(spark, sf_dir)
+    return ranking.TreeReranker().train(graded, trees=3, depth=2).rerank(graded, 10).select("query_id", "chunk_id", "rank")
+
+
+@query
+def lambdamart_rerank(spark, sf_dir):
+    graded = _graded(spark, sf_dir).persist()
+    return lambdamart.ListwiseReranker().train(graded, trees=3, depth=2).rerank(graded, 10).select("query_id", "chunk_id", "rank")
+
+
+@query
+def listwise_lambdas(spark, sf_dir):
+    """By how much the listwise loss would move each candidate of BM25 that stands too low or too high."""
+    run = lexical.search(_corpus(spark, sf_dir), _asked(spark, sf_dir), 30).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
+    held = contained_benchmark(spark, sf_dir).select("query_id", F.col("doc_id").alias("chunk_id"), F.lit(1.0).alias("label"))
+    rows = run.join(held, ["query_id", "chunk_id"], "left").withColumn("label", F.coalesce("label", F.lit(0.0)))
+    found = lambdamart.lambdas(lambdamart.with_ideal(rows, "label", 10))
+    return found.select("query_id", "chunk_id", *((F.round(c, 5) + F.lit(0.0)).alias(c) for c in ("gradient", "curvature")))  # without negative zeros
 
 
 @query
@@ -461,8 +506,15 @@ def dedup_identity(spark, sf_dir):
 
 @query
 def dedup_rename(spark, sf_dir):
+    """In the second version units with an id that leaves 0 to 2 by ten are renamed: those with 0 alone are found again,
+    as 1 also got another vector and 2 another body.  A unit's vector is one of the table's."""
     chunks = _chunks(spark, sf_dir).select(F.col("chunk_id").alias("unit"), "code", "file")
-    rows = _versioned(spark, sf_dir).withColumn("unit", F.expr("chunk_id div 2")).join(chunks, "unit").withColumn("vector", F.array(F.lit(1.0), F.lit(0.0)))
+    rows = _versioned(spark, sf_dir).withColumn("unit", F.expr("chunk_id div 2")).join(chunks, "unit")
+    edited = lambda least: (F.col("version") == "v2") & (F.pmod("unit", F.lit(10)).isin(least))
+    renamed = {c: F.when(edited([0, 1, 2]), F.concat(F.lit("new_"), c)).otherwise(F.col(c)) for c in ("function", "identity")}
+    place = F.pmod(F.col("unit") + F.when(edited([1]), 1).otherwise(0), F.lit(500))
+    rows = rows.withColumns({**renamed, "code": F.when(edited([2]), F.lit("nothing of it is left")).otherwise(F.col("code")), "vec_id": place})
+    rows = rows.join(_read(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector")), "vec_id")
     return dedup.collapse_versions(rows).select("query_id", "chunk_id", _joined("also_in"))
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from lodeseek.config import load_config
 from lodeseek.functions import query as Q
 from lodeseek.functions import text as T
-from lodeseek.operators import dense, evaluation, lexical, ranking, versions
+from lodeseek.operators import dense, evaluation, lambdamart, lexical, ranking, versions
 from lodeseek.plans.index import index_chunks, index_dataset
 from lodeseek.plans.search import PRESETS, Engine, Options
 from lodeseek.sources.dataset import Dataset
@@ -35,8 +35,8 @@ def _measured(engine: Engine, queries: DataFrame, qrels: DataFrame, options: Opt
 
 
 def ablation(spark: SparkSession, dataset: Dataset, folder: str, presets: dict[str, Options] = PRESETS, representations: tuple[str, ...] = ("contextual",), learned: bool = False, seed: int = 0) -> Iterator[dict[str, Any]]:
-    """A row of measures for each representation and preset.  learned: measured on the test half, with two more rows, of
-    tuned weights and of trained trees, for which the validation half serves."""
+    """A row of measures for each representation and preset.  learned: measured on the test half, with three more rows, of
+    tuned weights and of pointwise and listwise trees, for which the validation half serves."""
     for mode in representations:
         config = load_config(overrides={"index.dir": f"{folder}/{mode}", "representation": mode})
         began = time.time()
@@ -49,8 +49,9 @@ def ablation(spark: SparkSession, dataset: Dataset, folder: str, presets: dict[s
         if learned:
             tuned = load_config(overrides={"index.dir": f"{folder}/{mode}", "representation": mode, **tuned_weights(engine, dataset, seed=seed)})
             yield about | {"approach": "tuned"} | _measured(Engine(spark, dataset.name, tuned), asked, dataset.qrels, Options())
-            trees = trained_reranker(engine, dataset, seed)
-            yield about | {"approach": "trees"} | _measured(Engine(spark, dataset.name, config, trees), asked, dataset.qrels, Options())
+            for kind, reranker in (("trees", ranking.TreeReranker()), ("listwise", lambdamart.ListwiseReranker())):
+                trained = trained_reranker(engine, dataset, seed, reranker)
+                yield about | {"approach": kind} | _measured(Engine(spark, dataset.name, config, trained), asked, dataset.qrels, Options())
 
 
 #: Parameters of the Dirichlet draws of channel weights and of the linear reranker's weights.
@@ -86,14 +87,15 @@ def tuned_weights(engine: Engine, dataset: Dataset, trials: int = 30, seed: int
     return {f"retrieval.{c}_weight": x for c, x in zip(CHANNEL_PRIOR, best[1 : n + 1], strict=True)} | {"ranking.weights": dict(zip(FEATURE_PRIOR, best[n + 1 :], strict=True))}
 
 
-def trained_reranker(engine: Engine, dataset: Dataset, seed: int = 0) -> ranking.TreeReranker:
-    """Trees on the validation half's candidates, labelled by the judgements."""
+def trained_reranker(engine: Engine, dataset: Dataset, seed: int = 0, reranker: Any = None) -> Any:
+    """The reranker (LambdaMART, if none is given) trained on the validation half's candidates, labelled by the judgements."""
+    reranker = reranker or lambdamart.ListwiseReranker()
     validation, _ = split_queries(dataset.queries, seed)
     tables = engine._tables(engine.versions().collect()[-1].label)
     featured = engine.featured(engine.understand(validation), tables, Options())
     judged = dataset.qrels.select("query_id", F.col("doc_id").cast("string").alias("doc_id"), "rel")
     labelled = featured.join(tables["chunks"].select("chunk_id", "doc_id"), "chunk_id").join(judged, ["query_id", "doc_id"], "left").withColumn("label", F.coalesce("rel", F.lit(0)))
-    return ranking.TreeReranker().train(labelled)
+    return reranker.train(labelled)
 
 
 def version_experiment(spark: SparkSession, units: DataFrame, queries: DataFrame, folder: str, share: float = 0.3, seed: int = 0) -> dict[str, float]:

@@ -19,10 +19,11 @@ from lodeseek.config import load_config
 from lodeseek.errors import IndexNotFoundError, LodeseekError, MissingEmbeddingsError
 from lodeseek.functions import text as T
 from lodeseek.functions.schemas import CACHE, CHUNK_FIELDS, CHUNKS, VERSIONS
-from lodeseek.operators import identifiers, lexical, ranking, versions
+from lodeseek.operators import identifiers, ivf, lexical, ranking, versions
 from lodeseek.operators.dense import Encoder, LsaEncoder, load_encoder
+from lodeseek.sources import git_source
 from lodeseek.sources.chunker import chunk_files, document_chunks
-from lodeseek.sources.repository import Snapshot, list_files, read_files, supported, take_snapshot
+from lodeseek.sources.repository import WORKTREE, Snapshot, has_commit, list_files, read_files, supported, take_snapshot
 from lodeseek.sources.scan import spread
 
 PARTS = ("repository", "version")
@@ -55,10 +56,16 @@ class Store:
         df.write.option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS, *more).mode("overwrite").parquet(f"{self.folder}/{table}")
         return self.read(table)
 
-    def drop_version(self, table: str, repository: str, label: str) -> None:
-        paths = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    def _part(self, repository: str, label: str) -> str:
         names = self.spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
-        place = paths(f"{self.folder}/{table}/{names.getPartitionPathString(PARTS[0], repository)}/{names.getPartitionPathString(PARTS[1], label)}")
+        return "/".join(names.getPartitionPathString(c, v) for c, v in zip(PARTS, (repository, label), strict=True))
+
+    def cells(self, repository: str, label: str) -> str:
+        """The folder of a version's inverted file, if it has one."""
+        return f"{self.folder}/cells/{self._part(repository, label)}"
+
+    def drop_version(self, table: str, repository: str, label: str) -> None:
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{table}/{self._part(repository, label)}")
         place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
     def append(self, df: DataFrame, table: str, *parts: str) -> None:
@@ -152,6 +159,8 @@ def index_repository(
     before = None if full else _base_version(store.versions(state.name), label, state.commit, base)
     if before is not None:
         changes = versions.diff(store.version("version_files", state.name, before.label).select("path", "blob"), fitting)
+        if WORKTREE not in (state.commit, before.commit) and has_commit(state, before.commit):
+            changes = versions.all_changes(changes, git_source.changes(spark, state.folder, before.commit, state.commit))
         old = store.version("chunks", state.name, before.label).select(*(f.split()[0] for f in CHUNKS.split(", ")))
         reused = versions.reused_chunks(old, fitting, changes, state.commit, label, state.timestamp)
         todo = small.join(changes.select("path"), "path", "left_semi")
@@ -192,6 +201,10 @@ def _finish(store: Store, chunks: DataFrame, repository: str, label: str, config
     vectors = texts.select("chunk_id", "cache_key").join(again.groupBy("cache_key").agg(F.first("vector").alias("vector")), "cache_key").select("chunk_id", "vector")
     part = lambda df: df.withColumns({"repository": F.lit(repository), "version": F.lit(label)})
     store.put(part(vectors), "vectors")
+    wanted = config["vector_index"]
+    store.drop_version("cells", repository, label)
+    if wanted["ann"] == "ivf" and counts["chunks"] > wanted["flat_threshold"]:
+        ivf.build(store.version("vectors", repository, label), store.cells(repository, label), recall=wanted["recall"])
     sizes = lexical.corpus_statistics(chunks.select("tokens")).first()
     buckets = max(1, min(lexical.MOST_BUCKETS, round(sizes.n * (sizes.avgdl or 0)) // lexical.TOKENS_PER_BUCKET))
     store.put(part(lexical.bucketed(lexical.counted_terms(chunks.select("chunk_id", "tokens")), buckets)), "postings", "bucket")

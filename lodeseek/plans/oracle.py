@@ -168,6 +168,45 @@ VERSIONED = f"""{SCORED}, {_best('scored', 10, 'top')}, versioned AS (
 ), merged AS (
   SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, version, rank, chunk_id) AS place FROM versioned
 )"""
+RENAMED = f"""WITH RECURSIVE {VERSIONED}, units AS (
+  SELECT v.query_id, v.chunk_id, v.score, v.version, v.chunk_id // 2 AS unit, v.version = 'v2' AND (v.chunk_id // 2) % 10 < 3 AS edited, v.function, v.identity FROM versioned v
+), named AS (
+  SELECT u.query_id, u.chunk_id, u.version, CASE WHEN edited THEN 'new_' ELSE '' END || u.function AS function, CASE WHEN edited THEN 'new_' ELSE '' END || u.identity AS identity,
+    concat_ws('/', 'src', d.source, d.lang, 'FileNo' || d.doc_id || '.py') AS file,
+    CASE WHEN edited AND unit % 10 = 2 THEN 'nothing of it is left' ELSE coalesce(d.text, '') END AS code,
+    (unit + CASE WHEN edited AND unit % 10 = 1 THEN 1 ELSE 0 END) % 500 AS vec_id, row_number() OVER (PARTITION BY u.query_id ORDER BY u.score DESC, u.chunk_id) AS place
+  FROM units u JOIN documents d ON d.doc_id = unit
+), bodied AS (
+  SELECT n.*, e.embedding::DOUBLE[] AS vector, list_distinct(list_filter({WORDS.format('n.code')}, lambda w: w <> lower(n.function))) AS body FROM named n JOIN embeddings e USING (vec_id)
+), matches AS (
+  SELECT b.query_id, b.place, list(a.place ORDER BY a.place) AS earlier FROM bodied a JOIN bodied b ON a.query_id = b.query_id AND a.place < b.place
+    AND (a.identity = b.identity OR a.file = b.file AND a.version <> b.version AND list_inner_product(a.vector, b.vector) >= 0.9
+      AND (len(a.body) + len(b.body) = 0 OR len(list_intersect(a.body, b.body)) / (len(a.body) + len(b.body) - len(list_intersect(a.body, b.body)))::DOUBLE >= 0.6)) GROUP BY ALL
+), listed AS (
+  SELECT n.query_id, n.place, coalesce(m.earlier, []) AS earlier FROM named n LEFT JOIN matches m USING (query_id, place)
+), walk AS (
+  SELECT query_id, 1::BIGINT AS place, [1::BIGINT] AS kept, NULL::BIGINT AS home FROM listed WHERE place = 1
+  UNION ALL
+  SELECT w.query_id, l.place, CASE WHEN list_has_any(l.earlier, w.kept) THEN w.kept ELSE list_append(w.kept, l.place) END,
+    CASE WHEN list_has_any(l.earlier, w.kept) THEN list_min(list_intersect(l.earlier, w.kept)) END
+  FROM walk w JOIN listed l ON l.query_id = w.query_id AND l.place = w.place + 1
+), absorbed AS (
+  SELECT w.query_id, w.home, string_agg(n.version || ':' || n.function, ',' ORDER BY n.place) AS also_in FROM walk w JOIN named n USING (query_id, place) WHERE home IS NOT NULL GROUP BY ALL
+)
+SELECT n.query_id, n.chunk_id, coalesce(a.also_in, '') AS also_in FROM walk w JOIN named n USING (query_id, place) LEFT JOIN absorbed a ON a.query_id = w.query_id AND a.home = w.place WHERE w.home IS NULL"""
+LAMBDAS = f"""WITH {SCORED}, {_best('scored', 30, 'run')}, {CONTAINED}, graded AS (
+  SELECT r.query_id, r.chunk_id, round(r.score, 6) AS score, CASE WHEN c.doc_id IS NULL THEN 0.0 ELSE 1.0 END AS label FROM run r LEFT JOIN contained c ON c.query_id = r.query_id AND c.doc_id = r.chunk_id
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS place, row_number() OVER (PARTITION BY query_id ORDER BY label DESC, chunk_id) AS best FROM graded
+), discounted AS (
+  SELECT *, CASE WHEN place <= 10 THEN 1 / log2(place + 1) ELSE 0 END AS discount, sum(CASE WHEN best <= 10 THEN label / log2(best + 1) ELSE 0 END) OVER (PARTITION BY query_id) AS ideal FROM placed
+), pairs AS (
+  SELECT h.query_id, h.chunk_id AS high, l.chunk_id AS low, 1 / (1 + exp(h.score - l.score)) AS rho, abs(h.discount - l.discount) / h.ideal AS change
+  FROM discounted h JOIN discounted l ON h.query_id = l.query_id AND h.label > l.label
+), moved AS (
+  SELECT query_id, high AS chunk_id, rho * change AS g, rho * (1 - rho) * change AS h FROM pairs UNION ALL SELECT query_id, low, -rho * change, rho * (1 - rho) * change FROM pairs
+)
+SELECT d.query_id, d.chunk_id, round(coalesce(sum(m.g), 0.0), 5) + 0.0::DOUBLE AS gradient, round(coalesce(sum(m.h), 0.0), 5) + 0.0::DOUBLE AS curvature FROM discounted d LEFT JOIN moved m USING (query_id, chunk_id) GROUP BY d.query_id, d.chunk_id"""
 _weights = "CASE category " + " ".join(f"WHEN '{n}' THEN [{', '.join(str(a * b) for a, b in zip(f, (0.55, 0.30, 0.15), strict=True))}]" for n, f in Q.CATEGORY_FACTORS.items()) + " END"
 COSINE = "SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0"
 
@@ -219,6 +258,9 @@ ORACLE: dict[str, str] = {
     "latest_version": "SELECT repository, label, commit, timestamp FROM (SELECT o_custkey::VARCHAR AS repository, o_orderkey::VARCHAR AS label, o_orderstatus AS commit, round(o_totalprice, -4) AS timestamp, row_number() OVER (PARTITION BY o_custkey ORDER BY round(o_totalprice, -4) DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1",
     "cross_version_merge": f"WITH {VERSIONED} SELECT query_id, chunk_id, version, place AS rank FROM merged WHERE place <= 12",
     "dedup_identity": f"WITH {VERSIONED}, o AS (SELECT *, row_number() OVER (PARTITION BY query_id, identity ORDER BY score DESC, chunk_id) AS n FROM versioned) SELECT query_id, identity, min(chunk_id) FILTER (n = 1) AS chunk_id, coalesce(string_agg(version || ':' || function, ',' ORDER BY n) FILTER (n > 1), '') AS also_in FROM o GROUP BY query_id, identity",
+    "dedup_rename": RENAMED,
+    "bm25_stored_topk": f"WITH {SCORED}, {_best('scored', 10, 'best')} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM best",
+    "listwise_lambdas": LAMBDAS,
     "duplicate_rate": f"WITH {VERSIONED} SELECT query_id, round((count(*) - count(DISTINCT identity)) / 10.0::DOUBLE, 6) AS duplicate_rate FROM merged WHERE place <= 10 GROUP BY query_id",
     "evaluation_per_query": f"WITH {JUDGED} SELECT query_id, round(coalesce(ndcg, 0.0), 6) AS ndcg, round(coalesce(mrr, 0.0), 6)::DOUBLE AS mrr, round(coalesce(recall, 0.0), 6) AS recall FROM ({_measures(10)})",
     "evaluation_means": f"WITH {JUDGED}, ten AS ({_measures(10)}), hundred AS ({_measures(100)}) SELECT count(*) AS n_queries, round(avg(coalesce(ten.ndcg, 0)), 6) AS ndcg_at_10, round(avg(coalesce(ten.mrr, 0)), 6) AS mrr_at_10, round(avg(coalesce(ten.recall, 0)), 6) AS recall_at_10, round(avg(coalesce(hundred.recall, 0)), 6) AS recall_at_100 FROM ten JOIN hundred USING (query_id)",

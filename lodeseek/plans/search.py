@@ -12,7 +12,7 @@ from lodeseek.config import load_config
 from lodeseek.errors import EmptyQueryError, IndexNotFoundError
 from lodeseek.functions import query as Q
 from lodeseek.functions import text as T
-from lodeseek.operators import dedup, dense, fusion, identifiers, lexical, ranking, versions
+from lodeseek.operators import dedup, dense, fusion, identifiers, ivf, lexical, ranking, versions
 from lodeseek.plans.index import Store, checked_versions
 
 #: Candidates, terms and names of a batch of queries that may be sent to all tasks.
@@ -100,6 +100,15 @@ class Engine:
         known = self.versions().collect() if known is None else known  # a row a version
         return found | {"statistics": [lexical.Statistics(r.label, r.n_chunks, r.avgdl, r.buckets) for r in known if label in (None, r.label)]}
 
+    def _nearest(self, tables: dict[str, Any], asked: DataFrame, k: int) -> DataFrame:
+        """Exact; or, of a single version that has one, by its inverted file."""
+        labels = [a.version for a in tables["statistics"]]
+        if self.config["vector_index"]["ann"] == "ivf" and len(labels) == 1:
+            part = self.store.cells(self.repository, labels[0])
+            if self.store.exists(part.removeprefix(f"{self.store.folder}/")):
+                return ivf.search(ivf.load(self.spark, part), self.spark, asked, k)
+        return dense.search(tables["vectors"], asked, k)
+
     def candidates(self, understood: DataFrame, tables: dict[str, Any], options: Options, versions_: int = 1, small: bool = False, whole: bool = False) -> DataFrame:
         """whole: all that a channel found, without a cut of the fused list.  Over several versions each channel gives so many times its candidates: a unit has a copy in each at most, so that
         as many units come as from one version."""
@@ -107,7 +116,7 @@ class Engine:
         channels: dict[str, DataFrame] = {}
         if options.use_dense:
             asked = self.encoder.encode(understood.select("query_id", T.tokens(F.col("dense_text")).alias("tokens")), ["query_id"])
-            channels["dense"] = dense.search(tables["vectors"], asked, settings["dense_top_k"] * versions_).filter("score > 0")
+            channels["dense"] = self._nearest(tables, asked, settings["dense_top_k"] * versions_).filter("score > 0")
         if options.use_bm25:
             channels["bm25"] = lexical.top_k(lexical.score_stored(tables["postings"], tables["lexicon"], tables["statistics"], Q.term_weights(understood), small), settings["bm25_top_k"] * versions_)
         if options.use_identifier:

@@ -281,6 +281,44 @@ def test_dataset_round_trip_and_evaluation(spark, tmp_path):
     assert rows[0]["documents"] == 3 and rows[0]["total_p95_s"] > 0 and "skipped" in rows[1]
 
 
+def test_an_inverted_file_serves_the_dense_channel(spark, tmp_path):
+    from lodeseek.plans.index import index_dataset
+
+    settings = {"index.dir": str(tmp_path / "index"), "representation": "raw", "embedding_model.lsa_dim": 3}
+    config = load_config(overrides=settings | {"vector_index.ann": "ivf", "vector_index.flat_threshold": 2})
+    index_dataset(spark, dataset(spark).corpus, "small", config)
+    engine, exact = Engine(spark, "small", config), Engine(spark, "small", load_config(overrides=settings))
+    assert engine.store.exists("cells/repository=small/version=v1")
+    only = Options(use_bm25=False, use_identifier=False, use_query=False, use_rerank=False)
+    for text in ("database connection", "red circle canvas"):
+        assert [r.doc_id for r in top(engine, text, 1, options=only)] == [r.doc_id for r in top(exact, text, 1, options=only)]
+
+
+def test_only_folders_of_the_terms_are_read(spark, tmp_path, monkeypatch, capsys):
+    from lodeseek.operators import lexical
+    from lodeseek.plans.index import index_dataset
+
+    monkeypatch.setattr(lexical, "TOKENS_PER_BUCKET", 2)
+    config = load_config(overrides={"index.dir": str(tmp_path / "index"), "representation": "raw"})
+    index_dataset(spark, dataset(spark).corpus, "small", config)
+    engine = Engine(spark, "small", config)
+    tables = engine._tables("v1")
+    about = tables["statistics"][0]
+    assert about.buckets > 2 and about.n == len(DOCS)
+    asked = spark.createDataFrame([(1, "databas", 1.0), (1, "connect", 1.0)], "query_id long, term string, weight double")
+    found = lexical.score_stored(tables["postings"], tables["lexicon"], [about], asked, True)
+    found.explain("formatted")
+    plan = capsys.readouterr().out
+    folders = {lexical.bucket_of(t, about.buckets) for t in ("databas", "connect")}
+    assert len(folders) < about.buckets and all(f"bucket" in f and str(b) in f for b in folders for f in plan.split("PartitionFilters: ")[1:3])
+    assert "PushedFilters: [In(term" in plan or "In(term, [connect,databas])" in plan
+    large = lexical.score_stored(tables["postings"], tables["lexicon"], [about], asked, False)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, large.collect()))
+    index_dataset(spark, dataset(spark).corpus.limit(1), "small", config)  # folders of the version that is replaced go
+    again = engine._tables("v1")
+    assert again["postings"].select("chunk_id").distinct().count() == 1 and again["lexicon"].count() == again["postings"].count()
+
+
 def test_datasets_keep_the_metadata_of_code(spark, tmp_path):
     """Documents are indexed with what parsing finds, or with the chunk that was stored."""
     from lodeseek.plans.index import index_dataset

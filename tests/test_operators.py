@@ -29,6 +29,24 @@ def test_bm25_equals_the_formula(spark, small):
     assert {r.chunk_id: r.score for r in stored} == got
 
 
+def test_a_hot_term_is_not_dealt_by_term(spark, capsys):
+    """A third of all tokens are one term: its rows get their frequency where they are."""
+    rows = [(i, ["hot"] * 5 + [f"t{i % 700}", f"u{i}"] + ["x"] * (i % 9)) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "chunk_id long, tokens array<string>")
+    heavy = lexical.heavy_terms(docs)
+    assert {"hot", "x"} <= set(heavy)
+    found = lexical.postings(docs)
+    frequencies = {}
+    for _, tokens in rows:
+        for t in set(tokens):
+            frequencies[t] = frequencies.get(t, 0) + 1
+    got = found.collect()
+    assert {(r.chunk_id, r.term): (r.tf, r.dl, r.df) for r in got} == {(i, t): (tokens.count(t), len(tokens), frequencies[t]) for i, tokens in rows for t in set(tokens)}
+    light = found.filter(~F.col("term").isin(heavy)).groupBy("term").count().agg(F.max("count")).first()[0]
+    assert light <= 3000 * 12 / lexical.HEAVY_TERMS + 5
+    assert lexical.postings(docs.limit(0)).count() == 0
+
+
 def test_identifiers(spark):
     chunks = spark.createDataFrame([(0, "a", "", "", ["b", "b"], "x/Net.py"), (1, "b", "K", "", [], "y.py")], "chunk_id long, function string, class_name string, parent string, calls array<string>, file string")
     asked = spark.createDataFrame([(1, ["b"], []), (2, ["k"], ["z/net.py"])], "query_id long, entity_names array<string>, file_names array<string>")
