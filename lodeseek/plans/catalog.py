@@ -582,19 +582,41 @@ def weight_trials(spark, sf_dir):
 # Source code.
 
 
+def _source(spark: SparkSession, sf_dir: str, suffix: str, shapes: list, lines: str, first: str, last: str) -> DataFrame:
+    """Pages as source files of four shapes by page_id.  The second and third have as many lines as the id tells: $N stands
+    for the id, $U for the page's url."""
+    pages = _read(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), "[^a-z0-9:/.]", "").alias("u"))
+    numbered = F.array_join(F.transform(F.sequence(F.lit(0), F.pmod("page_id", F.lit(97)) + 39), lambda i: F.concat(F.lit(lines), i.cast("string"), F.lit(first))), "\n")
+    texts = [numbered if s is None else F.lit(s) for s in shapes]
+    long = F.concat(F.lit(last.split("|")[0]), numbered, F.lit(last.split("|")[1]))
+    broken = F.concat(F.lit(shapes[2]), numbered, F.lit("\n"))
+    kind = F.pmod("page_id", F.lit(4))
+    code = F.when(kind == 0, texts[0]).when(kind == 1, long).when(kind == 2, broken).otherwise(texts[3])
+    code = F.replace(F.replace(code, F.lit("$N"), F.col("page_id").cast("string")), F.lit("$U"), F.col("u"))
+    return chunker.chunk_files(pages.select(F.concat(F.col("page_id").cast("string"), F.lit(suffix)).alias("file"), code.alias("content")), "pages")
+
+
+#: The shapes of the made files: nested functions and classes, a long function, a broken file, statements alone.
+PYTHON_UNITS = "import os\nfrom net import fetch\n\n@cached\ndef page_$N(x):\n    '''Doc.'''\n    def inner(y):\n        return strip(y)\n    return inner(fetch(x))\n\nclass Page(Base):\n    '''A page.'''\n    limit = 3\n\n    def url(self):\n        return join('$U')\n"
+PYTHON_STATEMENTS = "import os\n\nTOTAL = compute($N)\nprint(TOTAL)\n"
+BRACE_UNITS = "// Loads.\nfunction load$N(a, b) {\n  if (a) { go(b); }\n  return run(a);\n}\nclass K {\n  stop(x) {\n    const text = \"not a { brace\"; // nor { this\n    return halt(x);\n  }\n}\nconst pick$N = (a) => {\n  return find(\"$U\");\n};\n"
+BRACE_STATEMENTS = "let total = $N;\nshow(total);\n"
+
+
 @query
 def python_chunks(spark, sf_dir):
-    """Pages as Python modules: a function for each; parsed into units."""
-    code = F.concat(F.lit("import os\n\ndef page_"), F.col("page_id").cast("string"), F.lit("(x):\n    '''Doc.'''\n    return fetch(x).strip()\n\nclass Page:\n    def url(self):\n        return '"), F.regexp_replace("url", "[^a-z0-9:/.]", ""), F.lit("'\n"))
-    files = _read(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".py")).alias("file"), code.alias("content"))
-    return chunker.chunk_files(files, "pages").select("file", "kind", "class_name", "function", "start_line", "end_line", "signature", "doc", _joined("calls"), _joined("imports"), "chash")
+    """Units of Python files: decorated and nested functions, classes, long functions cut between statements, windows of
+    files that don't parse, and statements alone."""
+    found = _source(spark, sf_dir, ".py", [PYTHON_UNITS, None, "def broken_$N(:\n", PYTHON_STATEMENTS], "    x = step(x, ", ")", "def page_$N(x):\n|\n    return x\n")
+    return found.select("file", "kind", "class_name", "function", "parent", "part", "start_line", "end_line", "signature", "doc", _joined("calls"), _joined("imports"), "chash")
 
 
 @query
 def brace_chunks(spark, sf_dir):
-    code = F.concat(F.lit("// Loads.\nfunction load"), F.col("page_id").cast("string"), F.lit("(a, b) {\n  if (a) { go(b); }\n  return run(a);\n}\nclass K {\n  stop(x) {\n    return halt(x);\n  }\n}\n"))
-    files = _read(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit(".js")).alias("file"), code.alias("content"))
-    return chunker.chunk_files(files, "pages").select("file", "kind", "class_name", "function", "start_line", "end_line", "signature", "doc", _joined("calls"), "chash")
+    """Units of brace-language files: functions, classes, arrow functions, braces in strings and comments and on the next line,
+    long functions in windows, and files without units."""
+    found = _source(spark, sf_dir, ".js", [BRACE_UNITS, None, "start($N);\n", BRACE_STATEMENTS], "  a = step(a, ", ");", "function long$N(a)\n{\n|\n  return a;\n}\n")
+    return found.select("file", "kind", "class_name", "function", "parent", "part", "start_line", "end_line", "signature", "doc", _joined("calls"), "chash")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -210,7 +210,73 @@ SELECT d.query_id, d.chunk_id, round(coalesce(sum(m.g), 0.0), 5) + 0.0::DOUBLE A
 _weights = "CASE category " + " ".join(f"WHEN '{n}' THEN [{', '.join(str(a * b) for a, b in zip(f, (0.55, 0.30, 0.15), strict=True))}]" for n, f in Q.CATEGORY_FACTORS.items()) + " END"
 COSINE = "SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0"
 
+def _made_files(suffix: str, numbered: str, before: list[str], after: list[str], broken: str) -> str:
+    """The made source files: id, url, number of numbered lines, and the lines of those with a long function or without units."""
+    line = f"list_transform(range(m), lambda i: {numbered})"
+    return f"""files AS (
+  SELECT page_id AS id, page_id || '{suffix}' AS file, page_id % 4 AS shape, page_id % 97 + 40 AS m, regexp_replace(coalesce(url, ''), '[^a-z0-9:/.]', '', 'g') AS u FROM pages
+), lined AS (
+  SELECT *, list_concat(list_concat([{', '.join(before)}], {line}), [{', '.join(after)}]) AS long, list_concat([{broken}], {line}) AS bad FROM files
+)"""
+
+
+def _cut(columns: dict[str, str], lines: str, start: str, stop: str) -> str:
+    code = f"array_to_string(list_slice({lines}, {start}, {stop}), chr(10))"
+    return ", ".join(f"{v} AS {k}" for k, v in (columns | {"start_line": f"({start})::INTEGER", "end_line": f"({stop})::INTEGER", "chash": HASH.format(code)}).items())
+
+
+def _unit(kind: str, **given: str) -> dict[str, str]:
+    return {"file": "file", "kind": f"'{kind}'"} | {c: given.get(c, "''") for c in ("class_name", "function", "parent", "signature", "doc", "calls")} | {"part": given.get("part", "0") + "::INTEGER"}
+
+
+def _whole(start: int, stop: int, code: str) -> str:
+    return f"{start}::INTEGER AS start_line, {stop}::INTEGER AS end_line, {HASH.format(code)} AS chash"
+
+
+def _fields(columns: dict[str, str]) -> str:
+    return ", ".join(f"{v} AS {k}" for k, v in columns.items())
+
+
+def _python_chunks() -> str:
+    imports = lambda text: {"imports": f"'{text}'"}
+    name, long = "'page_' || id", _unit("function", function="'page_' || id", signature="'def page_' || id || '(x):'", calls="'step'") | imports("")
+    block = _unit("block", function=name, parent=name, signature="'def page_' || id || '(x):'", calls="CASE WHEN m = 60 * p THEN '' ELSE 'step' END", part="p") | imports("")
+    text = "'@cached def page_' || id || '(x): ''''''Doc.'''''' def inner(y): return strip(y) return inner(fetch(x))'"
+    own = _unit("function", function=name, signature="'def page_' || id || '(x):'", doc="'Doc.'", calls="'inner,strip,fetch'") | imports("os,net.fetch")
+    page = _unit("class", class_name="'Page'", signature="'class Page(Base):'", doc="'A page.'") | imports("os,net.fetch")
+    url = _unit("method", class_name="'Page'", function="'url'", signature="'def url(self):'", calls="'join'") | imports("os,net.fetch")
+    module = _unit("module", calls="'compute,print'") | imports("os")
+    return f"""WITH {_made_files(".py", "'    x = step(x, ' || i || ')'", ["'def page_' || id || '(x):'"], ["'    return x'"], "'def broken_' || id || '(:'")}
+SELECT {_fields(own)}, {_whole(4, 9, text)} FROM files WHERE shape = 0
+UNION ALL SELECT {_fields(page)}, {_whole(11, 16, "'class Page(Base): def url(self):'")} FROM files WHERE shape = 0
+UNION ALL SELECT {_fields(url)}, {_whole(15, 16, "'def url(self): return join(''' || u || ''')'")} FROM files WHERE shape = 0
+UNION ALL SELECT {_cut(long, 'long', '1', 'm + 2')} FROM lined WHERE shape = 1 AND m + 2 <= 60
+UNION ALL SELECT {_cut(block, 'long', 'CASE WHEN p = 0 THEN 1 ELSE 60 * p + 2 END', 'least(60 * p + 60, m + 1) + 1')} FROM (SELECT *, unnest(range(m // 60 + 1)) AS p FROM lined WHERE shape = 1 AND m + 2 > 60)
+UNION ALL SELECT {_cut(_unit("file", part="p") | imports(""), 'bad', '60 * p + 1', 'least(60 * p + 60, m + 1)')} FROM (SELECT *, unnest(range(m // 60 + 1)) AS p FROM lined WHERE shape = 2)
+UNION ALL SELECT {_fields(module)}, {_whole(3, 4, "'TOTAL = compute(' || id || ') print(TOTAL)'")} FROM files WHERE shape = 3"""
+
+
+def _brace_chunks() -> str:
+    name = "'long' || id"
+    long = _unit("function", function=name, signature="'function long' || id || '(a)'", calls="'step'")
+    block = _unit("block", function=name, parent=name, signature="'function long' || id || '(a)'", calls="'step'", part="p")
+    load = _unit("function", function="'load' || id", signature="'function load' || id || '(a, b)'", doc="'Loads.'", calls="'go,run'")
+    stop = _unit("method", class_name="'K'", function="'stop'", signature="'stop(x)'", calls="'halt'")
+    pick = _unit("function", function="'pick' || id", signature="'const pick' || id || ' = (a) =>'", calls="'find'")
+    return f"""WITH {_made_files(".js", "'  a = step(a, ' || i || ');'", ["'function long' || id || '(a)'", "'{'"], ["'  return a;'", "'}'"], "'start(' || id || ');'")}
+SELECT {_fields(load)}, {_whole(2, 5, "'function load' || id || '(a, b) { if (a) { go(b); } return run(a); }'")} FROM files WHERE shape = 0
+UNION ALL SELECT {_fields(_unit("class", class_name="'K'", signature="'class K {'"))}, {_whole(6, 11, "'class K {'")} FROM files WHERE shape = 0
+UNION ALL SELECT {_fields(stop)}, {_whole(7, 10, "'stop(x) { const text = \"not a { brace\"; // nor { this return halt(x); }'")} FROM files WHERE shape = 0
+UNION ALL SELECT {_fields(pick)}, {_whole(12, 14, "'const pick' || id || ' = (a) => { return find(\"' || u || '\"); };'")} FROM files WHERE shape = 0
+UNION ALL SELECT {_cut(long, 'long', '1', 'm + 4')} FROM lined WHERE shape = 1 AND m + 4 <= 60
+UNION ALL SELECT {_cut(block, 'long', '60 * p + 1', 'least(60 * p + 60, m + 4)')} FROM (SELECT *, unnest(range((m + 3) // 60 + 1)) AS p FROM lined WHERE shape = 1 AND m + 4 > 60)
+UNION ALL SELECT {_cut(_unit("file", part="p"), 'bad', '60 * p + 1', 'least(60 * p + 60, m + 1)')} FROM (SELECT *, unnest(range(m // 60 + 1)) AS p FROM lined WHERE shape = 2)
+UNION ALL SELECT {_fields(_unit("file"))}, {_whole(1, 2, "'let total = ' || id || '; show(total);'")} FROM files WHERE shape = 3"""
+
+
 ORACLE: dict[str, str] = {
+    "python_chunks": _python_chunks(),
+    "brace_chunks": _brace_chunks(),
     "content_hash": f"SELECT doc_id, {HASH.format('text')} AS content_hash FROM documents",
     "exact_duplicates": f"SELECT content_hash, count(*) AS copies, min(doc_id) AS first_id FROM (SELECT doc_id, {HASH.format('text')} AS content_hash FROM documents) GROUP BY content_hash HAVING count(*) > 1",
     "unit_keys": f"WITH {CHUNKS} SELECT chunk_id, {QUALNAME} AS qualname, concat_ws('::', repository, file, 'fn', {QUALNAME}) AS identity, sha1(concat_ws('|', repository, file, {QUALNAME}, {HASH.format('code')})) AS cache_key FROM chunks",
