@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.config import load_config
@@ -48,6 +49,34 @@ PRESETS = {
 }
 
 
+class Timings:
+    """Rows and times of a search's stages, taken while the one plan runs: each stage's rows tell the clock of the task that made
+    them.  ``stages()`` has them once the result has been computed; a search over several versions is one plan, so
+    its rows are those of all versions."""
+
+    def __init__(self) -> None:
+        self.began, self._seen = time.time(), {}
+
+    def watch(self, name: str, rows: DataFrame) -> DataFrame:
+        """The same rows, which are observed on their way."""
+        self._seen[name] = Observation(name)
+        timed = rows.withColumn("_at", F.expr("cast(java_method('java.lang.System', 'currentTimeMillis') as long)"))
+        return timed.observe(self._seen[name], F.count("*").alias("rows"), F.min("_at").alias("first"), F.max("_at").alias("last")).drop("_at")
+
+    def driver(self, name: str) -> None:
+        """A stage of the driver ends now."""
+        self._seen[name] = {"rows": None, "first": self.began * 1000, "last": time.time() * 1000}
+
+    def stages(self) -> list[dict[str, Any]]:
+        """Of each stage its rows, and milliseconds from the search's begin to its first and its last row."""
+        out = []
+        for name, seen in self._seen.items():
+            found = seen.get if isinstance(seen, Observation) else seen
+            since = lambda x: None if x is None else round(x - self.began * 1000, 1)
+            out.append({"stage": name, "rows": found["rows"], "first_ms": since(found["first"]), "last_ms": since(found["last"])})
+        return out
+
+
 class Engine:
     def __init__(self, spark: SparkSession, repository: str, config: dict[str, Any] | None = None, reranker: ranking.TreeReranker | None = None, encoder: dense.Encoder | None = None) -> None:
         """reranker: anything with its rerank(rows, top_n); encoder: the one that the index was made with, if it isn't stored there."""
@@ -109,7 +138,7 @@ class Engine:
                 return ivf.search(ivf.load(self.spark, part), self.spark, asked, k)
         return dense.search(tables["vectors"], asked, k)
 
-    def candidates(self, understood: DataFrame, tables: dict[str, Any], options: Options, versions_: int = 1, small: bool = False, whole: bool = False) -> DataFrame:
+    def candidates(self, understood: DataFrame, tables: dict[str, Any], options: Options, versions_: int = 1, small: bool = False, whole: bool = False, timings: Timings | None = None) -> DataFrame:
         """whole: all that a channel found, without a cut of the fused list.  Over several versions each channel gives so many times its candidates: a unit has a copy in each at most, so that
         as many units come as from one version."""
         settings = self.config["retrieval"]
@@ -121,18 +150,21 @@ class Engine:
             channels["bm25"] = lexical.top_k(lexical.score_stored(tables["postings"], tables["lexicon"], tables["statistics"], Q.term_weights(understood), small), settings["bm25_top_k"] * versions_)
         if options.use_identifier:
             channels["identifier"] = lexical.top_k(identifiers.search(tables["identifiers"], understood, small), settings["identifier_top_k"] * versions_)
+        if timings is not None:
+            channels = {name: timings.watch(name, found) for name, found in channels.items()}
         on = (options.use_dense, options.use_bm25, options.use_identifier)
         base = tuple(settings[f"{c}_weight"] for c in fusion.CHANNELS)
         weighed = understood.select("query_id", Q.channel_weights(F.col("category"), base, on, settings["category_weights"]).alias("weights"))
-        return fusion.fuse(fusion.gather(channels), weighed, 2**31 - 1 if whole else settings["candidate_size"] * versions_, settings["fusion"], small)
+        fused = fusion.fuse(fusion.gather(channels), weighed, 2**31 - 1 if whole else settings["candidate_size"] * versions_, settings["fusion"], small)
+        return timings.watch("candidates", fused) if timings is not None else fused
 
-    def featured(self, understood: DataFrame, tables: dict[str, Any], options: Options, keep: tuple[str, ...] = (), versions_: int = 1, whole: bool = False) -> DataFrame:
+    def featured(self, understood: DataFrame, tables: dict[str, Any], options: Options, keep: tuple[str, ...] = (), versions_: int = 1, whole: bool = False, timings: Timings | None = None) -> DataFrame:
         small = self._small(understood, versions_) and not whole
-        found = self.candidates(understood, tables, options, versions_, small, whole)
+        found = self.candidates(understood, tables, options, versions_, small, whole, timings)
         return ranking.features(found, tables["chunks"], understood, options.use_structural and self.config["ranking"]["use_structural"], keep, small)
 
-    def _ranked(self, understood: DataFrame, tables: dict[str, Any], options: Options, keep: tuple[str, ...], versions_: int) -> DataFrame:
-        rows, settings = self.featured(understood, tables, options, keep, versions_), self.config["ranking"]
+    def _ranked(self, understood: DataFrame, tables: dict[str, Any], options: Options, keep: tuple[str, ...], versions_: int, timings: Timings | None = None) -> DataFrame:
+        rows, settings = self.featured(understood, tables, options, keep, versions_, timings=timings), self.config["ranking"]
         top_n = settings["rerank_top_n"] * versions_
         if not options.use_rerank or settings["reranker"] == "none":
             return rows
@@ -141,26 +173,34 @@ class Engine:
         weights = {f: w for f, w in settings["weights"].items() if (options.use_metadata or f != "metadata") and (options.use_structural or f != "structural")}
         return ranking.rerank(rows, ranking.linear_score(weights), top_n)
 
-    def search(self, queries: DataFrame, version: str | None = None, top_k: int = 10, options: Options = Options(), history: bool = False) -> DataFrame:
-        """queries: query_id and text (and forced_category).  version: as versions.resolve takes it, or "all",
+    def search(self, queries: DataFrame, version: str | None = None, top_k: int = 10, options: Options = Options(), history: bool = False, timings: Timings | None = None, candidate_k: int | None = None) -> DataFrame:
+        """queries: query_id and text (and forced_category).  timings: observes the stages of this search.  candidate_k: candidates
+        of each channel and of their fusion, in place of the settings'.  version: as versions.resolve takes it, or "all",
         which ranks the units of all versions together and, unless history, collapses those of one unit."""
-        if top_k < 1:
-            raise ValueError("top_k is less than 1")
+        if top_k < 1 or candidate_k is not None and candidate_k < 1:
+            raise ValueError("top_k or candidate_k is less than 1")
+        if candidate_k is not None:
+            sizes = dict.fromkeys(("dense_top_k", "bm25_top_k", "identifier_top_k", "candidate_size"), candidate_k)
+            own = Engine(self.spark, self.repository, {**self.config, "retrieval": {**self.config["retrieval"], **sizes}}, self.reranker, self._encoder)
+            return own.search(queries, version, top_k, options, history, timings)
         whole, known = version == "all", self.versions().collect()  # a row a version
         label = None if whole else versions.resolve(known, version)
         searched = [row for row in known if whole or row.label == label]
         checked_versions(searched, self.encoder)
         tables = self._tables(label, known)
         understood = self.understand(queries, options)
+        if timings is not None:
+            timings.driver("preprocess")
         collapsed = whole and not history and self.config["dedup"]["enabled"]
-        rows = self._ranked(understood, tables, options, (*ABOUT, "code") if collapsed else ABOUT, len(searched)).join(understood.select("query_id", "category"), "query_id")
+        rows = self._ranked(understood, tables, options, (*ABOUT, "code") if collapsed else ABOUT, len(searched), timings).join(understood.select("query_id", "category"), "query_id")
         rows = rows.withColumn("also_in", F.array().cast("array<string>"))
         if collapsed:
             carried = rows.drop("also_in").join(tables["vectors"].select("chunk_id", "vector"), "chunk_id")
             rows = dedup.collapse_versions(carried, self.config["dedup"]["similarity_threshold"])
         placed = versions.merge_ranked(rows, top_k) if whole else rows.filter(F.col("rank") <= top_k)
         why = F.concat(F.lit("["), F.col("category"), F.lit("] "), ranking.explanation())
-        return placed.withColumn("method", fusion.method()).withColumn("why", why).select(*RESULT)
+        found = placed.withColumn("method", fusion.method()).withColumn("why", why).select(*RESULT)
+        return timings.watch("results", found) if timings is not None else found
 
     def run(self, queries: DataFrame, top_k: int = 100, options: Options = Options()) -> DataFrame:
         """query_id, doc_id and score, the best of each document; for evaluation."""

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ast
-import json
 import textwrap
+import uuid
 from pathlib import Path
 from typing import NamedTuple
 
@@ -31,33 +31,52 @@ class Dataset(NamedTuple):
 CHUNK_STRUCT = ", ".join(f"{name}: {kind}" for name, kind in (f.split() for f in CHUNK_FIELDS.split(", ")))
 
 
+def _path(spark: SparkSession, path: str):
+    """A path and its file system, of any kind that Spark reads."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place, system = _path(spark, path)
+    return system.exists(place)
+
+
 def read_dataset(spark: SparkSession, folder: str) -> Dataset:
-    """corpus.jsonl, queries.jsonl and qrels.json; a missing one is a FileNotFoundError."""
-    place = Path(folder)
-    for name in ("corpus.jsonl", "queries.jsonl", "qrels.json"):
-        if not (place / name).exists():
-            raise FileNotFoundError(place / name)
-    read = lambda name, schema: spark.read.schema(f"id string, text string{schema}").json(str(place / name))
+    """corpus.jsonl and queries.jsonl, each a file or a folder of files, and qrels.jsonl with a judgement a line, or qrels.json
+    with a map for each query.  folder: any path that Spark reads.  A missing part is a FileNotFoundError."""
+    folder = folder.rstrip("/")
+    long = _exists(spark, f"{folder}/qrels.jsonl")
+    for name in ("corpus.jsonl", "queries.jsonl", "qrels.jsonl" if long else "qrels.json"):
+        if not _exists(spark, f"{folder}/{name}"):
+            raise FileNotFoundError(f"{folder}/{name}")
+    read = lambda name, schema: spark.read.schema(f"id string, text string{schema}").json(f"{folder}/{name}")
     corpus = read("corpus.jsonl", f", chunk struct<{CHUNK_STRUCT}>").select(F.col("id").alias("doc_id"), "text", "chunk")
     queries = read("queries.jsonl", "").select(F.col("id").alias("query_id"), "text")
-    judged = spark.read.text(str(place / "qrels.json"), wholetext=True).select(F.from_json("value", "map<string,map<string,int>>").alias("m"))
-    by_query = judged.select(F.explode("m").alias("query_id", "docs"))
-    return Dataset(place.resolve().name, corpus, queries, by_query.select("query_id", F.explode("docs").alias("doc_id", "rel")))
+    if long:
+        qrels = spark.read.schema("query_id string, doc_id string, rel int").json(f"{folder}/qrels.jsonl")
+    else:
+        judged = spark.read.text(f"{folder}/qrels.json", wholetext=True).select(F.from_json("value", "map<string,map<string,int>>").alias("m"))
+        qrels = judged.select(F.explode("m").alias("query_id", "docs")).select("query_id", F.explode("docs").alias("doc_id", "rel"))
+    return Dataset(_path(spark, folder)[0].getName() if not folder.startswith(".") else Path(folder).resolve().name, corpus, queries, qrels)
 
 
 def write_dataset(dataset: Dataset, folder: str) -> None:
-    """For datasets of a size that one folder on the driver holds."""
-    place = Path(folder)
-    place.mkdir(parents=True, exist_ok=True)
+    """Three folders of JSON lines, written by the tasks that have the rows, whatever their number.  They are written beside the
+    named folder and take its name together, so a reader sees the whole or nothing; what was there before goes."""
+    spark, folder = dataset.corpus.sparkSession, folder.rstrip("/")
+    unfinished = f"{folder}.unfinished-{uuid.uuid4().hex}"
     for name, df, id_ in (("corpus.jsonl", dataset.corpus, "doc_id"), ("queries.jsonl", dataset.queries, "query_id")):
-        with (place / name).open("w") as out:
-            fields = [F.col(id_).cast("string").alias("id"), "text", *(["chunk"] if "chunk" in df.columns else [])]
-            for row in df.select(F.to_json(F.struct(*fields)).alias("line")).toLocalIterator():
-                out.write(row.line + "\n")
-    qrels: dict[str, dict[str, int]] = {}
-    for row in dataset.qrels.toLocalIterator():
-        qrels.setdefault(str(row.query_id), {})[str(row.doc_id)] = row.rel
-    (place / "qrels.json").write_text(json.dumps(qrels))
+        fields = [F.col(id_).cast("string").alias("id"), "text", *(["chunk"] if "chunk" in df.columns else [])]
+        df.select(*fields).write.json(f"{unfinished}/{name}")
+    judged = dataset.qrels.select(*(F.col(c).cast("string") for c in ("query_id", "doc_id")), F.col("rel").cast("int"))
+    judged.write.json(f"{unfinished}/qrels.jsonl")
+    target, system = _path(spark, folder)
+    system.delete(target, True)
+    if target.getParent() is not None:
+        system.mkdirs(target.getParent())
+    if not system.rename(_path(spark, unfinished)[0], target):
+        raise OSError(f"{unfinished} can't be renamed to {folder}")
 
 
 def titled(corpus: DataFrame) -> DataFrame:

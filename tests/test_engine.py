@@ -281,6 +281,43 @@ def test_dataset_round_trip_and_evaluation(spark, tmp_path):
     assert rows[0]["documents"] == 3 and rows[0]["total_p95_s"] > 0 and "skipped" in rows[1]
 
 
+def test_datasets_of_any_path_and_form(spark, tmp_path):
+    """Written by the tasks, to a path with a scheme; the map form of judgements is read too; a second writing replaces the first."""
+    import json
+
+    place = f"file://{tmp_path}/deep/set"
+    write_dataset(dataset(spark), place)
+    write_dataset(dataset(spark)._replace(corpus=dataset(spark).corpus.repartition(3)), place)
+    again = read_dataset(spark, place)
+    assert again.name == "set" and sorted(map(tuple, again.corpus.select("doc_id", "text").collect())) == DOCS
+    assert sorted(map(tuple, again.qrels.collect())) == [("q1", "d2", 1), ("q2", "d4", 1)]
+    assert {x.name for x in (tmp_path / "deep").iterdir()} == {"set"}
+    plain = tmp_path / "plain"
+    plain.mkdir()
+    (plain / "corpus.jsonl").write_text('{"id": "d1", "text": "one"}\n')
+    (plain / "queries.jsonl").write_text('{"id": "q", "text": "one?"}\n')
+    with pytest.raises(FileNotFoundError, match="qrels"):
+        read_dataset(spark, str(plain))
+    (plain / "qrels.json").write_text(json.dumps({"q": {"d1": 1, "d2": 0}}))
+    assert sorted(map(tuple, read_dataset(spark, str(plain)).qrels.collect())) == [("q", "d1", 1), ("q", "d2", 0)]
+
+
+def test_timings_of_one_run(spark, indexed):
+    from lodeseek.plans.search import Timings
+
+    repo, config, _ = indexed
+    engine, timings = Engine(spark, "repo", config), Timings()
+    found = engine.search(engine.queries(["open the vault", "pump water"]), top_k=3, timings=timings).collect()
+    stages = {s["stage"]: s for s in timings.stages()}
+    assert list(stages) == ["preprocess", "dense", "bm25", "identifier", "candidates", "results"]
+    assert stages["results"]["rows"] == len(found) and stages["bm25"]["rows"] >= 2
+    assert 0 < stages["preprocess"]["last_ms"] <= stages["bm25"]["first_ms"] <= stages["candidates"]["last_ms"] <= stages["results"]["last_ms"]
+    few = engine.search(engine.queries("open the vault"), top_k=5, candidate_k=1).collect()
+    assert 1 <= len(few) <= 1 and few[0].function == "open_vault"
+    with pytest.raises(ValueError):
+        engine.search(engine.queries("x"), candidate_k=0)
+
+
 def test_an_inverted_file_serves_the_dense_channel(spark, tmp_path):
     from lodeseek.plans.index import index_dataset
 
