@@ -210,6 +210,36 @@ SELECT d.query_id, d.chunk_id, round(coalesce(sum(m.g), 0.0), 5) + 0.0::DOUBLE A
 _weights = "CASE category " + " ".join(f"WHEN '{n}' THEN [{', '.join(str(a * b) for a, b in zip(f, (0.55, 0.30, 0.15), strict=True))}]" for n, f in Q.CATEGORY_FACTORS.items()) + " END"
 COSINE = "SELECT q.vec_id AS query_id, v.vec_id AS chunk_id, round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 9) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0"
 
+def _share(of: str, among: str) -> str:
+    return f"CASE WHEN len({of}) > 0 THEN len(list_intersect({of}, {among})) / len(list_distinct({of}))::DOUBLE ELSE 0.0 END"
+
+
+FEATURED = rf"""WITH {CHANNELS}, {EXPANDED}, fused AS (
+  SELECT query_id, chunk_id, dense_n, bm25_n, identifier_n, 0.55 * dense_n + 0.30 * bm25_n + 0.15 * identifier_n AS score FROM gathered
+), {_best('fused', 10, 'head')}, asking AS (
+  SELECT u.query_id, list_concat(u.tokens, coalesce(e.expansion, [])) AS words, u.tokens AS own_words, list_concat(list_concat(u.function_names, u.class_names), u.identifiers) AS entities FROM understood u LEFT JOIN expanded e USING (query_id)
+), described AS (
+  SELECT chunk_id, lower(function) AS function, list_transform(calls, lambda x: lower(x)) AS calls, {_tokens('function')} AS fn, {_tokens('class_name')} AS cls, {_tokens("regexp_replace(file, '[.][A-Za-z0-9]*$', '')")} AS path, {_tokens("'Reads a document.'")} AS doc FROM chunks
+), met AS (
+  SELECT h.*, d.* EXCLUDE (chunk_id), a.* EXCLUDE (query_id), list(d.function) FILTER (d.function <> '') OVER q AS functions, flatten(list(d.calls) OVER q) AS called
+  FROM head h JOIN described d USING (chunk_id) JOIN asking a USING (query_id) WHERE h.score > 0 WINDOW q AS (PARTITION BY h.query_id)
+), matched AS (
+  SELECT query_id, chunk_id, rank, dense_n AS semantic, bm25_n AS bm25, identifier_n AS identifier, {_share('fn', 'words')} AS function_match, {_share('cls', 'words')} AS class_match, {_share('path', 'words')} AS path_match, {_share('own_words', 'doc')} AS doc_overlap,
+    CASE WHEN list_has_any(calls, entities) THEN 1.0 WHEN list_has_any(calls, list_filter(functions, lambda x: x <> function)) OR list_contains(called, function) THEN 0.5 ELSE 0.0 END AS structural
+  FROM met
+), summed AS (
+  SELECT *, (function_match + class_match + path_match + doc_overlap) / 4 AS metadata FROM matched
+), weighed AS (
+  SELECT *, 0.5 * semantic + 0.2 * bm25 + 0.1 * identifier + 0.1 * metadata + 0.1 * structural AS linear FROM summed
+)
+SELECT query_id, chunk_id, CASE WHEN rank > 5 THEN rank ELSE row_number() OVER (PARTITION BY query_id, rank <= 5 ORDER BY linear DESC, rank) END AS rank,
+  round(semantic, 6) AS semantic, round(bm25, 6) AS bm25, round(identifier, 6) AS identifier, round(function_match, 6) AS function_match, round(class_match, 6) AS class_match, round(path_match, 6) AS path_match,
+  round(doc_overlap, 6) AS doc_overlap, round(metadata, 6) AS metadata, round(structural, 6)::DOUBLE AS structural,
+  coalesce(nullif(concat_ws('; ', CASE WHEN identifier >= 1 THEN 'defines a queried identifier' END, CASE WHEN structural >= 1 THEN 'calls a queried name' END, CASE WHEN function_match > 0 THEN 'function name matches query terms' END,
+    CASE WHEN semantic >= 0.6 THEN 'high semantic similarity' END, CASE WHEN bm25 >= 0.6 THEN 'strong lexical match' END, CASE WHEN path_match > 0 THEN 'file path matches' END), ''), 'weaker partial match') AS why
+FROM weighed"""
+
+
 def _made_files(suffix: str, numbered: str, before: list[str], after: list[str], broken: str) -> str:
     """The made source files: id, url, number of numbered lines, and the lines of those with a long function or without units."""
     line = f"list_transform(range(m), lambda i: {numbered})"
@@ -316,6 +346,7 @@ ORACLE: dict[str, str] = {
     "candidates_full": f"WITH {CHANNELS} SELECT query_id, chunk_id, round(dense_n, 6) AS dense_n, round(bm25_n, 6) AS bm25_n, round(identifier_n, 6) AS identifier_n, method FROM gathered",
     "weighted_fusion": f"WITH {CHANNELS}, s AS {_fused.format(score='0.55 * dense_n + 0.30 * bm25_n + 0.15 * identifier_n')}, {_best('s', 10, 'best')} SELECT query_id, chunk_id, round(score, 5) AS score FROM best WHERE score > 0",
     "rrf_fusion": f"WITH {CHANNELS}, s AS {_fused.format(score='coalesce(0.55 / (60 + dense_rank), 0) + coalesce(0.30 / (60 + bm25_rank), 0) + coalesce(0.15 / (60 + identifier_rank), 0)')}, {_best('s', 10, 'best')} SELECT query_id, chunk_id, round(score, 6) AS score FROM best",
+    "rerank_features": FEATURED,
     "structural_neighbours": f"WITH {CHUNKS} SELECT c.chunk_id, c.name, count(*) AS targets FROM (SELECT chunk_id, repository, unnest(calls) AS name FROM chunks) c JOIN chunks d ON d.repository = c.repository AND d.language = c.name GROUP BY ALL",
     "version_diff": f"WITH {FILES} SELECT coalesce(v1.path, v2.path) AS path, CASE WHEN v1.path IS NULL THEN 'added' WHEN v2.path IS NULL THEN 'deleted' ELSE 'modified' END AS change FROM v1 FULL JOIN v2 ON v1.path = v2.path WHERE v1.blob IS DISTINCT FROM v2.blob",
     "reused_chunks": f"WITH {FILES} SELECT v1.path AS file, 'c2' AS commit, 'v2' AS version, 2.0::DOUBLE AS timestamp FROM v1 JOIN v2 ON v1.path = v2.path AND v1.blob = v2.blob",
