@@ -38,6 +38,17 @@ def counted_terms(docs: DataFrame) -> DataFrame:
     return rows.select("chunk_id", "dl", F.explode("tokens").alias("term")).groupBy("chunk_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def counted_in_rows(docs: DataFrame) -> DataFrame:
+    """The same without any shuffle, for one use of the result: runs of equal terms in each row's sorted tokens.  docs
+    has one row for each chunk_id."""
+    rows = docs.select("chunk_id", F.size("tokens").alias("dl"), F.sort_array("tokens").alias("_sorted")).filter("dl > 0")
+    at = lambda i: F.get("_sorted", i)
+    starts = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | ~at(i).eqNullSafe(at(i - 1)))
+    rows = rows.select("chunk_id", "dl", "_sorted", starts.alias("_starts"))
+    runs = F.transform("_starts", lambda s, j: F.struct(at(s).alias("term"), (F.coalesce(F.get("_starts", j + 1), F.col("dl")) - s).cast("long").alias("tf")))
+    return rows.select("chunk_id", "dl", F.explode(runs).alias("run")).select("chunk_id", "run.term", "run.tf", "dl")
+
+
 def term_frequencies(docs: DataFrame) -> DataFrame:
     """docs: chunk_id and tokens.  chunk_id, term, tf."""
     return docs.select("chunk_id", F.explode("tokens").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"))

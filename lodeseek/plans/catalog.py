@@ -239,7 +239,7 @@ def bm25_stored_topk(spark, sf_dir):
     docs, folder = _corpus(spark, sf_dir), shared_folder(spark, "postings")
     sizes = lexical.corpus_statistics(docs).first()
     buckets = max(1, min(lexical.MOST_BUCKETS, round(sizes.n * (sizes.avgdl or 0)) // lexical.TOKENS_PER_BUCKET + 3))
-    stored = lexical.bucketed(lexical.counted_terms(docs), buckets).withColumn("version", F.lit("v1"))
+    stored = lexical.bucketed(lexical.counted_in_rows(docs), buckets).withColumn("version", F.lit("v1"))
     stored.write.partitionBy("version", "bucket").parquet(f"{folder}/postings")
     stored = spark.read.parquet(f"{folder}/postings")
     stored.groupBy("version", "bucket", "term").agg(F.count("*").alias("df")).write.partitionBy("version", "bucket").parquet(f"{folder}/lexicon")

@@ -207,7 +207,7 @@ def _finish(store: Store, chunks: DataFrame, repository: str, label: str, config
         ivf.build(store.version("vectors", repository, label), store.cells(repository, label), recall=wanted["recall"])
     sizes = lexical.corpus_statistics(chunks.select("tokens")).first()
     buckets = max(1, min(lexical.MOST_BUCKETS, round(sizes.n * (sizes.avgdl or 0)) // lexical.TOKENS_PER_BUCKET))
-    store.put(part(lexical.bucketed(lexical.counted_terms(chunks.select("chunk_id", "tokens")), buckets)), "postings", "bucket")
+    store.put(part(lexical.bucketed(lexical.counted_in_rows(chunks.select("chunk_id", "tokens")), buckets)), "postings", "bucket")
     frequencies = store.version("postings", repository, label).groupBy("bucket", "term").agg(F.count("*").alias("df"))
     store.put(part(frequencies.sortWithinPartitions("bucket", "term")), "lexicon", "bucket")
     store.put(part(identifiers.build(chunks)), "identifiers")
