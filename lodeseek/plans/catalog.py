@@ -237,13 +237,14 @@ def bm25_topk(spark, sf_dir):
 def bm25_stored_topk(spark, sf_dir):
     """The same from stored postings and a lexicon: only folders of the queries' terms are read."""
     docs, folder = _corpus(spark, sf_dir), shared_folder(spark, "postings")
-    sizes = lexical.corpus_statistics(docs).first()
-    buckets = max(1, min(lexical.MOST_BUCKETS, round(sizes.n * (sizes.avgdl or 0)) // lexical.TOKENS_PER_BUCKET + 3))
+    sizes = _read(spark, sf_dir, "documents").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    buckets = min(lexical.MOST_BUCKETS, sizes.bytes // 6 // lexical.TOKENS_PER_BUCKET + 3)  # a token has about 6 bytes
     stored = lexical.bucketed(lexical.counted_in_rows(docs), buckets).withColumn("version", F.lit("v1"))
     stored.write.partitionBy("version", "bucket").parquet(f"{folder}/postings")
     stored = spark.read.parquet(f"{folder}/postings")
     stored.groupBy("version", "bucket", "term").agg(F.count("*").alias("df")).write.partitionBy("version", "bucket").parquet(f"{folder}/lexicon")
-    about, asked = [lexical.Statistics("v1", sizes.n, sizes.avgdl, buckets)], _asked(spark, sf_dir)
+    tokens = stored.agg(F.coalesce(F.sum("tf"), F.lit(0))).first()[0]
+    about, asked = [lexical.Statistics("v1", sizes.n, tokens / max(1, sizes.n), buckets)], _asked(spark, sf_dir)
     found = lexical.top_k(lexical.score_stored(stored, spark.read.parquet(f"{folder}/lexicon"), about, asked, lexical.is_small(asked)), 10)
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
