@@ -1,5 +1,5 @@
 import numpy as np
-from lodeseek.operators import blocks, dense, lexical
+from lodeseek.operators import blocks, dense, identifiers, lexical
 
 
 def plan(df):
@@ -34,6 +34,18 @@ def test_pairs_of_a_common_word_stay_in_their_task(spark, monkeypatch):
     assert lexical.search(docs.limit(0), asked, 10).count() == lexical.search(docs, asked.limit(0), 10).count() == 0
 
 
+def test_names_meet_the_queries_in_their_row(spark, monkeypatch):
+    rows = [(i, f"f{i % 5}", "K" if i % 3 else "", "", ["f1", "go"], f"a/Net{i % 4}.py") for i in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, function string, class_name string, parent string, calls array<string>, file string")
+    asked = spark.createDataFrame([(1, ["f1", "f1"], []), (2, ["k"], ["z/net3.py"]), (3, ["go"], ["net0.py", "net1.py"]), (4, [], [])], "query_id long, entity_names array<string>, file_names array<string>")
+    found = identifiers.best(chunks, asked, 30)
+    assert "MapInArrow" in plan(found) and "HashAggregate" not in plan(found)
+    columns = ("query_id", "chunk_id", "score", "rank")
+    monkeypatch.setattr(blocks, "MOST_CELLS", 0)
+    joined = lexical.top_k(identifiers.search(identifiers.build(chunks), asked), 30)
+    assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, joined.select(*columns).collect()))
+
+
 def test_of_many_equal_scores_the_smallest_ids_stay():
     kept, floor = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.full(3, -np.inf)
     rng = np.random.default_rng(0)
