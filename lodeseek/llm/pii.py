@@ -124,6 +124,8 @@ class Stretch:
     def __init__(self, text: str, start: int = 0, stop: int | None = None) -> None:
         matches = list(TOKEN.finditer(text, start, len(text) if stop is None else stop))
         self.tokens = [m.group() for m in matches]
+        self.lower = [x.lower() for x in self.tokens]
+        self.letters = [x[0].isalpha() for x in self.tokens]
         self.starts = [m.start() for m in matches]
         self.ends = [m.end() for m in matches]
         self.before = text[start - 1] if start else " "
@@ -138,6 +140,7 @@ class Stretch:
             if not (token[0].isalnum() or token in "+(") or (tokens[i - 1] if i else self.before)[-1].isalnum():
                 continue
             digits = ats = 0
+            cues = None
             limit = starts[i] + LONGEST_CHARS
             for j in range(i, min(n, i + LONGEST)):
                 last = tokens[j]
@@ -145,12 +148,20 @@ class Stretch:
                 if last == "\n" or ats > 1 or ends[j] > limit or (digits > MOST_DIGITS and not ats):
                     break
                 if (digits >= LEAST_DIGITS or ats) and (last[0].isalnum() or last == ")") and not (tokens[j + 1] if j + 1 < n else self.after)[0].isalnum():
-                    yield i, j + 1, self._features(i, j + 1)
-                ats += j > i and (last == "@" or last.lower() in AT_WORDS)
+                    cues = self._cues(i) if cues is None else cues
+                    yield i, j + 1, self._features(i, j + 1) + cues
+                ats += j > i and (last == "@" or self.lower[j] in AT_WORDS)
+
+    def _cues(self, i: int) -> list[str]:
+        """The kinds that one of the two words before token i tells of."""
+        first = max(0, i - 2 * CONTEXT)
+        near = [self.lower[x] for x in range(first, i) if self.letters[x] and len(self.tokens[x]) < 16][-2:]
+        return [f"cue {kind}" for kind, cues in CUES.items() if not cues.isdisjoint(near)]
 
     def _features(self, i: int, j: int) -> list[str]:
+        """Without the cues."""
         part = self.tokens[i:j]
-        words = [x for x in part if x[0].isalpha()]
+        words = [self.lower[x] for x in range(i, j) if self.letters[x]]
         groups = [x for x in part if x[0] in "0123456789"]
         signs = {x for x in part if not x[0].isalnum()}
         digits = "".join(groups)
@@ -163,17 +174,16 @@ class Stretch:
         if right in "@_%" or (right in ".-/," and beyond.isalnum()):
             out.append("glued right")
         if words:
-            lower = [w.lower() for w in words]
-            ats = part.count("@") + sum(w in AT_WORDS for w in lower)
-            dots = part.count(".") + sum(w in DOT_WORDS for w in lower)
+            ats = part.count("@") + sum(map(words.count, AT_WORDS))
+            dots = part.count(".") + sum(map(words.count, DOT_WORDS))
             out.append("one at" if ats == 1 else "no at" if not ats else "ats")
             out.append("dots" if dots else "no dot")
             if ats == 1:
-                place = next(k for k, x in enumerate(part) if x == "@" or x.lower() in AT_WORDS)
+                place = next(k for k, x in enumerate(self.lower[i:j]) if x == "@" or x in AT_WORDS)
                 tail = [x for x in part[place + 1 :] if not x.isspace() and x not in "()[]"]
                 head = [x for x in part[:place] if not x.isspace() and x not in "()[]"]
                 spelled = "@" not in part
-                if spelled and not any(w in DOT_WORDS for w in lower) and not signs & {"(", "["}:
+                if spelled and DOT_WORDS.isdisjoint(words) and not signs & {"(", "["}:
                     out.append("bare at")
                 if tail and all((x[0].isalnum() and x.lower() not in DOT_WORDS) != bool(k % 2) for k, x in enumerate(tail)) and len(tail) % 2 and len(tail) > 1 and 2 <= len(tail[-1]) <= 6 and tail[-1].isalpha():
                     out.append("domain")
@@ -211,8 +221,6 @@ class Stretch:
                 out.append("bracket last")
             if left == "(" or left == "+":
                 out.append("sign left out")
-        near = [x.lower() for x in self.tokens[max(0, i - 2 * CONTEXT) : i] if x[0].isalpha() and len(x) < 16][-2:]
-        out += [f"cue {kind}" for kind, cues in CUES.items() if cues & set(near)]
         return out
 
 
@@ -220,8 +228,30 @@ def _score(weights: dict[tuple[str, str], float], kind: str, features: list[str]
     return sum(weights.get((kind, f), 0.0) for f in features)
 
 
-def decode(stretch: Stretch, weights: dict[tuple[str, str], float]) -> list[tuple[str, int, int]]:
+#: Judged sets of features that a process remembers.
+MOST_JUDGED = 100_000
+
+
+class Judge:
+    """The best kind of a candidate's features with its score.  Few sets of features occur, so each is added up once."""
+
+    def __init__(self, weights: dict[tuple[str, str], float]) -> None:
+        self.weights, self.known = weights, {}
+
+    def __call__(self, features: list[str]) -> tuple[str, float]:
+        key = tuple(features)
+        found = self.known.get(key)
+        if found is None:
+            if len(self.known) >= MOST_JUDGED:
+                self.known.clear()
+            kind = max(KINDS, key=lambda k: _score(self.weights, k, features))
+            found = self.known[key] = kind, _score(self.weights, kind, features)
+        return found
+
+
+def decode(stretch: Stretch, weights: dict[tuple[str, str], float] | Judge) -> list[tuple[str, int, int]]:
     """The best segmentation's entities: kind, first token, one past the last."""
+    judge = weights if isinstance(weights, Judge) else Judge(weights)
     n = len(stretch.tokens)
     best: list[float] = [0.0] * (n + 1)
     back: list[tuple[int, str] | None] = [None] * (n + 1)
@@ -237,8 +267,8 @@ def decode(stretch: Stretch, weights: dict[tuple[str, str], float]) -> list[tupl
 
     for i, j, features in stretch.candidates():
         settle(i)
-        kind = max(KINDS, key=lambda k: _score(weights, k, features))
-        score = best[i] + _score(weights, kind, features)
+        kind, gain = judge(features)
+        score = best[i] + gain
         if score > best[i] and score > best[j]:
             best[j], back[j] = score, (i, kind)
     settle(n)
@@ -274,7 +304,7 @@ def stretches(text: str) -> Iterator[tuple[int, int]]:
         yield start, stop
 
 
-def all_spans(text: str, weights: dict[tuple[str, str], float]) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, weights: dict[tuple[str, str], float] | Judge) -> tuple[list[Span], list[Span]]:
     """Base spans, and these with the added ones."""
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
@@ -400,8 +430,9 @@ SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("
 
 def _batches(weights: dict[tuple[str, str], float], columns: list[str], text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(weights)
         for batch in batches:
-            found = [all_spans(x.as_py() or "", weights) for x in batch[text_col]]
+            found = [all_spans(x.as_py() or "", judge) for x in batch[text_col]]
             new = [pa.array([[{"kind": k, "start": a, "stop": b} for k, a, b in f[part]] for f in found], SPAN_TYPE) for part in (0, 1)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in columns), *new], [*columns, "base", "spans"])
 

@@ -190,3 +190,20 @@ def test_every_candidate_holds_a_trigger(parts):
     for i, j, _ in stretch.candidates():
         a, b = stretch.starts[i], stretch.ends[j - 1]
         assert any(a <= m.start() and m.end() <= b for m in pii.TRIGGER.finditer("".join(parts)))
+
+
+def test_equal_features_are_added_up_once(monkeypatch):
+    """Many candidates of a text look alike; what a judge remembers changes no span."""
+    weights = pii.fitted_weights()
+    text = "".join(f"call +1 ({200 + i}) 555-{1000 + i} or write anna{i} at host dot org on 2024-01-{10 + i}\n" for i in range(20))
+    plain, calls = pii.all_spans(text, weights), []
+    score = pii._score
+    monkeypatch.setattr(pii, "_score", lambda *a: calls.append(a) or score(*a))
+    judge = pii.Judge(weights)
+    assert pii.all_spans(text, judge) == plain
+    candidates = sum(1 for start, stop in pii.stretches(text) for _ in pii.Stretch(text, start, stop).candidates())
+    assert 0 < len(calls) < candidates
+    calls.clear()
+    assert pii.all_spans(text, judge) == plain and not calls
+    monkeypatch.setattr(pii, "MOST_JUDGED", 2)
+    assert pii.all_spans(text, pii.Judge(weights)) == plain
