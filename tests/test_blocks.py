@@ -54,3 +54,25 @@ def test_of_many_equal_scores_the_smallest_ids_stay():
         kept = dense._best(kept, floor, scores[:, at : at + 100], ids[at : at + 100], 4)
     expected = [(q, i) for q in range(3) for _, i in sorted((-scores[q, c], ids[c]) for c in range(500))[:4]]
     assert list(zip(kept[0], kept[1], strict=True)) == expected
+
+
+def vectors(spark, n=2500, dim=16):
+    made = np.random.default_rng(5).normal(size=(n, dim))
+    made /= np.linalg.norm(made, axis=1, keepdims=True)
+    made[1::50] = made[::50]  # copies of what asks
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made)], "chunk_id long, vector array<double>").repartition(4)
+    return made, table, table.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
+
+
+def test_lsh_pairs_stay_in_their_task(spark):
+    """All vectors in a probed bucket are compared, no other; pairs are not shuffled."""
+    made, table, asked = vectors(spark)
+    found = dense.lsh_search(table, asked, 5, 16, tables=3, bits=6)
+    assert "Join" not in plan(found) and "HashAggregate" not in plan(found)
+    planes = np.random.default_rng(0).normal(size=(3, 6, 16))
+    signs = np.einsum("tbd,nd->ntb", planes, made) > 0
+    expected = set()
+    for q in range(0, 2500, 20):
+        near = np.flatnonzero(((signs != signs[q]).sum(axis=2) <= 1).any(axis=1))
+        expected |= {(q, int(i)) for _, i in sorted((-round(float(made[q] @ made[i]), 9), i) for i in near)[:5]}
+    assert {(r.query_id, r.chunk_id) for r in found.collect()} == expected
