@@ -64,6 +64,18 @@ def vectors(spark, n=2500, dim=16):
     return made, table, table.filter("chunk_id % 20 = 0").withColumnRenamed("chunk_id", "query_id")
 
 
+def test_many_queries_are_not_joined_with_all_vectors(spark):
+    """Their pairs would be sorted."""
+    _, table, asked = vectors(spark)
+    found = dense.search_sql(table, asked, 5)  # 125 queries
+    assert "MapInArrow" in plan(found) and "Join" not in plan(found)
+    few = asked.filter("query_id < 500")
+    joined = dense.search_sql(table, few, 5)
+    assert "NestedLoopJoin" in plan(joined) or "Cartesian" in plan(joined)
+    key = lambda df: sorted((r.query_id, r.rank, r.chunk_id, round(r.score, 8)) for r in df.collect())
+    assert key(joined) == [x for x in key(found) if x[0] < 500]
+
+
 def test_lsh_pairs_stay_in_their_task(spark):
     """All vectors in a probed bucket are compared, no other; pairs are not shuffled."""
     made, table, asked = vectors(spark)
