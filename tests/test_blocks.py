@@ -1,4 +1,6 @@
 import numpy as np
+from pyspark.sql import functions as F
+
 from lodeseek.operators import blocks, dense, identifiers, lexical
 
 
@@ -88,3 +90,14 @@ def test_lsh_pairs_stay_in_their_task(spark):
         near = np.flatnonzero(((signs != signs[q]).sum(axis=2) <= 1).any(axis=1))
         expected |= {(q, int(i)) for _, i in sorted((-round(float(made[q] @ made[i]), 9), i) for i in near)[:5]}
     assert {(r.query_id, r.chunk_id) for r in found.collect()} == expected
+
+
+def test_only_rare_terms_are_dealt_by_term(spark, monkeypatch):
+    """No more than the terms that may be broadcast, and of these the most frequent; texts aren't read for means."""
+    docs = corpus(spark).filter("tokens is not null")
+    whole = sorted(map(tuple, lexical.postings(docs).collect()))
+    known = docs.select("chunk_id", F.explode("tokens").alias("term")).distinct().groupBy("term").agg(F.count("*").alias("df"), F.count("*").alias("tokens"))
+    monkeypatch.setattr(lexical, "BROADCAST_ROWS", 5)
+    level, _ = lexical._common_level(known)
+    assert 0 < known.filter(F.col("df") >= 2**level).count() <= 5
+    assert sorted(map(tuple, lexical.postings(docs).collect())) == whole
