@@ -92,6 +92,26 @@ def test_lsh_pairs_stay_in_their_task(spark):
     assert {(r.query_id, r.chunk_id) for r in found.collect()} == expected
 
 
+def test_stored_postings_meet_the_queries_in_their_tasks(spark, tmp_path, monkeypatch):
+    docs, asked = corpus(spark).filter("tokens is not null"), queries(spark)
+    monkeypatch.setattr(lexical, "SORTED_ROWS", 100)
+    postings = lexical.bucketed(lexical.counted_in_rows(docs), 5).withColumn("version", F.lit("v1"))
+    postings.write.partitionBy("version", "bucket").parquet(str(tmp_path / "p"))
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    lexicon = stored.groupBy("version", "bucket", "term").agg(F.count("*").alias("df"))
+    sizes = lexical.corpus_statistics(docs).first()
+    about = lexical.Statistics("v1", sizes.n, sizes.avgdl, 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a chunk's rows lie in several batches
+    try:
+        found = lexical.best_stored(stored, lexicon, about, asked, 10)
+        assert "HashAggregate" not in plan(found)
+        columns = ("query_id", "chunk_id", "score", "rank")
+        got = sorted(map(tuple, found.select(*columns).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == sorted(map(tuple, lexical.search(docs, asked, 10).select(*columns).collect()))
+
+
 def test_only_rare_terms_are_dealt_by_term(spark, monkeypatch):
     """No more than the terms that may be broadcast, and of these the most frequent; texts aren't read for means."""
     docs = corpus(spark).filter("tokens is not null")
