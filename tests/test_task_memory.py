@@ -7,6 +7,7 @@ from lodeseek.plans.catalog import CATALOG
 SF = "/root/testdata/sf0.001"
 QUERIES = [
     "dedup_identity",
+    "dedup_rename",
 ]
 
 
