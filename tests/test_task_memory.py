@@ -8,6 +8,7 @@ SF = "/root/testdata/sf0.001"
 QUERIES = [
     "dedup_identity",
     "dedup_rename",
+    "duplicate_rate",
 ]
 
 
