@@ -9,6 +9,7 @@ QUERIES = [
     "dedup_identity",
     "dedup_rename",
     "duplicate_rate",
+    "evaluation_means",
 ]
 
 
