@@ -10,6 +10,7 @@ QUERIES = [
     "dedup_rename",
     "duplicate_rate",
     "evaluation_means",
+    "evaluation_per_query",
 ]
 
 
