@@ -11,6 +11,7 @@ QUERIES = [
     "duplicate_rate",
     "evaluation_means",
     "evaluation_per_query",
+    "listwise_lambdas",
 ]
 
 
