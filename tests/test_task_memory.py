@@ -12,6 +12,7 @@ QUERIES = [
     "evaluation_means",
     "evaluation_per_query",
     "listwise_lambdas",
+    "minmax_scores",
 ]
 
 
