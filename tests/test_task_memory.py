@@ -13,6 +13,7 @@ QUERIES = [
     "evaluation_per_query",
     "listwise_lambdas",
     "minmax_scores",
+    "rrf_fusion",
 ]
 
 
