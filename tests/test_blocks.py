@@ -48,6 +48,26 @@ def test_names_meet_the_queries_in_their_row(spark, monkeypatch):
     assert sorted(map(tuple, found.select(*columns).collect())) == sorted(map(tuple, joined.select(*columns).collect()))
 
 
+def test_a_batch_too_large_for_one_matrix_is_cut_by_queries(spark, monkeypatch):
+    """Its pairs were summed in hash tables."""
+    docs, asked = corpus(spark), queries(spark)
+    whole = sorted(map(tuple, lexical.search_both(docs, asked, 10).collect()))
+    rows = [(i, f"f{i % 5}", "K" if i % 3 else "", "", ["f1", "go"], f"a/Net{i % 4}.py") for i in range(200)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, function string, class_name string, parent string, calls array<string>, file string")
+    named = spark.createDataFrame([(1, ["f1", "f1"], []), (2, ["k"], ["z/net3.py"]), (3, ["go"], ["net0.py", "net1.py"]), (4, [], []), (5, [], ["net2.py"])], "query_id long, entity_names array<string>, file_names array<string>")
+    names = sorted(map(str, identifiers.best(chunks, named, 30).collect()))
+    monkeypatch.setattr(blocks, "MOST_CELLS", 20)  # two or three queries of five words
+    parts = list(blocks.batch_of(asked).parts())
+    assert len(parts) == 4 and all(p.weights.size <= 20 for p in parts) and sum(p.weights.shape[1] for p in parts) == 7
+    found = lexical.search_both(docs, asked, 10)
+    assert "MapInArrow" in plan(found) and "HashAggregate" not in plan(found)
+    assert sorted(map(tuple, found.collect())) == whole
+    monkeypatch.setattr(blocks, "MOST_CELLS", 3)
+    found = identifiers.best(chunks, named, 30)
+    assert "MapInArrow" in plan(found) and "HashAggregate" not in plan(found)
+    assert sorted(map(str, found.collect())) == names and len(names) > 100
+
+
 def test_of_many_equal_scores_the_smallest_ids_stay():
     kept, floor = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.full(3, -np.inf)
     rng = np.random.default_rng(0)

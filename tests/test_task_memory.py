@@ -2,6 +2,7 @@
 
 import pytest
 
+from lodeseek.operators import blocks
 from lodeseek.plans.catalog import CATALOG
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +24,12 @@ def test_scores_of_pairs_are_not_summed_in_hash_tables(spark, name):
     plan = CATALOG[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     spark.catalog.clearCache()
     assert "sum(part" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("name", QUERIES)
+def test_a_larger_batch_of_queries_is_not_summed_in_hash_tables_either(spark, monkeypatch, name):
+    """More queries than one matrix takes are cut into several."""
+    monkeypatch.setattr(blocks, "MOST_CELLS", 10_000)
+    plan = CATALOG[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    spark.catalog.clearCache()
+    assert "sum(part" not in plan and "MapInArrow" in plan
