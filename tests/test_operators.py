@@ -121,6 +121,20 @@ def test_containment_finds_short_and_long_items(spark):
     assert got == sorted((q, d) for q, item in enumerate(asked) for d, text in enumerate(texts) if item and text and item in text)
 
 
+def test_containment_is_the_same_by_batches_and_by_joins(spark, monkeypatch):
+    texts = ["a b c d e f", "x b c d y", "b c d", "za b c d ez", None, "", " a  b c d e", "a b c\nd e", "é b c d è b c d e", "a b c d e a b c d e", "b", "a b", "q b c d", "e"]
+    docs = spark.createDataFrame([(i if i % 5 else None, t) for i, t in enumerate(texts * 3)], "doc_id int, text string").repartition(3)
+    asked = ["a b c d e", "a b c d f", "x b c d y", "  b c d", "é b c d è", " a  b c d e", "a b c d e", "b c\nd e f g", "a   e", "% b c d _"]
+    items = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(asked)], "query_id string, item string")
+    key = lambda df: sorted((r.query_id, -1 if r.doc_id is None else r.doc_id) for r in df.collect())
+    right = sorted({(f"q{q}", d if d % 5 else -1) for q, item in enumerate(asked) for d, text in enumerate(texts * 3) if text and item in text})
+    monkeypatch.setattr(evaluation, "TEXTS_AT_ONCE", 4)
+    assert key(evaluation.containment(docs, items)) == right
+    assert evaluation.containment(docs, items.limit(0)).count() == evaluation.containment(docs.limit(0), items).count() == 0
+    monkeypatch.setattr(evaluation, "is_small", lambda df: False)
+    assert key(evaluation.containment(docs, items)) == [pair for pair in right if pair[1] != -1]
+
+
 def test_halves(spark):
     for n in (0, 1, 2, 7, 40):
         keys = [(i, (i * 37 % 11) << 27) for i in range(n)]

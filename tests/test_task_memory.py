@@ -33,3 +33,11 @@ def test_a_larger_batch_of_queries_is_not_summed_in_hash_tables_either(spark, mo
     plan = CATALOG[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     spark.catalog.clearCache()
     assert "sum(part" not in plan and "MapInArrow" in plan
+
+
+@pytest.mark.parametrize("name", ["evaluation_means", "evaluation_per_query"])
+def test_words_of_texts_are_not_joined_with_keys(spark, name):
+    """A row for each three words of a text, and a hash table of the pairs they make, were most of the work."""
+    plan = CATALOG[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    spark.catalog.clearCache()
+    assert "explode(transform" not in plan and "InMemoryRelation" not in plan
